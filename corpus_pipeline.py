@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = written(simhash.near_duplicate_classes(docs).select("doc_id", "component_id"), "classes")
     first = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     counts = first.groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(counts, docs["doc_id"].eqNullSafe(counts["doc_id"])).select(docs["*"], "_rows")
+    kept = docs.join(counts.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
     repeated = kept.filter("_rows > 1")  # ids that occur more than once; all their rows are one class or share its smallest id
     one = repeated.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text")))).filter("_n = 1")
     return kept.filter("_rows = 1").unionByName(one.drop("_n")).select(*docs.columns)
@@ -39,9 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
     found = winnow.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    clean = written(found.filter("n_hit > 0").select("doc_id", "digest").distinct(), "contaminated")
-    same = [docs["doc_id"].eqNullSafe(clean["doc_id"]), F.xxhash64(docs["text"]) == clean["digest"]]
-    return docs.join(clean, same, "left_anti")
+    hit = written(found.filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "contaminated")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_digest")), "left_anti")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,8 +110,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
         hits = looked.join(keys, ["len", "key"]).select("doc_id", "digest", F.struct("len", "i", "j").alias("hit")).distinct()
         hits = hits.groupBy("doc_id", "digest").agg(F.collect_list("hit").alias("hits"))
         none = F.array(F.struct(F.lit(0).alias("len"), F.lit(0).alias("i"), F.lit(0).alias("j")))
-        same = [d["doc_id"].eqNullSafe(hits["doc_id"]), d["digest"] == hits["digest"]]
-        met = d.join(hits, same, "left").select(d["doc_id"], d["digest"], "n_words", "words", F.inline_outer(F.concat(none, F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)))))
+        hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), "hits")
+        met = d.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left").select("doc_id", "digest", "n_words", "words", F.inline_outer(F.concat(none, F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)))))
         met = met.withColumn("context", F.when(F.col("len") > 0, F.slice("words", F.col("i") + 1, F.col("j") - F.col("i") + F.col("len") - 1))).drop("words")
 
     candidates = F.transform(_range(0, F.col("j") - F.col("i") - 1), lambda k: F.struct((F.col("i") + k).alias("start"), F.slice("context", k + 1, F.col("len")).alias("win")))
