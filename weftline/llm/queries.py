@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import langid, pack, pii, simhash, winnow
+from . import chat, importance, langid, mtree, pack, pii, secret_scan, simhash, winnow, wrapper
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +17,16 @@ def _count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op1_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secrets(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])]
+    return out.select("doc_id", *counts, F.sha2(secret_scan.spelled(F.col("base")), 256).alias("base_sha256"), secret_scan.spelled(F.col("spans")).alias("spans"))
+
+
+def _of_kind(number: int):
+    return lambda s: s["kind"] == number
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -48,11 +58,55 @@ def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
 
 
+def op6_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extracted(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    awkward = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", awkward), (-7, 1, "assistant", awkward)], given.schema)
+    out = chat.formatted(chat.from_turns(given.unionByName(more)))
+    turns = F.array_join(F.transform(chat.turns_of(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.loss_text(F.col("text"), F.col("loss_spans"))
+    return out.select(
+        F.col("key.conv_id").alias("conv_id"),
+        F.size(chat.turns_of(F.col("text"))).cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("text").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.packed_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_winnowing, op3_simhash, op4_language_mixture, op5_weak_supervision_pii, op8_best_fit)}
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_grams", "log_weight", "gumbel_key", "selected")
+
+
+def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_randomness_battery,
+        op2_winnowing,
+        op3_simhash,
+        op4_language_mixture,
+        op5_weak_supervision_pii,
+        op6_wrapper_induction,
+        op7_reply_trees,
+        op8_best_fit,
+        op9_importance_resampling,
+        op10_mtree,
+    )
+}
 
 #: Words as the contract has them, for DuckDB.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -73,5 +127,35 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op7_reply_trees": r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM rows),
+sizes AS (SELECT *, length(ESCAPE_ROLE) + length(ESCAPE_TEXT) + 16 AS n FROM escaped)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars
+FROM sizes GROUP BY conv_id
+""",
+    "op10_mtree": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """,
 }
+
+
+def _escape_sql(column: str, controls: tuple[str, ...]) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in controls:
+        literal = "chr(10)" if c == "\n" else f"'{c}'"
+        out = f"replace({out}, {literal}, '{chat.STANDS_FOR[c[0]]}{c[1:]}')"
+    return out
+
+
+ORACLES["op7_reply_trees"] = (
+    ORACLES["op7_reply_trees"].replace("ESCAPE_ROLE", _escape_sql("role", (*chat.CONTROLS, "\n"))).replace("ESCAPE_TEXT", _escape_sql("text", chat.CONTROLS))
+)
