@@ -53,7 +53,8 @@ def decoded(content: Column) -> Column:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder: name, type, parser, reject_reason and content; sizes over the limit keep their row, not their content."""
+    """Files of a folder: name, type, parser, reject_reason and content; sizes over the limit keep their row, not their content.
+    Spark's reader leaves out files without any bytes."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = file_name(F.col("path"))
     f = f.select("path", name.alias("name"), F.col("length").alias("size"), "content").withColumn("reject_reason", reject_reason(F.col("name"), F.col("size")))
