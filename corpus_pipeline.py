@@ -46,8 +46,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind. n_chars follows the text; a null text stays null."""
     columns = docs.columns
-    model = pii.fit(pii.candidates(docs, []))
-    found = pii.with_spans(pii.candidates(docs, columns), model)
+    found = written(pii.candidates(docs, columns), "personal-data")  # read twice: to fit, then to decide
+    found = pii.with_spans(found, pii.fit(found))
     text = F.when(F.col("text").isNull(), None).otherwise(pii.redacted(F.col("text"), F.col("spans")))
     out = found.withColumn("text", text)
     if "n_chars" in columns:
