@@ -44,10 +44,11 @@ def test_base_spans_equal_python(spark):
 
 
 def test_added_spans(spark):
-    rows = [(1, "My SSN: 123-45-6789 and mail jane (at) example dot com"), (2, "call (555) 010-2345 now"), (4, "contact: bob [at] mail [dot] org"), (5, "nothing here"), (6, "IBAN: GB82 WEST 1234 5698 7654 32"), (7, "a@b.com 4111111111111111")]
+    rows = [(1, "My SSN: 123-45-6789 and mail jane (at) example dot com"), (2, "call (555) 010-2345 now"), (3, "see version 123-45-6789 of the part"), (4, "contact: bob [at] mail [dot] org"), (5, "nothing here"), (6, "IBAN: GB82 WEST 1234 5698 7654 32"), (7, "a@b.com 4111111111111111")]
     rows += [(10 + i, f"phone: ({200 + i}) 555-0100, ssn {100 + i}-45-67{10 + i}, mail a{i}@b.com") for i in range(20)]
     got = {r["doc_id"]: r["s"] for r in found(spark, rows)}
     assert "idnum:8:19" in got[1] and got[2] == "localphone:5:19" and got[5] == ""
+    assert got[3] == ""
     assert got[4].startswith("hiddenmail:9:") and got[6].startswith("account:6:")
     assert got[7] == "email:0:7,card:8:24"
 

@@ -131,10 +131,12 @@ def votes(kind: str, s: Column) -> Column:
     elif kind == "phone":
         format_ = yes_no(F.rlike(value, F.lit(r"^\+[0-9]{1,3}[ .-]?(?:\([0-9]+\)[ .-]?)?[0-9][0-9 .-]+$")))
     elif kind == "idnum":
+        format_ = F.lit(0)  # the pattern is the format: no evidence beside it
         check = yes_no(~F.rlike(value, F.lit(r"^(?:000|666|9)|-00-|-0000$")))
     elif kind == "localphone":
         format_ = yes_no(F.rlike(value, F.lit(r"^\([0-9]{3}\)|^([0-9]{3})[-.][0-9]{3}[-.]")))
     elif kind == "account":
+        format_ = F.lit(0)
         check = yes_no(_mod97(value))
     elif kind == "name":
         gazetteer = F.when(F.rlike(value, F.lit(GIVEN_NAMES)), 1).otherwise(0)
@@ -182,10 +184,16 @@ class Model:
 
 #: How often a labeler is believed right before its votes are seen; format alone says little.
 PRIORS = (0.6, 0.8, 0.8, 0.8, 0.95)
+#: The kinds a labeler can speak on, where not all.
+SPEAKS_ON = {1: ("ip", "card", "idnum", "account"), 2: ("email", "hiddenmail", "name")}
 
 
 def estimate(rows: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 30) -> Model:
-    """From (kind, votes, size, count) rows: labeler reliabilities by EM, then the classifier."""
+    """From (kind, votes, size, count) rows: labeler reliabilities by EM, then the classifier.
+
+    A reliability is the rate of a vote among all spans of a class that the labeler can speak on, silent ones
+    included, so a labeler that only ever votes one way is told apart from one that is always right. Silence is no evidence.
+    """
     patterns: dict[tuple[str, tuple[int, ...]], float] = {}
     for kind, v, _, n in rows:
         patterns[kind, v] = patterns.get((kind, v), 0) + n
@@ -193,23 +201,27 @@ def estimate(rows: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 30
     believed = lambda j, y, v: PRIORS[j] if y == (v > 0) else 1 - PRIORS[j]
     rel = {j: {(y, v): believed(j, y, v) for y in (0, 1) for v in (-1, 1)} for j in labelers}
     share = {k: 0.5 for k in KINDS}
+    logit = lambda p: math.log(p / (1 - p))
+    ratio = lambda j, v: math.log(rel[j][1, v] / rel[j][0, v])
     posterior: dict = {}
     for _ in range(rounds):
-        for (kind, v), _n in patterns.items():
-            on = math.log(share[kind]) + sum(math.log(rel[j][1, v[j]]) for j in labelers if v[j])
-            off = math.log(1 - share[kind]) + sum(math.log(rel[j][0, v[j]]) for j in labelers if v[j])
-            posterior[kind, v] = 1 / (1 + math.exp(max(-50.0, min(50.0, off - on))))
+        for kind, v in patterns:
+            odds = logit(share[kind]) + sum(ratio(j, v[j]) for j in labelers if v[j])
+            posterior[kind, v] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
         for j in labelers:
+            spoken = [(v[j], n, posterior[k, v]) for (k, v), n in patterns.items() if k in SPEAKS_ON.get(j, KINDS)]
             for y in (0, 1):
-                mass = {x: sum(n * (p if y else 1 - p) for (k, v), n in patterns.items() for p in [posterior[k, v]] if v[j] == x) for x in (-1, 1)}
+                mass = {x: sum(n * (p if y else 1 - p) for vote, n, p in spoken if vote == x) for x in (-1, 0, 1)}
                 for x in (-1, 1):  # ten imagined votes keep a labeler that has said little at its first reliability
-                    rel[j][y, x] = min(0.99, max(0.01, (mass[x] + 10 * believed(j, y, x)) / (mass[-1] + mass[1] + 10)))
+                    rel[j][y, x] = min(0.99, max(0.001, (mass[x] + 10 * believed(j, y, x)) / (sum(mass.values()) + 10)))
         for k in KINDS:
             n = sum(c for (kind, _v), c in patterns.items() if kind == k)
             on = sum(c * posterior[kind, v] for (kind, v), c in patterns.items() if kind == k)
-            share[k] = min(0.95, max(0.05, (on + 5) / (n + 10)))
+            share[k] = min(0.9, max(0.1, (on + 5) / (n + 10)))
     features = lambda kind, v, size: ["bias", f"kind={kind}", f"size={size}", *(f"{j}={v[j]}" for j in labelers if v[j])]
-    weights: dict[str, float] = {}
+    # training starts at the label model's own odds, or vote patterns that are rare among all would hardly be learned
+    weights = {f"kind={k}": logit(share[k]) for k in KINDS} | {f"{j}={v}": ratio(j, v) for j in labelers for v in (-1, 1)}
+    start = dict(weights)
     total = sum(n for *_, n in rows) or 1
     for _ in range(300):
         gradient: dict[str, float] = {}
@@ -219,7 +231,7 @@ def estimate(rows: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 30
             for f in x:
                 gradient[f] = gradient.get(f, 0.0) + n / total * (posterior[kind, v] - p)
         for f, g in gradient.items():
-            weights[f] = weights.get(f, 0.0) * (1 - 1e-3) + 2.0 * g
+            weights[f] = weights.get(f, 0.0) + 2.0 * g - 1e-3 * (weights.get(f, 0.0) - start.get(f, 0.0))
     return Model(rel, weights)
 
 
