@@ -31,23 +31,87 @@ class Config:
     computed: tuple[str, ...] = ()
     missing: str = "omit"
     formats: dict[str, dict] = field(default_factory=dict)
+    #: The year at which open jobs are taken to end; None: the current one.
+    as_of_year: int | None = None
 
 
-def virtual(name: str) -> Column | None:
-    """Fields that are not stored: contacts by kind."""
-    kinds = {"emails": "email", "phones": "phone"}
-    if name in kinds:
-        return F.transform(F.filter("contacts", lambda c: c["kind"] == kinds[name]), lambda c: c["value"])
-    return None
+# Outer names of inner fields.
+OUTPUT_FIELDS = {"id": "candidate_id", "fullName": "full_name", "contactInfo": "emails/phones", "socialLinks": "links", "experiences": "experience", "skills": "skills", "confidence": "overall_confidence"}
 
 
-def resolve(path: str) -> Column:
+def _first_of(a: Column, holds: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(a, holds), F.lit(0))
+
+
+def _source_name(entry: Column) -> Column:
+    """The name an entry carries, else that of its source record."""
+    return F.coalesce(entry["source_name"], _first_of(F.col("source_records"), lambda r: r["id"] == entry["source_record_id"])["name"])
+
+
+def _names(entries: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(entries, _source_name), lambda n: n.isNotNull() & (n != "")))
+
+
+def _links() -> Column:
+    url = lambda p: _first_of(F.col("links"), lambda x: x["platform"] == p)["url"].alias(p)
+    known = ("linkedin", "github", "portfolio")
+    other = F.transform(F.filter("links", lambda x: ~x["platform"].isin(*known)), lambda x: x["url"])
+    return F.struct(*[url(p) for p in known], other.alias("other"))
+
+
+def _years(as_of_year: int | None) -> Column:
+    """Years between start and end over all jobs with a start year, overlaps counted twice; null without any."""
+    now = F.year(F.current_date()) if as_of_year is None else F.lit(as_of_year)
+    year = lambda c: F.try_to_number(F.nullif(F.regexp_extract(c, r"\d{4}", 0), F.lit("")), F.lit("9999")).cast("int")
+    dated = F.filter("experiences", lambda x: year(x["start"]) > 0)
+    until = lambda x: F.when(x["is_current"] | x["end"].isNull() | (x["end"] == ""), now).otherwise(F.coalesce(year(x["end"]), year(x["start"])))
+    total = F.aggregate(dated, F.lit(0), lambda a, x: a + F.greatest(F.lit(0), until(x) - year(x["start"])))
+    return F.when(F.size(dated) > 0, total.cast("double"))
+
+
+def _ats_skill(s: Column) -> Column:
+    own, of_field = _names(s["provenance"]), _names(F.filter("provenance", lambda p: p["field"] == "skills"))
+    every = F.transform("source_records", lambda r: r["name"])
+    return F.struct(s["name"].alias("name"), F.get(s["confidence"], F.lit(0)).alias("confidence"), F.when(F.size(own) > 0, own).when(F.size(of_field) > 0, of_field).otherwise(every).alias("sources"))
+
+
+def _ats_job(x: Column) -> Column:
+    return F.struct(x["employer"].alias("company"), x["title"].alias("title"), x["start"].alias("start"), F.when(~F.coalesce(x["is_current"], F.lit(False)), x["end"]).alias("end"), x["description"].alias("summary"))
+
+
+def _ats_school(x: Column) -> Column:
+    return F.struct(x["institution"].alias("institution"), x["degree"].alias("degree"), x["field"].alias("field"), F.substring(x["end"], 1, 4).alias("end_year"))
+
+
+def _ats_provenance(p: Column) -> Column:
+    outer = F.create_map(*[F.lit(x) for pair in OUTPUT_FIELDS.items() for x in pair])
+    method = F.coalesce(p["normalizer"], p["strategy"], p["extractor"], F.lit("deterministic"))
+    return F.struct(F.coalesce(F.try_element_at(outer, p["field"]), p["field"]).alias("field"), _source_name(p).alias("source"), method.alias("method"))
+
+
+def virtual(name: str, as_of_year: int | None = None) -> Column | None:
+    """Fields that are not stored but derived from contacts, links, experiences, education, detailed skills and provenance."""
+    contacts = lambda kind: F.transform(F.filter("contacts", lambda c: c["kind"] == kind), lambda c: c["value"])
+    made = {
+        "emails": lambda: contacts("email"),
+        "phones": lambda: contacts("phone"),
+        "links": _links,
+        "years_experience": lambda: _years(as_of_year),
+        "ats_skills": lambda: F.transform("skill_details", _ats_skill),
+        "ats_experience": lambda: F.transform("experiences", _ats_job),
+        "ats_education": lambda: F.transform("education", _ats_school),
+        "ats_provenance": lambda: F.transform("provenance", _ats_provenance),
+    }
+    return made[name]() if name in made else None
+
+
+def resolve(path: str, as_of_year: int | None = None) -> Column:
     """A column for a source path; an index out of range is null."""
     m = re.fullmatch(r"(\w+)(?:\[(\d*)\])?(?:\.(.+))?", path)
     if not m:
         raise ProjectionError(f"unreadable path {path!r}")
     head, index, rest = m.groups()
-    c = virtual(head)
+    c = None if head == "links" and index is not None else virtual(head, as_of_year)  # links[...] are the stored ones
     c = F.col(head) if c is None else c
     if index == "":
         inner = [x for x in (rest or "").split(".") if x]
@@ -77,12 +141,27 @@ COMPUTED: dict[str, Callable[[], Column]] = {
 }
 
 
+def _dated(c: Column, form: str) -> Column:
+    """``yyyy``, ``mm/yyyy`` or an ISO instant of a date string in UTC; what is no date stays as it is."""
+    shapes = ("yyyy-MM-dd'T'HH:mm:ss[.SSS]X", "yyyy-MM-dd", "yyyy-MM", "yyyy", "MMMM yyyy", "MMM yyyy")
+    at = F.coalesce(*[F.try_to_timestamp(c, F.lit(x)) for x in shapes])
+    at = F.to_utc_timestamp(at, F.current_timezone())
+    wanted = {"yyyy": "yyyy", "mm/yyyy": "MM/yyyy"}.get(form, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.coalesce(F.date_format(at, wanted), c)
+
+
 def formatted(c: Column, how: dict) -> Column:
     if how.get("normalize") == "canonical":
         return F.transform(c, normalize.skill) if how.get("array") else normalize.skill(c)
     if how.get("normalize") == "E164":
         digits = lambda x: F.regexp_replace(x, r"[^0-9+]", "")
         return F.transform(c, digits) if how.get("array") else digits(c)
+    if how.get("location") == "iso-country":
+        return c["country"]
+    if "location" in how:
+        return F.concat_ws(", ", *[F.nullif(c[part], F.lit("")) for part in ("city", "region", "country")])
+    if "date" in how:
+        return _dated(c, how["date"])
     if "join" in how:
         return F.array_join(c, how["join"])
     return c
@@ -104,7 +183,7 @@ def compile_plan(config: Config) -> list[tuple[str, Column]]:
         seen.add((source, path))
         if w in config.computed and w not in COMPUTED:
             raise ProjectionError(f"unknown computed field {w!r}")
-        c = COMPUTED[source]() if source in COMPUTED else resolve(source)
+        c = COMPUTED[source]() if source in COMPUTED else resolve(source, config.as_of_year)
         how = {**config.formats.get(source, {}), **config.formats.get(path, {})} | ({"normalize": spec["normalize"]} if "normalize" in spec else {})
         c = formatted(c, how)
         if config.missing == "error":

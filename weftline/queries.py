@@ -10,9 +10,9 @@ from pyspark.sql.window import Window
 
 from .config import DEGREE_RANKS
 from .functions import normalize, patterns
-from .operators import identity, merge, score
+from .operators import identity, lineage, merge, resume, score
 from .plans.projection import Config, project
-from .sources import files
+from .sources import files, structured
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -124,9 +124,9 @@ def norm_url(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", normalize.url(F.col("url")).alias("url"), patterns.platform(F.col("url")).alias("platform"))
 
 
-@_query(r"SELECT doc_id, nullif(trim(regexp_replace(trim(regexp_replace(left(text, 400), '[\x00-\x1F]', '', 'g')), '\s+', ' ', 'g')), '') AS cleaned FROM documents")
+@_query(r"SELECT doc_id, nullif(trim(regexp_replace(trim(regexp_replace(text, '[\x00-\x1F]', '', 'g')), '\s+', ' ', 'g')), '') AS cleaned FROM documents")
 def norm_free_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", normalize.free_text(F.substring("text", 1, 400)).alias("cleaned"))
+    return _t(spark, sf_dir, "documents").select("doc_id", normalize.free_text(F.col("text")).alias("cleaned"))
 
 
 @_query("SELECT p_partkey, 3::BIGINT AS n, lower(p_brand || '|' || p_type || '|x') AS parts FROM part")
@@ -287,3 +287,96 @@ def fused_profiles(spark, sf_dir):
     of = lambda kind: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(F.filter("contacts", lambda c: c["kind"] == kind), lambda c: c["value"])))))
     rest = r.groupBy("group_ix").agg(F.count("*").alias("n_sources"), F.array_join(of("email"), "|").alias("emails"), F.array_join(of("phone"), "|").alias("phones"))
     return names.join(rest, "group_ix")
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+@_query("""SELECT c_custkey, trim(c_name) AS full_name, 'Engineer' AS headline, CASE WHEN c_custkey % 2 = 0 THEN trim(n_name) || ', XX' ELSE 'XX' END AS place, 'a@x.example' AS email, c_custkey % 3 <> 0 AS has_job,
+CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 3 = 1 END AS is_current, 'Go|SQL' AS skills FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def csv_records(spark, sf_dir):
+    pairs = {"Candidate_Name": F.concat(F.lit(" "), "c_name"), "TITLE": F.lit("Engineer"), "city": F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(" "), "country": F.lit("XX"), "Email": F.lit("a@x.example; b@x.example")}
+    pairs |= {"company": F.when(F.col("c_custkey") % 3 != 0, F.lit("Acme")).otherwise(""), "end_date": F.when(F.col("c_custkey") % 3 == 2, F.lit("2020")).otherwise(""), "Technologies": F.lit("Go, SQL,")}
+    rows = _people(spark, sf_dir).select("c_custkey", F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]).alias("cells"))
+    r = structured.csv_records(rows)
+    job = F.get("experiences", F.lit(0))
+    return r.select("c_custkey", "full_name", "headline", F.col("location.formatted").alias("place"), F.get("contacts", F.lit(0))["value"].alias("email"), job.isNotNull().alias("has_job"), job["is_current"].alias("is_current"), F.array_join("skills", "|").alias("skills"))
+
+
+@_query("""SELECT c_custkey, 'Ann ' || c_name AS full_name, n_name AS city, '+1' AS phone, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'Unknown Employer' END AS employer, c_custkey % 3 = 0 AS is_current, 1::BIGINT AS n_jobs
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def json_candidates(spark, sf_dir):
+    k = F.col("c_custkey")
+    job = F.struct(F.when(k % 2 == 0, F.col("c_mktsegment")).alias("employer"), (k % 3 == 0).alias("current"), F.lit(2020).alias("end"))
+    whole = F.to_json(F.struct(F.lit("Ann").alias("first_name"), F.col("c_name").alias("lastName"), F.struct(F.col("n_name").alias("city")).alias("address"), F.array(F.lit(" +1 ")).alias("phones"), F.array(job).alias("jobs")))
+    r = structured.json_candidates(_people(spark, sf_dir).select("c_custkey", F.parse_json(whole).alias("record")))
+    first = F.get("experiences", F.lit(0))
+    return r.select("c_custkey", "full_name", F.col("location.city").alias("city"), F.get("contacts", F.lit(0))["value"].alias("phone"), first["employer"].alias("employer"), first["is_current"].alias("is_current"), F.size("experiences").cast("long").alias("n_jobs"))
+
+
+def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One résumé text per customer."""
+    k = F.col("c_custkey").cast("string")
+    jobs_ = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Acme "), "n_regionkey", F.lit(" Jan 2019 - Present\nLead Engineer Pune, India\n- built "), "c_mktsegment", F.lit("\nBeta Labs 2015 to 2018\nAnalyst Remote"))).otherwise(F.concat(F.lit("Tester at "), "c_mktsegment", F.lit("\nran things")))
+    text = F.concat_ws("\n", F.lit("Jane Doe"), F.concat(F.lit("Builder "), F.lower("c_mktsegment")), F.concat(F.lit("Oslo, Norway ⋄ u"), k, F.lit("@x.example")), F.lit("SKILLS"), F.lit("Go, Rust | Languages: SQL; go"), F.lit("EDUCATION"), F.concat(F.lit("B. Tech in Physics, College "), k, F.lit(" 2011")), F.lit("EXPERIENCE"), jobs_)
+    return _people(spark, sf_dir).select("c_custkey", text.alias("text"))
+
+
+@_query("""SELECT c_custkey, 'Jane Doe' AS full_name, 'Builder ' || lower(c_mktsegment) AS headline, 'Norway' AS region, 'u' || c_custkey || '@x.example' AS email, 'Go|Rust|Languages: SQL' AS skills,
+'College' || CASE WHEN '2011' = c_custkey::VARCHAR THEN '  2011' ELSE ' ' || c_custkey END AS school, 'B. Tech' AS degree, '2011-01' AS graduated FROM customer""")
+def resume_fields(spark, sf_dir):
+    r = resume.fields(resumes(spark, sf_dir))
+    s = F.get("schools", F.lit(0))
+    return r.select("c_custkey", "full_name", "headline", F.col("location.region").alias("region"), F.get("emails", F.lit(0)).alias("email"), F.array_join("skills", "|").alias("skills"), s["institution"].alias("school"), s["degree"].alias("degree"), s["end"].alias("graduated"))
+
+
+@_query("""WITH p AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey, 1::BIGINT AS job, 'Acme ' || n_regionkey AS employer, 'Lead Engineer' AS title, 'Pune' AS city, 'Jan 2019' AS start, NULL AS finish, true AS is_current, 'built ' || c_mktsegment AS description FROM p WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 2, 'Beta Labs', 'Analyst', NULL, '2015', '2018', false, NULL FROM p WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 1, c_mktsegment, 'Tester', NULL, NULL, NULL, false, 'ran things' FROM p WHERE c_custkey % 2 = 1""")
+def resume_experiences(spark, sf_dir):
+    e = resume.experiences(resume.fields(resumes(spark, sf_dir)), ["c_custkey"])
+    return e.select("c_custkey", F.col("job").cast("long").alias("job"), "employer", "title", F.col("place.city").alias("city"), "start", F.col("end").alias("finish"), "is_current", "description")
+
+
+_BETTER = _FOLD.replace("candidate_ix", "o_orderkey").replace("full_name", "value")
+
+
+@_query(f"""WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 AS rank, unnest(['priority', 'status']) AS key, unnest([o_orderpriority, o_orderstatus]) AS value FROM orders)
+SELECT o_custkey, key, {_BETTER}.value AS value FROM r GROUP BY 1, 2""")
+def merge_additional_data(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("candidate_ix"), (F.col("o_orderkey") % 3).cast("int").alias("rank"), F.create_map(F.lit("priority"), "o_orderpriority", F.lit("status"), "o_orderstatus").alias("data"))
+    return merge.merge_additional(o, "o_custkey", "data").select("o_custkey", F.explode("data").alias("key", "value"))
+
+
+@_query()
+def merge_education(spark, sf_dir):
+    """Without SQL: the fold depends on the order of buckets; tests hold it against expected buckets."""
+    o = _t(spark, sf_dir, "orders")
+    s = o.select("o_custkey", F.col("o_orderkey").alias("candidate_ix"), (F.col("o_orderkey") % 3).cast("int").alias("rank"), F.col("o_orderpriority").alias("institution"), F.col("o_orderstatus").alias("degree"), F.lit(None).cast("string").alias("start"), F.when(F.col("o_orderkey") % 4 > 0, F.date_format("o_orderdate", "yyyy-MM")).alias("end"), F.lit(1).cast("long").alias("weight"))
+    return merge.merge_education(s, "o_custkey")
+
+
+@_query(WITH + f""", h AS (SELECT n.candidate_ix, group_ix, x.field, x.value, x.normalizer FROM ranked n, LATERAL (SELECT unnest([{{'field': 'contactInfo', 'value': n.raw_email, 'normalizer': 'email'}}, {{'field': 'fullName', 'value': n.name, 'normalizer': NULL}}]) AS x)),
+w AS (SELECT group_ix, {_FOLD}.value AS sel FROM ranked GROUP BY 1)
+SELECT group_ix, field, candidate_ix::VARCHAR AS source_record_id, normalizer, value AS extracted, CASE WHEN field = 'fullName' THEN sel END AS selected, CASE WHEN field = 'fullName' THEN 'scalar' END AS strategy FROM h JOIN w USING (group_ix)
+UNION ALL SELECT group_ix, 'sourceRecords.' || candidate_ix, candidate_ix::VARCHAR, NULL, NULL, NULL, NULL FROM ranked""")
+def lineage_rows(spark, sf_dir):
+    r = resolved(spark, sf_dir).withColumn("source_record_id", F.col("candidate_ix").cast("string"))
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in (("contactInfo", "raw_email"), ("fullName", "name"))])
+    values = r.select("group_ix", "candidate_ix", "source_record_id", "source_type", F.inline(pairs))
+    ops = r.select("candidate_ix", F.lit("contactInfo.email").alias("op_field"), F.lit("email").alias("normalizer"), F.col("raw_email").alias("original"), F.col("email").alias("normalized"))
+    chosen = merge.merge_scalar(r, "group_ix", "full_name").select("group_ix", F.lit("fullName").alias("field"), F.col("full_name").alias("selected"), F.lit("scalar").alias("strategy"))
+    rows = lineage.provenance(lineage.field_history(values, ops, chosen), lineage.source_history(r.select("group_ix", "source_record_id", "source_type")))
+    return rows.select("group_ix", "field", "source_record_id", "normalizer", "extracted", "selected", "strategy")
+
+
+@_query("""WITH s AS (SELECT l_orderkey, strftime(max(l_shipdate), '%Y-%m') AS e FROM lineitem GROUP BY 1)
+SELECT o_custkey, sum(greatest(0, coalesce(left(e, 4)::INT, 2024) - year(o_orderdate)))::DOUBLE AS years_experience, count(*) AS n_jobs, min(strftime(o_orderdate, '%m/%Y')) AS sample_start FROM orders LEFT JOIN s ON l_orderkey = o_orderkey GROUP BY 1""")
+def project_virtual_fields(spark, sf_dir):
+    job = F.struct("employer", "title", "start", "end", "is_current", F.lit(None).cast("string").alias("description"))
+    g = stints(spark, sf_dir).groupBy("o_custkey").agg(F.collect_list(job).alias("experiences"))
+    p = project(g, Config(fields=("o_custkey", "years_experience", "ats_experience", {"path": "starts", "from": "experiences[].start"}), as_of_year=2024))
+    month = F.transform("starts", lambda x: F.date_format(F.to_date(x, "yyyy-MM"), "MM/yyyy"))
+    return p.select("o_custkey", "years_experience", F.size("ats_experience").cast("long").alias("n_jobs"), F.array_min(month).alias("sample_start"))
