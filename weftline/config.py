@@ -36,3 +36,9 @@ DEGREES = {
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 DEGREE_RANKS = ("phd", "doctor", "doctorate", "master", "mba", "bachelor", "b.tech", "ba", "bs", "associate", "diploma")
 OPEN_END = "9999-12-31"
+# How each field is merged.
+MERGE_STRATEGIES = {
+    "firstName": "scalar", "middleName": "scalar", "lastName": "scalar", "fullName": "scalar", "headline": "scalar", "summary": "scalar", "location": "scalar",
+    "contactInfo": "contact", "socialLinks": "social", "experiences": "experience", "education": "education", "skills": "array", "tags": "array", "additionalData": "scalar",
+}
+LOW_CONFIDENCE = 0.6

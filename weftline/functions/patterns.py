@@ -17,6 +17,11 @@ def extract_all(text: Column, pattern: str) -> Column:
     return unique_ci(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), lambda x: F.trim(x)))
 
 
+def urls(text: Column) -> Column:
+    """Addresses with a path, ``https://`` put before those without a scheme."""
+    return unique_ci(F.transform(extract_all(text, URL), lambda u: F.when(F.rlike(u, F.lit(r"(?i)^https?://")), u).otherwise(F.concat(F.lit("https://"), u))))
+
+
 def labeled(text: Column, *labels: str) -> Column:
     """What follows the first ``label:`` on its line, wherever it stands; labels in turn."""
     one = lambda label: blank_to_null(F.trim(F.regexp_extract(text, rf"(?iu){label}\s*:\s*([^\n\r]+)", 1)))

@@ -47,3 +47,11 @@ def provenance(*histories: DataFrame) -> DataFrame:
     rest = [c for c in COLUMNS if c not in ("group_ix", "id")]
     first = every.groupBy("group_ix", "id").agg(F.min(F.struct(*rest)).alias("s"))
     return first.select("group_ix", "id", "s.*").select(*COLUMNS)
+
+
+def attached(entities: DataFrame, histories: DataFrame, path: str = "path") -> DataFrame:
+    """Entities (group_ix, path) with ``provenance``: the histories about their own path, by id; an empty list where there is none."""
+    rest = [c for c in COLUMNS if c not in ("group_ix", "field")]
+    about = histories.groupBy("group_ix", F.col("field").alias(path)).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("provenance"))
+    kind = about.schema["provenance"].dataType
+    return entities.join(about, ["group_ix", path], "left").withColumn("provenance", F.coalesce("provenance", F.array().cast(kind)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
-from ..config import DEFAULT_SOURCE_WEIGHT, FIELD_WEIGHTS, MISSING_SOURCE_WEIGHT, SOURCE_WEIGHTS
+from ..config import DEFAULT_FIELD_WEIGHT, DEFAULT_SOURCE_WEIGHT, FIELD_WEIGHTS, LOW_CONFIDENCE, MISSING_SOURCE_WEIGHT, SOURCE_WEIGHTS
+from ..functions.ids import det_id
 
 
 def rounded4(c: Column) -> Column:
@@ -46,3 +49,25 @@ def overall(scores: dict[str, Column]) -> Column:
     for field, score in scores.items():
         value = value + F.coalesce(score, F.lit(0.0)) * FIELD_WEIGHTS[field]
     return rounded4(value / F.lit(total))
+
+
+def score_record(field: Column, owner: Column, source: Column, agree: Column, complete: Column, valid: Column) -> Column:
+    """One field's score with its parts: id, field, value, reason, weight, low (worth a second look)."""
+    value = combined(source, agree, complete, valid)
+    reason = F.format_string("source=%.2f, agreement=%.2f, completeness=%.2f, validation=%.2f", source.cast("double"), agree.cast("double"), complete.cast("double"), valid.cast("double"))
+    weights = F.create_map(*[F.lit(x) for p in FIELD_WEIGHTS.items() for x in p])
+    top = F.substring_index(field, ".", 1)
+    return F.struct(
+        det_id("field-confidence", owner, field).alias("id"),
+        field.alias("field"),
+        value.alias("value"),
+        reason.alias("reason"),
+        F.coalesce(F.try_element_at(weights, top), F.lit(DEFAULT_FIELD_WEIGHT)).alias("weight"),
+        (value < LOW_CONFIDENCE).alias("low"),
+    )
+
+
+def entity_scores(entities: Column, field: str, owner: Column, source: Column, complete: Callable[[Column], Column], valid: Callable[[Column], Column]) -> Column:
+    """A score for each entry of a list, under ``field.<place>``; an entry has no rivals, so its agreement is 1."""
+    one = lambda x, i: score_record(F.concat(F.lit(f"{field}."), i.cast("string")), owner, source, F.lit(1.0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), complete(x) / 100)), valid(x))
+    return F.transform(entities, one)

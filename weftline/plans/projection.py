@@ -33,6 +33,10 @@ class Config:
     formats: dict[str, dict] = field(default_factory=dict)
     #: The year at which open jobs are taken to end; None: the current one.
     as_of_year: int | None = None
+    #: Add the scores and histories of each projected path, and the source records.
+    include_confidence: bool = False
+    include_provenance: bool = False
+    include_source_records: bool = False
 
 
 # Outer names of inner fields.
@@ -89,6 +93,28 @@ def _ats_provenance(p: Column) -> Column:
     return F.struct(F.coalesce(F.try_element_at(outer, p["field"]), p["field"]).alias("field"), _source_name(p).alias("source"), method.alias("method"))
 
 
+def _overall() -> Column:
+    """The record's own score, else the mean of its fields' scores at four digits, else 0."""
+    own = _first_of(F.col("confidence"), lambda s: s["field"] == "overall")["value"]
+    total = F.aggregate("confidence", F.lit(0.0), lambda a, s: a + s["value"])
+    return F.coalesce(own, F.when(F.size("confidence") > 0, F.floor(total / F.size("confidence") * 10000 + 0.5) / 10000), F.lit(0.0))
+
+
+def _under(entries: str, source: str) -> Column:
+    """The entries about a source path or a part of it."""
+    return F.filter(entries, lambda s: (s["field"] == source) | F.startswith(s["field"], F.lit(f"{source}.")))
+
+
+def _completion() -> Column:
+    """The filled share of eight fields, at two digits."""
+    text = [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("full_name", "headline", "summary")]
+    lists = [F.coalesce(F.size(c) > 0, F.lit(False)) for c in ("contacts", "experiences", "education", "skills")]
+    filled = F.lit(0)
+    for x in (*text, F.col("location").isNotNull(), *lists):
+        filled = filled + x.cast("int")
+    return F.floor(filled / 8 * 100 + 0.5) / 100
+
+
 def virtual(name: str, as_of_year: int | None = None) -> Column | None:
     """Fields that are not stored but derived from contacts, links, experiences, education, detailed skills and provenance."""
     contacts = lambda kind: F.transform(F.filter("contacts", lambda c: c["kind"] == kind), lambda c: c["value"])
@@ -101,6 +127,7 @@ def virtual(name: str, as_of_year: int | None = None) -> Column | None:
         "ats_experience": lambda: F.transform("experiences", _ats_job),
         "ats_education": lambda: F.transform("education", _ats_school),
         "ats_provenance": lambda: F.transform("provenance", _ats_provenance),
+        "overall_confidence": _overall,
     }
     return made[name]() if name in made else None
 
@@ -138,6 +165,8 @@ COMPUTED: dict[str, Callable[[], Column]] = {
     "primary_email": lambda: primary("email"),
     "primary_phone": lambda: primary("phone"),
     "skills_count": lambda: F.size("skills").cast("long"),
+    "experience_count": lambda: F.size("experiences").cast("long"),
+    "profile_completion": _completion,
 }
 
 
@@ -189,6 +218,12 @@ def compile_plan(config: Config) -> list[tuple[str, Column]]:
         if config.missing == "error":
             c = F.when(c.isNull(), F.raise_error(F.lit(f"missing field {path}"))).otherwise(c)
         out.append((path, c))
+    for wanted_too, name in ((config.include_confidence, "confidence"), (config.include_provenance, "provenance")):
+        if wanted_too:
+            about = F.struct(*[_under(name, source).alias(re.sub(r"\W", "_", path)) for source, path in sorted(seen)])
+            out = [(p, c) for p, c in out if p != name] + [(name, about)]
+    if config.include_source_records:
+        out.append(("source_records", F.col("source_records")))
     return out
 
 

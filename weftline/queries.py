@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .config import DEGREE_RANKS
 from .functions import normalize, patterns
-from .operators import identity, lineage, merge, resume, score
+from .operators import identity, lineage, merge, operations, planning, resume, score
 from .plans.projection import Config, project
 from .sources import files, structured
 
@@ -380,3 +380,87 @@ def project_virtual_fields(spark, sf_dir):
     p = project(g, Config(fields=("o_custkey", "years_experience", "ats_experience", {"path": "starts", "from": "experiences[].start"}), as_of_year=2024))
     month = F.transform("starts", lambda x: F.date_format(F.to_date(x, "yyyy-MM"), "MM/yyyy"))
     return p.select("o_custkey", "years_experience", F.size("ats_experience").cast("long").alias("n_jobs"), F.array_min(month).alias("sample_start"))
+
+
+@_query(WITH + """, f AS (SELECT group_ix, rank, candidate_ix, unnest([{'field': 'fullName', 'strategy': 'scalar', 'said': full_name}, {'field': 'headline', 'strategy': 'scalar', 'said': headline},
+  {'field': 'contactInfo', 'strategy': 'contact', 'said': email || '|' || CASE WHEN raw_phone IS NOT NULL THEN phone_any ELSE '' END}], recursive := true) FROM ranked)
+SELECT group_ix, field, strategy, coalesce(string_agg(candidate_ix::VARCHAR, ',' ORDER BY rank, candidate_ix) FILTER (WHERE said IS NOT NULL), '') AS candidates,
+  coalesce(string_agg(candidate_ix::VARCHAR, ',' ORDER BY candidate_ix) FILTER (WHERE said IS NULL), '') AS missing, count(DISTINCT said) > 1 AS has_conflict FROM f GROUP BY ALL""")
+def merge_plan_conflicts(spark, sf_dir):
+    p = planning.merge_plan(resolved(spark, sf_dir), {"fullName": "full_name", "headline": "headline", "contactInfo": "contacts"})
+    return p.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("candidates", "missing")})
+
+
+@_query(WITH + """, o AS (SELECT candidate_ix, CASE WHEN candidate_ix % 5 > 0 THEN raw_email ELSE 'none' END AS mail, raw_phone, phone_any FROM norm)
+SELECT candidate_ix, 0 AS ord, 'contactInfo.phone' AS field, 'phone' AS normalizer, raw_phone AS original, phone_any AS normalized FROM o WHERE raw_phone IS NOT NULL
+UNION ALL SELECT candidate_ix, (raw_phone IS NOT NULL)::INT, 'contactInfo.email', 'email', mail, lower(trim(mail)) FROM o WHERE mail <> 'none'
+UNION ALL SELECT candidate_ix, (raw_phone IS NOT NULL)::INT + (mail <> 'none')::INT + i::INT, 'skill.name', 'skill', [' golang', 'K8S'][i + 1], ['Go', 'Kubernetes'][i + 1] FROM o, range(2) t(i)""")
+def norm_operation_log(spark, sf_dir):
+    f = feed(spark, sf_dir).withColumn("mail", F.when(F.col("candidate_ix") % 5 > 0, F.col("raw_email")).otherwise("none")).withColumn("skills", F.array(F.lit(" golang"), F.lit("K8S")))
+    applied = [("raw_phone", "contactInfo.phone", "phone", normalize.phone_e164), ("mail", "contactInfo.email", "email", normalize.email), ("skills", "skill.name", "skill", normalize.skill)]
+    return operations.as_rows(operations.logged(f, applied), ["candidate_ix"])
+
+
+@_query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'resume' WHEN 1 THEN 'csv' WHEN 2 THEN 'github' ELSE 'fax' END AS label, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 10 END AS rank FROM part""")
+def source_priority_rank(spark, sf_dir):
+    said = F.element_at(F.array(*[F.lit(x) for x in ("Resume Upload", "Import CsvParser", "GitHub Profile", "letter")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    label = merge.source_label(said, F.lit("fax"))
+    return _t(spark, sf_dir, "part").select("p_partkey", label.alias("label"), merge.priority_rank(label).alias("rank"))
+
+
+@_query("""WITH l AS (SELECT page_id, page_id % 7 AS grp, page_id % 3 AS rank, CASE WHEN page_id % 2 = 0 THEN upper(url) ELSE url END AS url, CASE WHEN contains(lower(url), 'linkedin.com') THEN 'linkedin' WHEN contains(lower(url), 'github.com') THEN 'github' ELSE 'portfolio' END AS platform FROM (SELECT page_id, split_part(url, '?', 1) AS url FROM pages))
+SELECT grp, platform || ':' || lower(url) AS key, arg_min(url, {'rank': rank, 'page_id': page_id}) AS url FROM l GROUP BY ALL""")
+def merge_links_union(spark, sf_dir):
+    u = F.substring_index("url", "?", 1)
+    p = _t(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("grp"), (F.col("page_id") % 3).alias("rank"), "page_id", F.when(F.col("page_id") % 2 == 0, F.upper(u)).otherwise(u).alias("url"))
+    key = F.concat(patterns.platform(F.col("url")), F.lit(":"), F.lower("url"))
+    return merge.merge_union(p, "grp", key, [F.col("rank"), F.col("page_id")], F.col("url")).select("grp", "key", F.col("value").alias("url"))
+
+
+@_query(r"""WITH t AS (SELECT page_id, regexp_extract_all('Site: ' || url || ' and github.com/u' || page_id || '; GitHub.com/U' || page_id, '(?i)(?:https?://)?(?:www\.)?[a-z0-9.-]+\.[a-z]{2,}/[^\s,;|)]+') AS m FROM pages),
+u AS (SELECT page_id, list_transform(m, lambda x: CASE WHEN regexp_matches(x, '(?i)^https?://') THEN x ELSE 'https://' || x END) AS m FROM t)
+SELECT page_id, array_to_string(list_filter(m, lambda x, i: list_position(list_transform(m, lambda y: lower(y)), lower(x)) = i), '|') AS urls FROM u""")
+def extract_urls(spark, sf_dir):
+    k = F.col("page_id").cast("string")
+    text = F.concat(F.lit("Site: "), "url", F.lit(" and github.com/u"), k, F.lit("; GitHub.com/U"), k)
+    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(patterns.urls(text), "|").alias("urls"))
+
+
+@_query(WITH + """, e AS (SELECT candidate_ix, CASE source_type WHEN 'ats' THEN 0.95 ELSE 0.7 END AS w, unnest(range(1 + (raw_phone IS NOT NULL)::INT)) AS i, email, phone_any FROM norm),
+s AS (SELECT candidate_ix, i, w, least(1.0, (length(CASE i WHEN 0 THEN email ELSE phone_any END) + 5) / 100.0) AS c FROM e)
+SELECT candidate_ix, 'contactInfo.' || i AS field, floor(w::DOUBLE * c::DOUBLE * 10000 + 0.5) / 10000 AS value, 1.0::DOUBLE AS weight, w * c < 0.6 AS low FROM s""")
+def entity_confidence(spark, sf_dir):
+    n = normalized(spark, sf_dir)
+    valid = lambda c: score.contact_validity(F.array(c))
+    s = score.entity_scores(F.col("contacts"), "contactInfo", F.col("candidate_ix"), score.source_weight(F.col("source_type")), lambda c: merge.text_completeness(c["value"]), valid)
+    return n.select("candidate_ix", F.inline(s)).select("candidate_ix", "field", "value", "weight", "low")
+
+
+@_query("""SELECT c_custkey, floor((3 + (c_custkey % 2 = 0)::INT + (c_custkey % 3 = 0)::INT + (c_custkey % 5 = 0)::INT) / 8.0 * 100 + 0.5) / 100 AS profile_completion,
+(c_custkey % 5 = 0)::BIGINT AS experience_count, CASE WHEN c_custkey % 2 = 0 THEN 0.9 ELSE 0.35 END::DOUBLE AS overall_confidence FROM customer""")
+def project_computed(spark, sf_dir):
+    k = F.col("c_custkey")
+    score_of = lambda f, v: F.struct(F.lit(f).alias("field"), F.lit(v).alias("value"))
+    none = F.array().cast("array<string>")
+    p = _t(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.col("c_name").alias("full_name"),
+        F.when(k % 2 == 0, F.lit("Builder")).otherwise("").alias("headline"),
+        F.when(k % 3 == 0, F.lit("Builds")).alias("summary"),
+        F.struct(F.lit("IN").alias("country")).alias("location"),
+        F.array(F.struct(F.lit("email").alias("kind"))).alias("contacts"),
+        F.when(k % 5 == 0, F.array(F.lit("job"))).otherwise(none).alias("experiences"),
+        none.alias("education"),
+        none.alias("skills"),
+        F.when(k % 2 == 0, F.array(score_of("overall", 0.9), score_of("skills", 0.1))).otherwise(F.array(score_of("fullName", 0.5), score_of("skills", 0.2))).alias("confidence"),
+    )
+    return project(p, Config(fields=("c_custkey", "overall_confidence"), computed=("profile_completion", "experience_count")))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Placed' WHEN p_partkey % 3 = 0 THEN 'Named' ELSE 'cv' || (p_partkey % 3) END AS source_name, CASE WHEN p_partkey % 4 = 0 THEN 'manual' WHEN p_partkey % 3 = 0 THEN 'ats' ELSE 'resume' END AS source_type FROM part""")
+def source_descriptors(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    listed = part.select("p_partkey", F.col("p_partkey").alias("ord"), F.concat(F.lit("cv"), (F.col("p_partkey") % 3).cast("string"), F.lit(".txt")).alias("name"))
+    placed = part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("ord"), F.lit("x.pdf").alias("file_name"), F.lit("Placed").alias("source_name"), F.lit("manual").alias("source_type"))
+    named = part.limit(1).select(F.lit(-1).cast("long").alias("ord"), F.lit("cv0.txt").alias("file_name"), F.lit("Named").alias("source_name"), F.lit("ats").alias("source_type"))
+    return files.described(listed, placed.unionByName(named)).select("p_partkey", "source_name", "source_type")

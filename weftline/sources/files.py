@@ -52,6 +52,21 @@ def decoded(content: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[\\x00\\uFEFF\\uFFFE]", ""))
 
 
+def described(listed: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """Adds source_name and source_type to files (ord, name): from the descriptor at the same place, else the first of the
+    same file name; what neither gives is the name without its extension, and the type the name suggests.
+
+    ``descriptors``: ord, file_name, source_name, source_type. Repeated places count once, the smallest descriptor.
+    """
+    said = F.struct(F.col("source_name").alias("name"), F.col("source_type").alias("type"))
+    at = descriptors.groupBy("ord").agg(F.min(said).alias("_at"))
+    named = descriptors.filter("file_name is not null").groupBy(F.col("file_name").alias("name")).agg(F.min_by(said, "ord").alias("_named"))
+    d = listed.join(at, "ord", "left").join(named, "name", "left").withColumn("_said", F.coalesce("_at", "_named"))
+    stem = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
+    d = d.withColumn("source_name", F.coalesce("_said.name", stem)).withColumn("source_type", F.coalesce("_said.type", source_type(F.col("name"))))
+    return d.drop("_at", "_named", "_said")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder: name, type, parser, reject_reason and content; sizes over the limit keep their row, not their content.
     Spark's reader leaves out files without any bytes."""
