@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from ..operators.tables import written
 
 SCALE = 256
-LEAF, FANOUT = 48, 12
+LEAF, FANOUT = 256, 12
 MAX_ROUTES = 256
 QUERY_BLOCK = 20_000
 
@@ -39,29 +39,38 @@ class Tree:
         self.vectors, self.ids = vectors[order], ids[order]
         v = self.vectors.astype(np.float64)
         self.lifted = np.column_stack((v, np.sqrt(np.maximum(0.0, lift - (v * v).sum(axis=1)))))
-        self.nodes: list[tuple] = []  # (routing vector, radius, distance to parent's, children or None, members, their distances)
+        self.nodes: list[tuple] = []  # a leaf: (first row, behind the last, distances); an inner node: (numbers, routing vectors, radii, distances to this node's) of its children
+        self.rows: list[np.ndarray] = []
+        self.filled = 0
         everything = np.arange(len(ids))
-        self.root = self._node(everything, int(everything[0]), None)
+        self.route = self.lifted[0].copy()
+        self.root, self.radius = self._node(everything, 0)
+        rows = np.concatenate(self.rows)  # a leaf's members stand together
+        self.vectors, self.ids, self.lifted = self.vectors[rows], self.ids[rows], self.lifted[rows]
+        del self.rows
 
     def _distances(self, members: np.ndarray, to: int) -> np.ndarray:
         return np.sqrt(((self.lifted[members] - self.lifted[to]) ** 2).sum(axis=1))
 
-    def _node(self, members: np.ndarray, route: int, parent: int | None) -> int:
+    def _node(self, members: np.ndarray, route: int) -> tuple[int, float]:
+        """The number and covering radius of a new node."""
         own = self._distances(members, route)
-        up = float(np.sqrt(((self.lifted[route] - self.lifted[parent]) ** 2).sum())) if parent is not None else 0.0
-        children = None
-        if len(members) > LEAF:
+        if len(members) <= LEAF:
+            self.nodes.append((self.filled, self.filled + len(members), own))
+            self.rows.append(members)
+            self.filled += len(members)
+        else:
+            groups = []
             if own.max() > 0:
                 routes = np.unique(members[np.linspace(0, len(members) - 1, FANOUT).astype(int)])
-                near = np.argmin(((self.lifted[members][:, None, :] - self.lifted[routes][None]) ** 2).sum(axis=2), axis=1) if len(members) * FANOUT < 200_000 else self._nearest(members, routes)
+                near = self._nearest(members, routes)
                 groups = [(members[near == i], int(r)) for i, r in enumerate(routes) if (near == i).any()]
-            else:
-                groups = []
             if len(groups) < 2 or max(len(g) for g, _ in groups) > 0.95 * len(members):
                 groups = [(g, int(g[0])) for g in np.array_split(members, min(FANOUT, -(-len(members) // LEAF)))]
-            children = [self._node(g, r, route) for g, r in groups]
-        self.nodes.append((route, float(own.max()), up, children, members if children is None else None, own if children is None else None))
-        return len(self.nodes) - 1
+            made = [self._node(g, r) for g, r in groups]
+            routes = np.array([r for _, r in groups])
+            self.nodes.append(([n for n, _ in made], self.lifted[routes], np.array([r for _, r in made]), self._distances(routes, route)))
+        return len(self.nodes) - 1, float(own.max())
 
     def _nearest(self, members: np.ndarray, routes: np.ndarray) -> np.ndarray:
         a, b = self.lifted[members], self.lifted[routes]
@@ -80,35 +89,39 @@ class Tree:
             return np.sqrt(max(0.0, length + lift - 2 * t) + margin) if t > -np.inf else np.inf
 
         limit = reach(threshold)
-        route, radius, _, *_ = self.nodes[self.root]
-        d = float(np.sqrt(((q - self.lifted[route]) ** 2).sum()))
-        heap = [(max(0.0, d - radius), self.root, d)]
+        exact = length * lift < 2.0**104  # no sum of products leaves the whole numbers a float holds
+        d = float(np.sqrt(((q - self.route) ** 2).sum()))
+        heap = [(max(0.0, d - self.radius), self.root, d)]
         while heap:
             low, at, d = heapq.heappop(heap)
             if low > limit:
                 break
-            _, _, _, children, members, stored = self.nodes[at]
-            if children is not None:
-                for c in children:
-                    route, radius, up, *_ = self.nodes[c]
-                    if abs(d - up) - radius > limit:
-                        continue
-                    dc = float(np.sqrt(((q - self.lifted[route]) ** 2).sum()))
-                    if dc - radius <= limit:
-                        heapq.heappush(heap, (max(0.0, dc - radius), c, dc))
+            node = self.nodes[at]
+            if len(node) == 4:
+                numbers, routes, radii, ups = node
+                may = np.flatnonzero(np.abs(d - ups) - radii <= limit)
+                near = np.sqrt(((q - routes[may]) ** 2).sum(axis=1))
+                for j, dc in zip(may.tolist(), near.tolist()):
+                    if dc - radii[j] <= limit:
+                        heapq.heappush(heap, (max(0.0, dc - float(radii[j])), numbers[j], dc))
                 continue
-            may = members[np.abs(d - stored) <= limit]
-            scores = self.vectors[may] @ query
-            for s, i in zip(scores.tolist(), self.ids[may].tolist()):
-                if i == own_id or s < threshold:
-                    continue
+            first, behind, stored = node
+            may = first + np.flatnonzero(np.abs(d - stored) <= limit)
+            rows = slice(first, behind) if len(may) == behind - first else may
+            scores = self.lifted[rows] @ q if exact else self.vectors[rows] @ query  # the lifting component meets a 0
+            fit = np.flatnonzero(scores >= threshold)
+            fit = fit[self.ids[may[fit]] != own_id]
+            if len(fit) > k:
+                fit = fit[np.lexsort((self.ids[may[fit]], -scores[fit]))[:k]]
+            for s, i in zip(scores[fit].tolist(), self.ids[may[fit]].tolist()):
+                s = int(s)
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
                 elif (s, -i) > best[0]:
                     heapq.heapreplace(best, (s, -i))
-                if len(best) == k and best[0][0] > threshold:
-                    threshold = best[0][0]
-                    limit = reach(threshold)
+            if len(best) == k and best[0][0] > threshold:
+                threshold = best[0][0]
+                limit = reach(threshold)
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
