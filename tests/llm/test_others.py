@@ -52,6 +52,17 @@ def test_main_text_and_templates(spark):
     assert wrapper.extracted(pages.limit(0)).count() == 0
 
 
+def test_template_is_induced_from_all_pages(spark):
+    rows = [(1000 + 10 * h + i, f"http://few{h}.example/{i}", page(1000 + 10 * h + i)) for h in range(12) for i in range(3)]  # three pages a host
+    rows += [(i, f"http://hot.example/{i}", page(i, "A notice" if i != 37 else "Something else")) for i in range(60)]  # one page in 60 lacks the note
+    rows += [(100 + i, f"http://odd.example/{i}", page(100 + i)) for i in range(5)] + [(105, "http://odd.example/", "<p>Another layout</p>"), (106, "http://odd.example/", "<nav>none</nav>")]
+    out = {r["page_id"]: r["text"] for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    assert [i for i in out if i >= 1000 and "Share this story now" in out[i]] == []
+    assert [i for i in range(60) if out[i].endswith("A notice")] == [i for i in range(60) if i != 37]
+    assert all(out[100 + i].endswith(f"part 3 & more text {(100 + i) * 3}") for i in range(5)) and out[105] == "Another layout" and out[106] == ""
+
+
 def test_tree_matching_keeps_order():
     def tree(label, *kids):
         t = wrapper.Tree(label)
