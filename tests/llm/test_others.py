@@ -63,6 +63,17 @@ def test_template_is_induced_from_all_pages(spark):
     assert all(out[100 + i].endswith(f"part 3 & more text {(100 + i) * 3}") for i in range(5)) and out[105] == "Another layout" and out[106] == ""
 
 
+def test_article_text_is_kept_whole():
+    text = lambda page: wrapper.main_text(page, None)
+    assert text("<body><div class='content'>part one</div><div class=ad>buy</div><div id=content><div class=post>longer part two</div></div>") == "part one\n\nlonger part two"
+    assert text("<body class='has-sidebar'><p>one</p>") == text("<div class='page no-comments'><article>one</article></div>") == text("<html class=nav><article class='post related-true'>one</article>") == "one"
+    assert text("<body class=sidebar><main class=overlay id=menu><p>one</p></main>") == text("<div class=widget><article class=related>one</article></div>") == "one"
+    assert text("<p>bare</p><div class=widget><div class=share>x</div><article>one</article></div>") == "bare\n\none"
+    assert text("<main role=main><div role=main>one</div></main>") == "one"
+    assert text("<article>one<div class='cookie-banner'>c</div><div class=post-navigation>n</div><div class='has-share'>two</div><article class='comment-body'>rant</article></article>") == "one\n\ntwo"
+    assert text("<main><div class=x>one</div><div id=comments><article>rant</article></div><ol class=thread><article class=comment>rant</article></ol></main>") == "one"
+
+
 def test_tree_matching_keeps_order():
     def tree(label, *kids):
         t = wrapper.Tree(label)
