@@ -7,7 +7,6 @@ Every stage works on all its predecessor kept. All but the last return the colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from weftline.llm import langid, pack, pii, simhash, winnow
 from weftline.operators.tables import written
@@ -26,14 +25,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class: the one with the smallest id."""
-    classes = written(simhash.near_duplicate_classes(docs).select("doc_id", "component_id"), "classes")
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counts = first.groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(counts.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    repeated = kept.filter("_rows > 1")  # ids that occur more than once; all their rows are one class or share its smallest id
-    one = repeated.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text")))).filter("_n = 1")
-    return kept.filter("_rows = 1").unionByName(one.drop("_n")).select(*docs.columns)
+    """Keep one row of each near-duplicate class: that with the smallest id, null ids last.
+
+    Among rows of one id the digest of the whole row decides, and of equal rows one is kept. Ids
+    play no part in what a class is: documents without an id or with the same one are all kept if
+    their texts are far apart, and lost to a near copy like any other.
+    """
+    digest = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.isnull(c))])
+    docs = docs.withColumn("_digest", digest)
+    rows = simhash.classes(docs, keep=("_digest",)).groupBy("component", "doc_id", "_digest").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("null"), "doc_id", "_digest", "n")).alias("x"))
+    first = written(first.select(F.col("x.doc_id").alias("_id"), F.col("x._digest").alias("_of"), F.col("x.n").alias("_rows")), "kept")
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")))
+    one = kept.filter("_rows > 1").dropDuplicates(["doc_id", "_digest"])
+    return kept.filter("_rows = 1").unionByName(one).select(*[c for c in docs.columns if c != "_digest"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,15 +79,16 @@ def _covering_triples() -> list[tuple[int, int, int]]:
 TRIPLES = _covering_triples()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (id, fp long). A null text has no words."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: (id, ``keep``, fp long). A null text has no words."""
+    names = [id_col, *keep]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+        fps = np.array([fingerprint(t) for t in b.column(len(names)).to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fps, pa.int64())], names=[*names, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(small_batches(batch), f"`{id_col}` {kind}, fp long")
+    return docs.select(*names, text_col).mapInArrow(small_batches(batch), f"{kinds}, fp long")
 
 
 def _byte(col, position: int):
@@ -131,6 +132,16 @@ def links(fps: DataFrame, max_bits: int = 4, list_limit: int = 64) -> DataFrame:
     return near.unionByName(stars).distinct()
 
 
+def classes(docs: DataFrame, max_bits: int = 4, list_limit: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, ``keep``, fp, component (the class's key, a fingerprint), component_id."""
+    rows = written(fingerprints(docs, keep=keep), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    labels = connected_components(links(distinct.select("fp"), max_bits, list_limit))
+    of_fp = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    smallest = of_fp.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return rows.join(of_fp.join(smallest, "component").select("fp", "component", "component_id"), "fp").select("doc_id", *keep, "fp", "component", "component_id")
+
+
 def near_duplicate_classes(docs: DataFrame, max_bits: int = 4, list_limit: int = 64) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -139,10 +150,5 @@ def near_duplicate_classes(docs: DataFrame, max_bits: int = 4, list_limit: int =
     other. Repeated rows stay repeated. A null doc_id takes part in linking and gets the
     smallest id that is not null, or null if its class has none. Other columns are ignored.
     """
-    rows = written(fingerprints(docs), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    labels = connected_components(links(distinct.select("fp"), max_bits, list_limit))
-    classes = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_fp = classes.join(smallest, "component").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = classes(docs, max_bits, list_limit)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
