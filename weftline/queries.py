@@ -281,7 +281,7 @@ def jobs(docs: DataFrame, ids: list[str]) -> DataFrame:
 @_query(WITH + f""", f AS (SELECT group_ix, {_FOLD}.value AS full_name, count(*) AS n_sources, string_agg(DISTINCT email, '|' ORDER BY email) AS emails, coalesce(string_agg(DISTINCT CASE WHEN raw_phone IS NOT NULL THEN phone_any END, '|' ORDER BY CASE WHEN raw_phone IS NOT NULL THEN phone_any END), '') AS phones FROM ranked GROUP BY group_ix)
 SELECT * FROM f""")
 def fused_profiles(spark, sf_dir):
-    """The whole flow: normalize, resolve, fold names, unite contacts, project."""
+    """Normalize, resolve, fold names, unite contacts; fields are neither scored nor projected here."""
     r = resolved(spark, sf_dir)
     names = merge.merge_scalar(r, "group_ix", "full_name").select("group_ix", "full_name")
     of = lambda kind: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(F.filter("contacts", lambda c: c["kind"] == kind), lambda c: c["value"])))))
