@@ -32,19 +32,23 @@ def best_fit_decreasing(lengths, capacity):
     return sorted(gaps)
 
 
-def test_plan_equals_best_fit_decreasing():
+def test_sweeps_against_best_fit_decreasing(spark):
     rng = random.Random(5)
-    for _ in range(60):
-        capacity = rng.choice([7, 16, 50])
-        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 200))]
-        counts = {n: lengths.count(n) for n in lengths}
-        used = {}
-        for length, a, b, first, each, filled in pack.plan(counts, capacity):
-            for r in range(b - a):
-                s, o = first + r // each, filled + r % each * length
-                assert used.get(s, 0) == o
-                used[s] = o + length
-        assert sorted(capacity - x for x in used.values()) == best_fit_decreasing(lengths, capacity)
+    for capacity, n, most in ((7, 60, 7), (300, 500, 260)):
+        lengths = [rng.randint(1, most) for _ in range(n)]
+        items = spark.createDataFrame([(i, 0, x, i) for i, x in enumerate(lengths)], "doc_id long, piece int, length long, rank int")
+        by = {}
+        out = pack.best_fit(items, capacity).collect()
+        for r in out:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert sorted(r["length"] for r in out) == sorted(lengths) and all(r["rank"] == r["doc_id"] for r in out)
+        for places in by.values():
+            at = 0
+            for o, x in sorted(places):
+                assert o == at
+                at += x
+            assert at <= capacity
+        assert len(by) <= len(best_fit_decreasing(lengths, capacity)) * 1.02 + 1
 
 
 def test_packing_of_a_table(spark):
@@ -68,5 +72,5 @@ def test_packing_of_a_table(spark):
             assert o == at
             at += n
         assert at <= 2048
-    assert len(by) == len(best_fit_decreasing([w[3] for w in want], 2048))
+    assert len(by) <= len(best_fit_decreasing([w[3] for w in want], 2048))
     assert pack.packed_documents(docs.limit(0), "word_bpe_49k.json").count() == 0

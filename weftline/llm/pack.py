@@ -1,20 +1,18 @@
 """Best-fit packing of tokenized documents into fixed-length sequences.
 
-Bulk-synchronous best-fit over length classes. Pieces of one length are interchangeable, so a
-superstep moves whole classes: documents are sorted by length and gaps by size, each class
-sweeps to its successor among the gaps (the smallest that still holds it), pieces that want
-the same gap are told apart by their rank within the class, gaps shrink, and the next class
-follows. That is best-fit decreasing, whatever the number of pieces: documents and gaps are
-sorted as at most ``capacity`` classes each with counts, a table whose size the capacity
-bounds, while ranking the pieces and giving each its place are distributed. A class that holds a third of all
-pieces is ranked in ``SALTS`` shares whose counts are then added up.
+Bulk-synchronous best-fit over length classes. Pieces of one length are interchangeable, and so
+are sequences with equal gaps, so documents and gaps are tables of classes with counts, sorted
+by size together. A sweep matches a band of lengths with the gaps, each piece with the smallest
+slot that still holds it; pieces that want the same gap are told apart by rank, gaps
+shrink, and the next sweep follows until no gap takes a piece and sequences are opened. Sweeps
+are joins and windows over written tables whose size the capacity bounds; ranking the pieces and
+giving each its place work on all pieces. A class that holds a third of all pieces is ranked in
+``SALTS`` shares whose counts are then added up.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..operators.tables import written
-from .shared import TEXT_BATCH_ROWS, small_batches
+from .shared import TEXT_BATCH_ROWS, broadcast_if, small_batches
 
 CAPACITY, END_ID = 2048, 0
 SALTS = 256
@@ -146,72 +144,144 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_
     return docs.select("doc_id", "text").mapInArrow(small_batches(batch, TEXT_BATCH_ROWS), schema)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Supersteps (length, rank_from, rank_to, first_sequence, per_sequence, offset): pieces of
-    that length with ranks in [rank_from, rank_to) go, ``per_sequence`` at a time, to consecutive
-    sequences from ``first_sequence``, each filled up to ``offset`` before.
+#: Gaps are offered to one band of lengths at a time, the longest first: (capacity/(k+1), capacity/k] for k up to
+#: ``BANDS``, of which k fit one sequence whatever their lengths, then halves down to capacity/``LAST_BAND``, then the rest.
+BANDS, LAST_BAND = 4, 32
+#: Rows of the placement table that are broadcast at most.
+BROADCAST_ROWS = 200_000
+RUN, DOCS, PLACED = 0, 1, 2
+STATE = "kind int, value long, first long, n long, rank_from long, rank_to long, slot_from long, each long"
 
-    ``counts`` holds pieces per length. Gaps are kept as runs of sequences with equal gaps.
+
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """(above, up to) lengths, from the longest down."""
+    cuts = [capacity // k for k in range(1, BANDS + 1)]
+    k = 2 * BANDS
+    while k <= LAST_BAND:
+        cuts.append(capacity // k)
+        k *= 2
+    cuts = sorted({c for c in cuts if c > 0}, reverse=True)
+    return list(zip([*cuts[1:], 0], cuts))
+
+
+def swept(state: DataFrame, above: int, longest: int, capacity: int, fresh: tuple[int, int] | None = None) -> DataFrame:
+    """The state after one sweep that matches pieces of lengths in (above, longest] with gaps.
+
+    ``state`` holds runs (``n`` sequences from ``first`` on with gaps of ``value``) and piece classes (``n`` unplaced
+    pieces of length ``value``, those of rank ``first`` and above); the result also what was placed. ``fresh`` is
+    (first number, how many) of new sequences to open where no gap is left.
+
+    A gap offers as many slots as pieces of the longest length fit it, one at least. Gaps and pieces are sorted by size
+    together. Pieces in turn, the longest first, take the smallest slot that still holds them: the sweep is a matching
+    of parentheses, so running sums give the depth of every slot and piece, and a piece's slot is the last one before
+    it at its depth. Pieces that want one gap are told apart by their rank. All tables here are classes: their rows
+    are bounded by the capacity and the number of sweeps, not by the pieces.
+    """
+    mine = (F.col("value") > above) & (F.col("n") > 0)
+    runs = state.filter((F.col("kind") == RUN) & mine).select("value", "first", "n", F.col("value").alias("order"))
+    if fresh:
+        opened = state.sparkSession.range(1).select(F.lit(capacity).cast("long").alias("value"), F.lit(fresh[0]).cast("long").alias("first"), F.lit(fresh[1]).cast("long").alias("n"), F.lit(capacity + 1).cast("long").alias("order"))
+        runs = runs.unionByName(opened)
+    each = F.greatest(F.lit(1).cast("long"), F.floor(F.col("value") / longest))
+    runs = runs.select("order", F.lit(RUN).alias("kind"), "value", "first", "n", each.alias("each"), (F.col("n") * each).alias("size"))
+    pieces_ = state.filter((F.col("kind") == DOCS) & mine & (F.col("value") <= longest)).select(F.col("value").alias("order"), F.lit(DOCS).alias("kind"), "value", "first", "n", F.lit(1).cast("long").alias("each"), (-F.col("n")).alias("size"))
+    by_size = Window.orderBy(F.col("order").desc(), "kind", "first")
+    so_far = by_size.rowsBetween(Window.unboundedPreceding, 0)
+    e = runs.unionByName(pieces_).withColumn("place", F.row_number().over(by_size)).withColumn("sum", F.sum("size").over(so_far))
+    e = e.withColumn("depth", F.col("sum") - F.least(F.lit(0).cast("long"), F.min("sum").over(so_far))).withColumn("before", F.lag("depth", 1, 0).over(by_size))
+    e = e.withColumns({"low": F.least("depth", "before"), "high": F.greatest("depth", "before")}).drop("sum", "order", "size")
+    e = written(e.coalesce(1), "packing-depths")  # read four times
+
+    in_order = Window.orderBy("low")
+    cuts = e.select("low").union(e.select("high")).distinct().select("low", F.row_number().over(in_order).alias("at"), F.lead("low").over(in_order).alias("next"))
+    from_, to = cuts.select("low", F.col("at").alias("from_at")), cuts.select(F.col("low").alias("high"), F.col("at").alias("to_at"))
+    parts = e.filter("high > low").join(from_, "low").join(to, "high").withColumn("at", F.explode(F.sequence("from_at", F.col("to_at") - 1)))
+    slot = F.when(F.col("kind") == RUN, F.struct("value", "first", "each", "high"))
+    last = F.last(slot, ignorenulls=True).over(Window.partitionBy("at").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    met = parts.withColumn("run", last).filter(F.col("kind") == DOCS).join(cuts.select("at", F.col("low").alias("base"), "next"), "at")
+    ranks = F.col("first") + F.col("before") - F.col("next")
+    met = met.select(
+        F.col("value").alias("length"), ranks.alias("rank_from"), (ranks + F.col("next") - F.col("base")).alias("rank_to"),
+        F.col("run.value").alias("gap"), F.col("run.first").alias("first"), F.col("run.each").alias("each"), (F.col("run.high") - F.col("next")).alias("a"), (F.col("run.high") - F.col("base")).alias("z"),
+    )
+    met = written(met.coalesce(1), "packing-matches")  # read five times
+
+    up, down = F.ceil(F.col("a") / F.col("each")), F.floor(F.col("z") / F.col("each"))
+    split = lambda at, n: F.struct(at.cast("long").alias("at"), n.cast("long").alias("n"))
+    head = F.when(F.col("a") % F.col("each") > 0, split(up - 1, F.least("z", up * F.col("each")) - F.col("a")))
+    tail = F.when((F.col("z") % F.col("each") > 0) & (down >= up), split(down, F.col("z") - down * F.col("each")))
+    shared = met.select("gap", "first", "length", F.explode(F.array_compact(F.array(head, tail))).alias("x"))
+    shared = shared.groupBy("gap", (F.col("first") + F.col("x.at")).alias("first")).agg(F.sum(F.col("length") * F.col("x.n")).alias("used"))
+    filled = met.filter(down > up).select((F.col("gap") - F.col("each") * F.col("length")).alias("value"), (F.col("first") + up).alias("first"), (down - up).alias("n"))
+    taken = met.groupBy("first").agg(F.max(F.ceil(F.col("z") / F.col("each"))).alias("taken"))
+    kept = state.filter(F.col("kind") == RUN).join(taken, "first", "left").select("value", (F.col("first") + F.coalesce("taken", F.lit(0))).alias("first"), (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n"))
+    after = filled.unionByName(shared.select((F.col("gap") - F.col("used")).alias("value"), "first", F.lit(1).cast("long").alias("n"))).unionByName(kept)
+    after = after.filter("n > 0 and value > 0").select(F.lit(RUN).alias("kind"), "value", "first", "n")
+    placed = met.select(F.lit(PLACED).alias("kind"), F.col("length").alias("value"), "first", (F.col("rank_to") - F.col("rank_from")).alias("n"), "rank_from", "rank_to", F.col("a").alias("slot_from"), "each")
+    went = met.groupBy(F.col("length").alias("value")).agg(F.sum(F.col("rank_to") - F.col("rank_from")).alias("went"))
+    left = state.filter(F.col("kind") == DOCS).join(went, "value", "left").select("kind", "value", (F.col("first") + F.coalesce("went", F.lit(0))).alias("first"), (F.col("n") - F.coalesce("went", F.lit(0))).alias("n")).filter("n > 0")
+    return after.unionByName(left).unionByName(placed, allowMissingColumns=True).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in STATE.split(", ")])
+
+
+def placements(classes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Where the pieces of each class (length, n) go: (length, rank_from, rank_to, first, slot_from, each, sweep).
+
+    The piece of rank r goes to sequence ``first + (slot_from + r - rank_from) div each``. Bulk-synchronous best-fit:
+    bands of lengths from the longest down, in each sweeps over written tables until no gap takes a piece, then one
+    that opens sequences. Only totals of a sweep reach the driver, which decides whether another one follows.
     """
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> [(first sequence, behind the last)]
-    gaps: list[int] = []
-    steps, opened = [], 0
-
-    def leave(gap: int, first: int, last: int) -> None:
-        if gap and last > first:
-            if gap not in runs or not runs[gap]:
-                insort(gaps, gap)
-            runs[gap].append((first, last))
-
-    for length in sorted(counts, reverse=True):
-        rank, n = 0, counts[length]
-        if not 0 < length <= capacity:
-            raise ValueError(f"a piece of length {length} does not fit {capacity}")
-        while rank < n:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, last = runs[gap].pop()
-                if not runs[gap]:
-                    del gaps[at]
-            else:
-                gap, first = capacity, opened
-                last = opened = opened + -(-(n - rank) // (capacity // length))
-            each = gap // length
-            want = n - rank
-            used = min(last - first, -(-want // each))
-            full = min(used, want // each)
-            moved = min(want, used * each)
-            steps.append((length, rank, rank + moved, first, each, capacity - gap))
-            rank += moved
-            leave(gap - each * length, first, first + full)
-            if full < used:
-                leave(gap - (moved - full * each) * length, first + full, first + used)
-            leave(gap, first + used, last)
-    return steps
+    state = classes.select(F.lit(DOCS).alias("kind"), F.col("length").alias("value"), F.lit(0).cast("long").alias("first"), "n")
+    state = written(state.select(*[(F.col(c.split()[0]) if c.split()[0] in state.columns else F.lit(None)).cast(c.split()[1]).alias(c.split()[0]) for c in STATE.split(", ")]), "packing-state")
+    worst = state.agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
+    if worst["low"] is not None and not 0 < worst["low"] <= worst["high"] <= capacity:
+        raise ValueError(f"pieces of lengths {worst['low']} to {worst['high']} do not fit {capacity}")
+    out, opened, number = [], 0, 0
+    for above, longest in bands(capacity):
+        moved = True
+        while True:
+            own = (F.col("kind") == DOCS) & (F.col("value") > above) & (F.col("value") <= longest)
+            gap = (F.col("kind") == RUN) & (F.col("value") > above)
+            now = state.agg(F.sum(F.when(own, F.col("n"))).alias("n"), F.sum(F.when(own, F.col("n") * F.col("value"))).alias("tokens"), F.min(F.when(own, F.col("value"))).alias("low"), F.max(F.when(own, F.col("value"))).alias("high"), F.max(F.when(gap, F.col("value"))).alias("gap")).first()
+            if not now["n"]:
+                break
+            opening = not moved or (now["gap"] or 0) < now["low"]
+            fit = capacity // now["high"]
+            # as many as the pieces left need at least: no more than ``fit`` of them meet if all are longer than a (fit + 1)-th
+            more = -(-now["n"] // fit) if now["low"] * (fit + 1) > capacity else -(-now["tokens"] // capacity)
+            state = written(swept(state, above, now["high"], capacity, (opened, more) if opening else None).coalesce(1), "packing-state")
+            number += 1
+            own_placed = state.filter(F.col("kind") == PLACED)
+            out.append(own_placed.select(F.col("value").alias("length"), "rank_from", "rank_to", "first", "slot_from", "each", F.lit(number).alias("sweep")))
+            done = own_placed.agg(F.sum("n").alias("n"), F.max(F.when(F.col("first") == opened, F.ceil((F.col("slot_from") + F.col("n")) / F.col("each")))).alias("opened")).first()
+            moved = bool(done["n"])
+            opened += (done["opened"] or 0) if opening else 0
+    if not out:
+        return state.select(F.col("value").alias("length"), "rank_from", "rank_to", "first", "slot_from", "each", F.lit(0).alias("sweep"))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return written(every, "placements")
 
 
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to ``items`` (doc_id, piece, length and any other columns).
 
     ``items`` is read three times and should be a written table. Ties among pieces of one length
-    are broken by id and piece. No rows, no sequences.
+    are broken by id and piece, and repeated rows get places of their own. No rows, no sequences. Helper columns are
+    named with a leading underscore, so columns called salt, rank or first pass through.
     """
-    spark = items.sparkSession
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    shares = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    shares = written(shares, "length-shares")
-    counts = {r["length"]: r["n"] for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    steps = plan(counts, capacity)
-    before = shares.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32" if "ids_crc32" in items.columns else "piece")) - 1
-    ranked = salted.withColumn("within", within).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
-    table = spark.createDataFrame(steps, "length long, rank_from long, rank_to long, first long, each long, filled long")
-    placed = ranked.join(F.broadcast(table), "length").filter("rank >= rank_from and rank < rank_to")
-    nth = F.col("rank") - F.col("rank_from")
-    sequence = (F.col("first") + F.floor(nth / F.col("each"))).cast("long")
-    offset = (F.col("filled") + (nth % F.col("each")) * F.col("length")).cast("long")
-    return placed.select(*[F.col(c) for c in items.columns], sequence.alias("sequence_id"), offset.alias("offset"))
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    shares = written(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")), "length-shares")
+    table = placements(shares.groupBy("length").agg(F.sum("n").alias("n")), capacity)
+    table = table.select("length", *[F.col(c).alias(f"_{c}") for c in table.columns if c != "length"])
+    before = shares.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32" if "ids_crc32" in items.columns else "piece")) - 1
+    ranked = salted.withColumn("_within", within).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_within"))
+    placed = ranked.join(broadcast_if(table, table.count() <= BROADCAST_ROWS), "length").filter("_rank >= _rank_from and _rank < _rank_to")
+    slot = F.col("_slot_from") + F.col("_rank") - F.col("_rank_from")
+    placed = placed.withColumn("sequence_id", (F.col("_first") + F.floor(slot / F.col("_each"))).cast("long")).withColumn("_slot", slot)
+    filled = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("_sweep", "_slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    return placed.select(*[F.col(c) for c in items.columns], "sequence_id", filled.cast("long").alias("offset"))
 
 
 def packed_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
