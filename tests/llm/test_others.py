@@ -74,16 +74,65 @@ def test_article_text_is_kept_whole():
     assert text("<main><div class=x>one</div><div id=comments><article>rant</article></div><ol class=thread><article class=comment>rant</article></ol></main>") == "one"
 
 
-def test_tree_matching_keeps_order():
-    def tree(label, *kids):
-        t = wrapper.Tree(label)
-        t.children = list(kids)
-        return t
-
-    a, b = tree("x", tree("p"), tree("q"), tree("p")), tree("x", tree("q"), tree("p"), tree("p"))
-    weight, pairs = wrapper.simple_tree_matching(a, b)
-    assert [(x.label, y.label) for x, y in pairs[1:]] == [("p", "p"), ("q", "q")] or len(pairs) == 3
-    assert weight == 4.5
+def tree(label, *kids, text=""):
+    t = wrapper.Tree(label, text)
+    t.children = list(kids)
+    return t
+
+
+def plain_matching(a, b):
+    """Weight of the best alignment, by the definition."""
+    if a.label != b.label:
+        return 0.0
+    own = 1 + 0.5 * (a.text == b.text)
+    if not a.children or not b.children:
+        return own
+    m = [[0.0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + plain_matching(x, y))
+    return own + m[-1][-1]
+
+
+def test_tree_matching_against_the_definition():
+    rng = random.Random(18)
+
+    def grown(depth):
+        kids = [grown(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+        return tree(rng.choice("pq"), *kids, text=rng.choice(["", "x", "y"]))
+
+    for _ in range(200):
+        a, b = tree("#", *[grown(3) for _ in range(3)]), tree("#", *[grown(3) for _ in range(4)])
+        assert wrapper.Matching().weight(a, b) == plain_matching(a, b)
+        pairs = wrapper.Matching().pairs(a, b)
+        inner = {id(x): x for pair in pairs for x in pair}
+        weight = sum(1 + 0.5 * (x.text == y.text) for x, y in pairs)
+        assert weight == plain_matching(a, b) and len(inner) == 2 * len(pairs) and all(x.label == y.label for x, y in pairs)
+
+
+def test_deep_and_wide_pages(spark):
+    deep = lambda i: "<div>" * 1500 + f"note{i}" + "</div>" * 1500
+    wide = lambda i: "<article>" + "".join(f"<p>part {i} {k}</p>" for k in range(6000)) + "<p>the same</p></article>"
+    rows = [(i, f"http://deep.example/{i}", deep(i)) for i in range(3)] + [(10 + i, f"http://wide.example/{i}", wide(i)) for i in range(3)]
+    out = {r["page_id"]: r["text"] for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(3)] == ["note0", "note1", "note2"]
+    assert all(out[10 + i].count("\n\n") == 5999 and "the same" not in out[10 + i] for i in range(3))
+
+
+def test_unmarked_furniture_is_found_by_alignment(spark):
+    """Hosts whose menus, banners and footers carry no telling tag or class: only the template removes them."""
+    rng = random.Random(19)
+    words = lambda n: " ".join(rng.choice("alba brin cort dusk elm fern".split()) + str(rng.randint(0, 99)) for _ in range(n))
+    rows, want = [], {}
+    for h in range(4):
+        menu, foot = "".join(f"<div class=x1><p>{words(2)}</p></div>" for _ in range(5)), f"<div class=x9><p>{words(6)}</p><p>{words(3)}</p></div>"
+        for i in range(8):
+            body = [words(rng.randint(5, 30)) for _ in range(rng.randint(1, 6))]
+            rows.append((100 * h + i, f"https://host{h}.example/{i}", f"<body><div>{menu}</div><div class=x2><h1>{body[0]}</h1>{''.join(f'<p>{x}</p>' for x in body[1:])}</div>{foot}<nav>{words(3)}</nav></body>"))
+            want[100 * h + i] = "\n\n".join(body)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrapper.extracted(pages).collect()} == want
+    assert sum(wrapper.main_text(p, None) != want[i] for i, _, p in rows) == len(rows)  # without templates all are wrong
 
 
 def test_conversations_round_trip(spark):
