@@ -27,9 +27,78 @@ def test_randomness_battery(spark):
 
 def test_battery_is_uniform_for_random_symbols():
     rng = random.Random(11)
-    p = [secret_scan.fisher(secret_scan.battery([rng.randrange(16) for _ in range(40)], 16)) for _ in range(2000)]
-    assert 0.4 < np.mean(p) < 0.6 and np.mean(np.array(p) < 0.05) < 0.12
-    assert secret_scan.fisher(secret_scan.battery([3] * 40, 16)) < 1e-6
+    for n, size in ((16, 64), (40, 16), (24, 36), (150, 62)):
+        values = [[rng.randrange(size) for _ in range(n)] for _ in range(1500)]
+        p = np.array([secret_scan.joint(secret_scan.battery(v, size), n, size) for v in values])
+        assert abs(p.mean() - 0.5) < 0.06 and np.mean(p < 0.05) < 0.1 and np.mean(p > 0.5) > 0.42, (n, size)
+        assert secret_scan.joint(secret_scan.battery([3] * n, size), n, size) < 1e-3
+
+
+def plain_statistics(v, size):
+    n = len(v)
+    chi2 = sum((v.count(x) - n / size) ** 2 / (n / size) for x in range(size))
+    high = [2 * x >= size for x in v]
+    a, b = sum(high), n - sum(high)
+    mean, var = 1 + 2 * a * b / n, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+    runs = abs(1 + sum(x != y for x, y in zip(high, high[1:])) - mean) / max(var, 1e-9) ** 0.5 if a and b else float("inf")
+    m = sum(v) / n
+    return chi2, runs, abs(sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / sum((x - m) ** 2 for x in v) + 1 / n)
+
+
+def test_statistics_and_thresholds_against_the_definitions(spark):
+    rng = random.Random(12)
+    for n, size in ((16, 16), (31, 62)):
+        v = [[rng.randrange(size) for _ in range(n)] for _ in range(50)]
+        assert np.allclose(secret_scan.statistics(np.array(v), size), [plain_statistics(x, size) for x in v])
+    p = [rng.random() for _ in range(300)] + [rng.random() / 50 for _ in range(700)]
+    table = spark.createDataFrame([([("hex", 1, x)],) for x in p] + [([("base62", 2, 0.9)],)], "tokens array<struct<encoding:string,length:int,p:double>>")
+    got = secret_scan.thresholds(table)
+    bins = lambda q: [min(99, int(x * 100)) for x in q]
+
+    def plain(q):
+        randoms, best = 2 * sum(b >= 50 for b in bins(q)), None
+        for i in range(100):
+            above = sum(b >= i for b in bins(q))
+            if above and max(0.0, above - randoms * (1 - i / 100)) / above <= 0.1:
+                best = i / 100 if best is None else best
+        return max(0.01, best)
+
+    assert got == {("hex", 1): plain(p), ("base62", 2): plain([*p, 0.9])}  # a stratum of one token is judged by all
+
+
+def test_planted_keys_among_ordinary_tokens(spark):
+    """Recall and share of false discoveries per stratum, over keys planted among identifiers, paths and stamps."""
+    rng = random.Random(20)
+    alphabets = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "base62": string.ascii_letters + string.digits, "base64url": string.ascii_letters + string.digits + "-_"}
+    parts = "user account update get list name value config module version build report final draft page item order total count index table column".split()
+
+    def ordinary():
+        w = [rng.choice(parts) for _ in range(rng.randint(3, 8))]
+        kind = rng.randrange(4)
+        if kind == 0:
+            return "_".join(w) + str(rng.randint(1, 99))
+        if kind == 1:
+            return "".join(x.title() for x in w) + str(rng.randint(1, 9))
+        if kind == 2:
+            return f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}-" + "-".join(w)
+        return "/".join(w) + f"/v{rng.randint(1, 9)}"
+
+    rows, planted = [], {}
+    for i in range(4000):
+        rows.append((i, f"see {ordinary()} here", 0))
+    for name, chars in alphabets.items():
+        for n in (16, 24, 32, 48):
+            for k in range(40):
+                planted[len(rows)] = (name, n)
+                rows.append((len(rows), f"see {''.join(rng.choice(chars) for _ in range(n))} here", 0))
+    out = secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string, base int"))
+    found = {r["doc_id"] for r in out.filter("size(spans) > 0").collect()}
+    recall = {key: sum(1 for i, x in planted.items() if x == key and i in found) / 40 for key in set(planted.values())}
+    false = len(found - set(planted)) / len(found)
+    print({"false discoveries": false, **{f"{e} {n}": r for (e, n), r in sorted(recall.items())}})
+    assert false <= 0.15
+    assert all(recall["hex", n] == 1 for n in (16, 24, 32, 48))  # base spans
+    assert np.mean([r for (e, n), r in recall.items()]) >= 0.8 and np.mean([r for (e, n), r in recall.items() if n >= 24]) >= 0.85
 
 
 def page(i, host_note="Share this story now"):
