@@ -245,6 +245,44 @@ def test_importance_and_gumbel(spark):
     assert len(importance.features("A b a")) == 5 and importance.features("A b").tolist() == importance.features(" a\tB ").tolist()
 
 
+def plain_weight(text, ratio):
+    """From the words themselves: hashed unigrams and bigrams, one ratio each."""
+    f, mask = importance, (1 << 64) - 1
+    words = []
+    for w in (text or "").encode().lower().split():
+        h = 0
+        for i, c in enumerate(w):
+            h = (h + (c + 1) * pow(0x100000001B3, i, 1 << 64)) & mask
+        words.append(h ^ (h >> 29))
+    grams = [(w * 0xBF58476D1CE4E5B9) & mask for w in words] + [(a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) & mask for a, b in zip(words, words[1:])]
+    return [(g >> 33) % f.BUCKETS for g in grams]
+
+
+def test_importance_against_plain_counts(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice("Good fine text élan here spam".split()) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(70, None)]
+    good = set(range(0, 60, 3))
+    raw, target = [0] * importance.BUCKETS, [0] * importance.BUCKETS
+    for i, t in rows:
+        for g in plain_weight(t, None):
+            raw[g] += 1
+            target[g] += i in good
+    total = lambda n: sum(n) + importance.BUCKETS
+    ratio = [np.log((b + 1) / total(target)) - np.log((a + 1) / total(raw)) for a, b in zip(raw, target)]
+    labels = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    out = importance.resampled(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_grams int"), labels).collect()
+    want = {i: sum(ratio[g] for g in plain_weight(t, None)) for i, t in rows}
+    assert all(abs(r["log_weight"] - want[r["doc_id"]]) < 1e-9 and r["n_grams"] == len(plain_weight(dict(rows)[r["doc_id"]], None)) for r in out)
+    chosen = sorted(out, key=lambda r: -r["gumbel_key"])[: -(-len(out) // 2)]
+    assert {r["doc_id"] for r in chosen} == {r["doc_id"] for r in out if r["selected"]}
+
+
+def test_copies_share_the_places_left(spark):
+    rows = spark.createDataFrame([(1, 7, 0.0)] * 500 + [(2, 8, 50.0)], "doc_id long, digest long, log_weight double").repartition(6)
+    out = importance.gumbel_top_k(rows, 300).collect()
+    assert len(out) == 501 and sum(r["selected"] for r in out) == 300 and all(r["selected"] for r in out if r["doc_id"] == 2)
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(14)
     v = rng.normal(0, 0.4, (900, 8))

@@ -120,8 +120,18 @@ def gumbel_top_k(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
         lo, hi = low, math.nextafter(high, math.inf)
         if low == high or n <= 1000:
             break
-    order = Window.orderBy(F.col("gumbel_key").desc(), "doc_id", "digest")
-    edge = keyed.filter((key >= lo) & (key < hi)).withColumn("selected", F.row_number().over(order) <= k - above)
+    edge = keyed.filter((key >= lo) & (key < hi))
+    if low == high:  # copies of one row: any of them will do, so each part of the table gives its share of the places left
+        edge = edge.withColumn("_part", F.spark_partition_id())
+        quota, left = {}, k - above
+        for r in edge.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row per part
+            quota[r["_part"]] = min(left, r["n"])
+            left -= quota[r["_part"]]
+        own = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in quota.items() for x in item]), F.col("_part")), F.lit(0))
+        nth = F.row_number().over(Window.partitionBy("_part").orderBy("digest"))
+        edge = edge.withColumn("selected", nth <= own).drop("_part")
+    else:  # 1000 rows at most
+        edge = edge.withColumn("selected", F.row_number().over(Window.orderBy(F.col("gumbel_key").desc(), "doc_id", "digest")) <= k - above)
     rest = keyed.filter((key < lo) | (key >= hi)).withColumn("selected", key >= hi)
     return rest.unionByName(edge)
 
@@ -130,7 +140,8 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int
     """Scores all of ``docs`` and draws ``share`` of its rows, rounded up.
 
     Null texts have no n-grams and weight 0; without labels all weights are 0 and the draw is
-    uniform. Repeated rows get one key and are drawn together but for the last place. Other columns are ignored.
+    uniform. Repeated rows get one key and are drawn together but for the last place. Other columns are ignored, whatever
+    their names. Long texts are read whole. No rows, no rows.
     """
     rows = written(scored(docs, labels), "importance")
     return gumbel_top_k(rows, math.ceil(share * rows.count()), seed)

@@ -27,7 +27,7 @@ from ..operators.tables import written
 
 SCALE = 256
 LEAF, FANOUT = 256, 12
-MAX_ROUTES = 256
+MAX_ROUTES = 1024
 QUERY_BLOCK = 20_000
 
 
@@ -142,7 +142,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     ties to the smaller vec_id; every row but the query's own id is a candidate.
 
     Shorter vectors count as padded with zeros. Repeated ids are candidates each; a repeated query id is
-    searched once, with its first vector in order. Fewer candidates than k give fewer rows; an empty table none.
+    searched once, with its first vector in order. Fewer candidates than k give fewer rows; an empty table none. Other columns are ignored, whatever their names.
+    Long vectors are searched whole; a page holds 16,384 vectors at most.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -193,7 +194,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
             d = _to_routes(q, routing) - np.array([radius.get(i, np.inf) for i in range(len(routing))])[None]
             d[:, [i for i in range(len(routing)) if i not in shares]] = np.inf
             route = d.argmin(axis=1)
-            share = [int(i) % shares[int(r)] for i, r in zip(b.column(0).to_pylist(), route)]
+            share = [hash((int(i), 1)) % shares[int(r)] for i, r in zip(b.column(0).to_pylist(), route)]  # ids asked for may share factors with the number of shares
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(q), -np.inf)), pa.array(route.astype(np.int32)), pa.array(share, pa.int32())], names=names)
 
     def hopeful(batches):

@@ -8,8 +8,9 @@ least one of the 20 triples below, so every link still meets in some list. Withi
 shared positional bytes of each pair are tallied, pairs below the guaranteed minimum are
 dropped, and the rest are verified bit by bit.
 
-Lists longer than ``list_limit`` (dense groups of near copies) emit no pairs. Their members
-are linked exactly through midpoints instead: two fingerprints at distance <= 4 have a common
+Lists longer than ``list_limit`` emit no pairs at once. A linked pair agrees on one more position
+outside the triple, so their members are listed again by triple and each further byte: these lists hold 2^-32
+of the corpus. What is still longer (dense groups of near copies) is linked exactly through midpoints instead: two fingerprints at distance <= 4 have a common
 point at distance <= 2 from both, and all fingerprints within 2 of one point lie within 4 of
 each other. So each member names the 2081 points within 2 of itself, and per point every
 member is linked to the smallest one. At most 2081 fingerprints can share a point.
@@ -107,22 +108,28 @@ def links(fps: DataFrame, max_bits: int = 4, list_limit: int = 64) -> DataFrame:
             for i, (x, y, z) in enumerate(TRIPLES)
         ]
     )
-    postings = fps.select("fp", F.explode(keys).alias("key"))
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    lists = written(postings.join(sizes, "key"), "postings")
-    short, long_ = lists.filter(F.col("n") <= list_limit), lists.filter(F.col("n") > list_limit)
-
-    a, b = short.select("key", F.col("fp").alias("a")), short.select("key", F.col("fp").alias("b"))
-    shared = sum(((_byte(F.col("a"), p) == _byte(F.col("b"), p)).cast("int") for p in range(1, 8)), (_byte(F.col("a"), 0) == _byte(F.col("b"), 0)).cast("int"))
-    near = (
-        a.join(b, "key")
-        .filter(F.col("a") < F.col("b"))
-        .filter(shared >= 8 - max_bits)
-        .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        .select("a", "b")
-    )
-
-    dense = long_.select("fp").distinct()
+    bits = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+    def listed(postings: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(short lists, long lists); lists of one member are dropped."""
+        sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        lists = written(postings.join(sizes, "key"), name)
+        return lists.filter(F.col("n") <= list_limit), lists.filter(F.col("n") > list_limit)
+
+    def met(short: DataFrame) -> DataFrame:
+        """Linked pairs that meet in a list: the tally of shared positional bytes decides first, then the bits."""
+        a, b = short.select("key", F.col("fp").alias("a")), short.select("key", F.col("fp").alias("b"))
+        shared = sum(((_byte(F.col("a"), p) == _byte(F.col("b"), p)).cast("int") for p in range(1, 8)), (_byte(F.col("a"), 0) == _byte(F.col("b"), 0)).cast("int"))
+        return a.join(b, "key").filter(F.col("a") < F.col("b")).filter(shared >= 8 - max_bits).filter(bits("a", "b") <= max_bits).select("a", "b")
+
+    short, long_ = listed(fps.select("fp", F.explode(keys).alias("key")), "postings")
+    others = F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in t]) for t in TRIPLES])
+    position = F.explode(F.get(others, F.shiftright("key", 24).cast("int")))
+    further = long_.select("fp", "key", position.alias("p"))
+    byte = F.expr("shiftrightunsigned(fp, 8 * p)").bitwiseAND(F.lit(255))
+    finer, dense = listed(further.select("fp", F.shiftleft("key", 11).bitwiseOR(F.shiftleft(F.col("p").cast("long"), 8)).bitwiseOR(byte).alias("key")), "finer-postings")
+    near = met(short).unionByName(met(finer))
+    dense = dense.select("fp").distinct()
     partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     half = max_bits // 2
     flips = [0] + [1 << i for i in range(64) if half >= 1] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2) if half >= 2]
