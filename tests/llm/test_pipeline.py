@@ -81,3 +81,18 @@ def test_run(spark, tmp_path, n):
     table(spark, rows).limit(len(rows) if n else 0).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()), key=str)
     assert got == (sorted([*range(n), None, 300], key=str) if n else [])
+
+
+def test_clashing_columns_pass_through(spark, tmp_path):
+    spark.createDataFrame([(1, words(50, 14))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = "score mixture lang_pred fp digest component component_id rows kept_id hit_id base extra spans redacted column0 column3 _text _digest _id found hits words".split()
+    rows = [(i, words(i) + " ann.lee@mail.example", "en", "s", 3, *[f"{c}{i}" for c in extra]) for i in range(5)] + [(None, words(9), "en", None, None, *[None] * len(extra))]
+    docs = spark.createDataFrame(rows, SCHEMA + ", source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = sorted((tuple(r)[5:] for r in out.collect()), key=str)
+        assert got == sorted((r[5:] for r in rows), key=str), name
+        assert all((r["n_chars"] == len(r["text"])) == (name == "redact" and r["doc_id"] is not None) for r in out.collect()), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert pipeline.packing(spark, docs, str(tmp_path)).count() == 6
