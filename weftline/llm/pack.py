@@ -175,8 +175,9 @@ def swept(state: DataFrame, above: int, longest: int, capacity: int, fresh: tupl
     together. Pieces in turn, the longest first, take the smallest slot that still holds them: the sweep is a matching
     of parentheses, so running sums give the depth of every slot and piece, and a piece's slot is the last one before
     it at its depth. Pieces that want one gap are told apart by their rank. All tables here are classes: their rows
-    are bounded by the capacity and the number of sweeps, not by the pieces.
+    are bounded by the capacity and the number of sweeps, not by the pieces, so each is one partition and nothing is shuffled.
     """
+    state = state.coalesce(1)
     mine = (F.col("value") > above) & (F.col("n") > 0)
     runs = state.filter((F.col("kind") == RUN) & mine).select("value", "first", "n", F.col("value").alias("order"))
     if fresh:
@@ -187,24 +188,24 @@ def swept(state: DataFrame, above: int, longest: int, capacity: int, fresh: tupl
     pieces_ = state.filter((F.col("kind") == DOCS) & mine & (F.col("value") <= longest)).select(F.col("value").alias("order"), F.lit(DOCS).alias("kind"), "value", "first", "n", F.lit(1).cast("long").alias("each"), (-F.col("n")).alias("size"))
     by_size = Window.orderBy(F.col("order").desc(), "kind", "first")
     so_far = by_size.rowsBetween(Window.unboundedPreceding, 0)
-    e = runs.unionByName(pieces_).withColumn("place", F.row_number().over(by_size)).withColumn("sum", F.sum("size").over(so_far))
+    e = runs.unionByName(pieces_).coalesce(1).withColumn("place", F.row_number().over(by_size)).withColumn("sum", F.sum("size").over(so_far))
     e = e.withColumn("depth", F.col("sum") - F.least(F.lit(0).cast("long"), F.min("sum").over(so_far))).withColumn("before", F.lag("depth", 1, 0).over(by_size))
     e = e.withColumns({"low": F.least("depth", "before"), "high": F.greatest("depth", "before")}).drop("sum", "order", "size")
-    e = written(e.coalesce(1), "packing-depths")  # read four times
+    e = written(e, "packing-depths").coalesce(1)  # read four times
 
     in_order = Window.orderBy("low")
-    cuts = e.select("low").union(e.select("high")).distinct().select("low", F.row_number().over(in_order).alias("at"), F.lead("low").over(in_order).alias("next"))
+    cuts = e.select("low").union(e.select("high")).coalesce(1).distinct().select("low", F.row_number().over(in_order).alias("at"), F.lead("low").over(in_order).alias("next"))
     from_, to = cuts.select("low", F.col("at").alias("from_at")), cuts.select(F.col("low").alias("high"), F.col("at").alias("to_at"))
-    parts = e.filter("high > low").join(from_, "low").join(to, "high").withColumn("at", F.explode(F.sequence("from_at", F.col("to_at") - 1)))
+    parts = e.filter("high > low").join(from_.hint("merge"), "low").coalesce(1).join(to.hint("merge"), "high").coalesce(1).withColumn("at", F.explode(F.sequence("from_at", F.col("to_at") - 1)))
     slot = F.when(F.col("kind") == RUN, F.struct("value", "first", "each", "high"))
     last = F.last(slot, ignorenulls=True).over(Window.partitionBy("at").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    met = parts.withColumn("run", last).filter(F.col("kind") == DOCS).join(cuts.select("at", F.col("low").alias("base"), "next"), "at")
+    met = parts.withColumn("run", last).filter(F.col("kind") == DOCS).join(cuts.select("at", F.col("low").alias("base"), "next").hint("merge"), "at")
     ranks = F.col("first") + F.col("before") - F.col("next")
     met = met.select(
         F.col("value").alias("length"), ranks.alias("rank_from"), (ranks + F.col("next") - F.col("base")).alias("rank_to"),
         F.col("run.value").alias("gap"), F.col("run.first").alias("first"), F.col("run.each").alias("each"), (F.col("run.high") - F.col("next")).alias("a"), (F.col("run.high") - F.col("base")).alias("z"),
     )
-    met = written(met.coalesce(1), "packing-matches")  # read five times
+    met = written(met, "packing-matches").coalesce(1)  # read five times
 
     up, down = F.ceil(F.col("a") / F.col("each")), F.floor(F.col("z") / F.col("each"))
     split = lambda at, n: F.struct(at.cast("long").alias("at"), n.cast("long").alias("n"))
@@ -214,12 +215,12 @@ def swept(state: DataFrame, above: int, longest: int, capacity: int, fresh: tupl
     shared = shared.groupBy("gap", (F.col("first") + F.col("x.at")).alias("first")).agg(F.sum(F.col("length") * F.col("x.n")).alias("used"))
     filled = met.filter(down > up).select((F.col("gap") - F.col("each") * F.col("length")).alias("value"), (F.col("first") + up).alias("first"), (down - up).alias("n"))
     taken = met.groupBy("first").agg(F.max(F.ceil(F.col("z") / F.col("each"))).alias("taken"))
-    kept = state.filter(F.col("kind") == RUN).join(taken, "first", "left").select("value", (F.col("first") + F.coalesce("taken", F.lit(0))).alias("first"), (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n"))
+    kept = state.filter(F.col("kind") == RUN).join(taken.hint("merge"), "first", "left").select("value", (F.col("first") + F.coalesce("taken", F.lit(0))).alias("first"), (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n"))
     after = filled.unionByName(shared.select((F.col("gap") - F.col("used")).alias("value"), "first", F.lit(1).cast("long").alias("n"))).unionByName(kept)
     after = after.filter("n > 0 and value > 0").select(F.lit(RUN).alias("kind"), "value", "first", "n")
     placed = met.select(F.lit(PLACED).alias("kind"), F.col("length").alias("value"), "first", (F.col("rank_to") - F.col("rank_from")).alias("n"), "rank_from", "rank_to", F.col("a").alias("slot_from"), "each")
     went = met.groupBy(F.col("length").alias("value")).agg(F.sum(F.col("rank_to") - F.col("rank_from")).alias("went"))
-    left = state.filter(F.col("kind") == DOCS).join(went, "value", "left").select("kind", "value", (F.col("first") + F.coalesce("went", F.lit(0))).alias("first"), (F.col("n") - F.coalesce("went", F.lit(0))).alias("n")).filter("n > 0")
+    left = state.filter(F.col("kind") == DOCS).join(went.hint("merge"), "value", "left").select("kind", "value", (F.col("first") + F.coalesce("went", F.lit(0))).alias("first"), (F.col("n") - F.coalesce("went", F.lit(0))).alias("n")).filter("n > 0")
     return after.unionByName(left).unionByName(placed, allowMissingColumns=True).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in STATE.split(", ")])
 
 
@@ -231,8 +232,8 @@ def placements(classes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     that opens sequences. Only totals of a sweep reach the driver, which decides whether another one follows.
     """
     state = classes.select(F.lit(DOCS).alias("kind"), F.col("length").alias("value"), F.lit(0).cast("long").alias("first"), "n")
-    state = written(state.select(*[(F.col(c.split()[0]) if c.split()[0] in state.columns else F.lit(None)).cast(c.split()[1]).alias(c.split()[0]) for c in STATE.split(", ")]), "packing-state")
-    worst = state.agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
+    state = written(state.coalesce(1).select(*[(F.col(c.split()[0]) if c.split()[0] in state.columns else F.lit(None)).cast(c.split()[1]).alias(c.split()[0]) for c in STATE.split(", ")]), "packing-state")
+    worst = state.coalesce(1).agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
     if worst["low"] is not None and not 0 < worst["low"] <= worst["high"] <= capacity:
         raise ValueError(f"pieces of lengths {worst['low']} to {worst['high']} do not fit {capacity}")
     out, opened, number = [], 0, 0
@@ -241,7 +242,7 @@ def placements(classes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         while True:
             own = (F.col("kind") == DOCS) & (F.col("value") > above) & (F.col("value") <= longest)
             gap = (F.col("kind") == RUN) & (F.col("value") > above)
-            now = state.agg(F.sum(F.when(own, F.col("n"))).alias("n"), F.sum(F.when(own, F.col("n") * F.col("value"))).alias("tokens"), F.min(F.when(own, F.col("value"))).alias("low"), F.max(F.when(own, F.col("value"))).alias("high"), F.max(F.when(gap, F.col("value"))).alias("gap")).first()
+            now = state.coalesce(1).agg(F.sum(F.when(own, F.col("n"))).alias("n"), F.sum(F.when(own, F.col("n") * F.col("value"))).alias("tokens"), F.min(F.when(own, F.col("value"))).alias("low"), F.max(F.when(own, F.col("value"))).alias("high"), F.max(F.when(gap, F.col("value"))).alias("gap")).first()
             if not now["n"]:
                 break
             opening = not moved or (now["gap"] or 0) < now["low"]
@@ -252,7 +253,7 @@ def placements(classes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             number += 1
             own_placed = state.filter(F.col("kind") == PLACED)
             out.append(own_placed.select(F.col("value").alias("length"), "rank_from", "rank_to", "first", "slot_from", "each", F.lit(number).alias("sweep")))
-            done = own_placed.agg(F.sum("n").alias("n"), F.max(F.when(F.col("first") == opened, F.ceil((F.col("slot_from") + F.col("n")) / F.col("each")))).alias("opened")).first()
+            done = own_placed.coalesce(1).agg(F.sum("n").alias("n"), F.max(F.when(F.col("first") == opened, F.ceil((F.col("slot_from") + F.col("n")) / F.col("each")))).alias("opened")).first()
             moved = bool(done["n"])
             opened += (done["opened"] or 0) if opening else 0
     if not out:
@@ -260,7 +261,7 @@ def placements(classes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
-    return written(every, "placements")
+    return written(every.coalesce(1), "placements")
 
 
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
