@@ -7,7 +7,8 @@ from weftline.functions import normalize, patterns
 from weftline.operators import identity, merge, score
 from weftline.operators.components import connected_components
 from weftline.plans.projection import Config, ProjectionError, compile_plan, project
-from weftline.queries import best_degree, jobs
+from weftline.plans.projection import best_degree
+from weftline.queries import jobs
 from weftline.sources import files
 
 

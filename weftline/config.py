@@ -34,6 +34,8 @@ DEGREES = {
     "bsc": "Bachelor of Science", "m.tech": "Master of Technology", "mtech": "Master of Technology",
 }
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+# Short month names other than the first three letters.
+MONTH_SHORT = {"september": ("sep", "sept"), "may": ("may",)}
 DEGREE_RANKS = ("phd", "doctor", "doctorate", "master", "mba", "bachelor", "b.tech", "ba", "bs", "associate", "diploma")
 OPEN_END = "9999-12-31"
 # How each field is merged.
@@ -42,3 +44,18 @@ MERGE_STRATEGIES = {
     "contactInfo": "contact", "socialLinks": "social", "experiences": "experience", "education": "education", "skills": "array", "tags": "array", "additionalData": "scalar",
 }
 LOW_CONFIDENCE = 0.6
+
+
+def overridden(defaults: dict[str, float], text: str | None) -> dict[str, float]:
+    """Weights with those of ``name:number,name:number`` put in. Names are lower-cased, as those of sources are, so
+    names in mixed case cannot be overridden; what is no number in [0, 1] is left out."""
+    out = dict(defaults)
+    for part in (text or "").split(","):
+        name, _, value = part.partition(":")
+        try:
+            number = float(value)
+        except ValueError:
+            continue
+        if name.strip() and 0 <= number <= 1:
+            out[name.strip().lower()] = number
+    return out

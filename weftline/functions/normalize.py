@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..config import CITIES, COUNTRIES, DEGREES, MONTHS, SKILLS
+from ..config import CITIES, COUNTRIES, DEGREES, MONTH_SHORT, MONTHS, SKILLS
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -40,12 +40,12 @@ def phone_e164(c: Column) -> Column:
 
 
 def date_ym(c: Column) -> Column:
-    """YYYY-MM from YYYY-MM, YYYY, M/YYYY or a month name and year."""
+    """YYYY-MM from YYYY-MM, YYYY, M/YYYY or a month name (whole or short, without a dot) and year."""
     d = F.lower(collapsed(clean(c)))
-    month = F.regexp_extract(d, r"^([a-z]+)\.?,? ([0-9]{4})$", 1)
+    month = F.regexp_extract(d, r"^([a-z]+) ([0-9]{4})$", 1)
     number = F.lit(None).cast("string")
     for i, name in enumerate(MONTHS, 1):
-        number = F.when((month == name) | (month == name[:3]), F.lit(f"{i:02d}")).otherwise(number)
+        number = F.when(month.isin(name, *MONTH_SHORT.get(name, (name[:3],))), F.lit(f"{i:02d}")).otherwise(number)
     slash = F.regexp_extract(d, r"^([0-9]{1,2})/[0-9]{4}$", 1)
     return (
         F.when(F.rlike(d, F.lit(r"^[0-9]{4}-[0-9]{2}$")), d)
@@ -109,8 +109,10 @@ def split_values(c: Column) -> Column:
 
 
 def unique_ci(a: Column) -> Column:
-    """First spelling of each value, compared without case, in order."""
-    return F.filter(a, lambda x, i: F.array_position(F.transform(a, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    """First spelling of each value, compared without case, in order; sorted once, not compared in pairs."""
+    keyed = F.array_sort(F.transform(a, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = F.flatten(F.transform(F.array(keyed), lambda s: F.filter(s, lambda e, j: (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(e["k"]))))
+    return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 #: Which normalizer serves which field.
@@ -120,3 +122,10 @@ BY_FIELD = {
     "location.formatted": city, "location.country": country, "experience.employer": company, "education.institution": company,
     "socialLink.url": url, "education.degree": degree,
 }
+
+
+def field(name: str, c: Column) -> Column:
+    """The value of a named field, normalized where that can be done, else as it is."""
+    if name not in BY_FIELD:
+        raise KeyError(f"no normalizer for field {name!r}")
+    return safely(BY_FIELD[name], c)

@@ -10,16 +10,21 @@ from .tables import written
 
 
 def identity_keys(contacts: Column, links: Column, fallback: Column | None = None) -> Column:
-    """``kind:value`` of e-mails and phones, ``platform:url`` of github and linkedin links, lower-cased, unique, in order.
+    """``kind:value`` of e-mails and phones, then ``github:url`` and ``linkedin:url`` of links of that platform or whose
+    address holds its domain, lower-cased, unique, in order; ``fallback`` comes last where it is not null.
 
-    ``contacts``: array<struct<kind, value>>, ``links``: array<struct<platform, url>>; ``fallback`` is used where there is no key.
+    ``contacts``: array<struct<kind, value>>, ``links``: array<struct<platform, url>>.
     """
-    of_contact = F.transform(F.filter(contacts, lambda c: c["kind"].isin("email", "phone")), lambda c: F.concat(c["kind"], F.lit(":"), F.lower(F.trim(c["value"]))))
-    of_link = F.transform(F.filter(links, lambda x: x["platform"].isin("github", "linkedin")), lambda x: F.concat(x["platform"], F.lit(":"), F.lower(F.trim(x["url"]))))
-    keys = F.array_distinct(F.filter(F.concat(F.coalesce(of_contact, F.array().cast("array<string>")), F.coalesce(of_link, F.array().cast("array<string>"))), lambda k: k.isNotNull()))
-    if fallback is None:
-        return keys
-    return F.when((F.size(keys) == 0) & fallback.isNotNull(), F.array(fallback)).otherwise(keys)
+    none = F.array().cast("array<string>")
+    of_contact = F.transform(F.filter(contacts, lambda c: c["kind"].isin("email", "phone")), lambda c: F.when(F.trim(c["value"]) != "", F.concat(c["kind"], F.lit(":"), F.lower(F.trim(c["value"])))))
+
+    def of_link(x: Column) -> Column:
+        u = F.lower(F.trim(x["url"]))
+        on = lambda name: F.when(((x["platform"] == name) | F.contains(u, F.lit(f"{name}.com"))) & (u != ""), F.concat(F.lit(f"{name}:"), u))
+        return F.array(on("github"), on("linkedin"))
+
+    found = F.concat(F.coalesce(of_contact, none), F.coalesce(F.flatten(F.transform(links, of_link)), none), none if fallback is None else F.array(fallback))
+    return F.array_distinct(F.filter(found, lambda k: k.isNotNull()))
 
 
 def fallback_key(name: Column, employer: Column, location: Column) -> Column:
@@ -40,8 +45,14 @@ def resolve(candidates: DataFrame, ix: str = "candidate_ix", keys: str = "keys")
     return candidates.join(labels.withColumnsRenamed({"node": ix, "component": "group_ix"}), ix, "left").withColumn("group_ix", F.coalesce("group_ix", F.col(ix).cast("long")))
 
 
-def group_ids(resolved: DataFrame, ix: str = "candidate_ix", keys: str = "keys") -> DataFrame:
-    """(group_ix, group_id, keys, members): the id names the group's sorted keys, or its index where it has none."""
+def group_ids(resolved: DataFrame, ix: str = "candidate_ix", keys: str = "keys", name: str | None = None, location: str | None = None, source: str | None = None) -> DataFrame:
+    """(group_ix, group_id, keys, members): the id names the group's sorted keys; where it has none, its record's index, name,
+    place and source (columns; unknown where not given)."""
     exploded = resolved.select("group_ix", ix, F.explode_outer(keys).alias("key"))
     g = exploded.groupBy("group_ix").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.array_sort(F.collect_set(ix)).alias("members"))
-    return g.withColumn("group_id", F.when(F.size("keys") > 0, det_id("candidate-group", F.array_join("keys", "::"))).otherwise(det_id("candidate-group", F.col("group_ix"))))
+    part = lambda label, c, unknown: F.concat(F.lit(f"{label}:"), F.coalesce(F.col(c), F.lit(unknown)) if c else F.lit(unknown))
+    parts = [F.concat(F.lit("candidate-index:"), F.col(ix).cast("string")), part("candidate-name", name, "unknown-name"), part("candidate-location", location, "unknown-location")]
+    parts += [F.concat(F.lit("source:"), F.col(source))] if source else []
+    alone = resolved.filter(F.coalesce(F.size(keys), F.lit(0)) <= 0).select("group_ix", det_id("candidate-group", *parts).alias("_alone"))
+    named = g.join(alone, "group_ix", "left")
+    return named.select("group_ix", F.when(F.size("keys") > 0, det_id("candidate-group", F.array_join("keys", "::"))).otherwise(F.col("_alone")).alias("group_id"), "keys", "members")

@@ -13,9 +13,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..config import DEGREE_RANKS
 from ..functions import normalize
 
-DEFAULT_FIELDS = ("candidate_id", "full_name", "emails", "phones", "headline", "skills")
+# The fields of a projection that names none; such a projection shows missing values as null.
+DEFAULT_FIELDS = (
+    {"path": "candidate_id"}, {"path": "full_name"}, {"path": "emails", "type": "string[]"}, {"path": "phones", "type": "string[]", "normalize": "E164"},
+    {"path": "location", "type": "object"}, {"path": "links", "type": "object"}, {"path": "headline"}, {"path": "years_experience"},
+    {"path": "skills", "from": "ats_skills", "type": "object[]", "normalize": "canonical"}, {"path": "experience", "from": "ats_experience", "type": "object[]"},
+    {"path": "education", "from": "ats_education", "type": "object[]"}, {"path": "provenance", "from": "ats_provenance", "type": "object[]"}, {"path": "overall_confidence"},
+)
 FORBIDDEN = {"__proto__", "prototype", "constructor", ""}
 
 
@@ -161,12 +168,25 @@ def primary(kind: str) -> Column:
     return F.coalesce(F.get(F.filter(own, lambda c: c["is_primary"]), F.lit(0)), F.get(own, F.lit(0)))["value"]
 
 
+def best_degree(degrees: Column) -> Column:
+    """The first degree of the best rank; unranked ones come last."""
+
+    def rank(d: Column) -> Column:
+        out = F.lit(len(DEGREE_RANKS))
+        for i, name in reversed(list(enumerate(DEGREE_RANKS))):
+            out = F.when(F.contains(F.lower(d), F.lit(name)), i).otherwise(out)
+        return out
+
+    return F.get(F.array_sort(F.transform(degrees, lambda d, i: F.struct(rank(d).alias("r"), i.alias("i"), d.alias("d")))), F.lit(0))["d"]
+
+
 COMPUTED: dict[str, Callable[[], Column]] = {
     "primary_email": lambda: primary("email"),
     "primary_phone": lambda: primary("phone"),
     "skills_count": lambda: F.size("skills").cast("long"),
     "experience_count": lambda: F.size("experiences").cast("long"),
     "profile_completion": _completion,
+    "highest_degree": lambda: best_degree(F.filter(F.transform("education", lambda e: e["degree"]), lambda d: d.isNotNull())),
 }
 
 
@@ -180,9 +200,12 @@ def _dated(c: Column, form: str) -> Column:
 
 
 def formatted(c: Column, how: dict) -> Column:
+    """The first of the formats that applies; objects have no canonical form and stay as they are."""
+    if how.get("normalize") == "canonical" and how.get("objects"):
+        return c
     if how.get("normalize") == "canonical":
         return F.transform(c, normalize.skill) if how.get("array") else normalize.skill(c)
-    if how.get("normalize") == "E164":
+    if how.get("normalize") == "E164" or how.get("phone") == "e164":
         digits = lambda x: F.regexp_replace(x, r"[^0-9+]", "")
         return F.transform(c, digits) if how.get("array") else digits(c)
     if how.get("location") == "iso-country":
@@ -200,7 +223,8 @@ def compile_plan(config: Config) -> list[tuple[str, Column]]:
     """(output path, column) in order; duplicates and excluded paths dropped."""
     if config.missing not in ("omit", "null", "error"):
         raise ProjectionError(f"unknown missing-value policy {config.missing!r}")
-    wanted = [*(config.fields or (() if config.computed else DEFAULT_FIELDS)), *config.computed]
+    by_default = not config.fields and not config.computed
+    wanted = [*(DEFAULT_FIELDS if by_default else config.fields), *config.computed]
     out, seen = [], set()
     for w in wanted:
         spec = {"from": w, "path": config.rename.get(w, w)} if isinstance(w, str) else {"from": w.get("from", w["path"]), **w}
@@ -210,12 +234,14 @@ def compile_plan(config: Config) -> list[tuple[str, Column]]:
         if source in config.exclude or path in config.exclude or (source, path) in seen:
             continue
         seen.add((source, path))
-        if w in config.computed and w not in COMPUTED:
+        if isinstance(w, str) and w in config.computed and w not in COMPUTED:
             raise ProjectionError(f"unknown computed field {w!r}")
         c = COMPUTED[source]() if source in COMPUTED else resolve(source, config.as_of_year)
         how = {**config.formats.get(source, {}), **config.formats.get(path, {})} | ({"normalize": spec["normalize"]} if "normalize" in spec else {})
+        kind = spec.get("type", "")
+        how = {**how, "array": how.get("array", kind.endswith("[]")), "objects": kind.startswith("object")} if how else how
         c = formatted(c, how)
-        if config.missing == "error":
+        if config.missing == "error" and not by_default:
             c = F.when(c.isNull(), F.raise_error(F.lit(f"missing field {path}"))).otherwise(c)
         out.append((path, c))
     for wanted_too, name in ((config.include_confidence, "confidence"), (config.include_provenance, "provenance")):
@@ -228,7 +254,10 @@ def compile_plan(config: Config) -> list[tuple[str, Column]]:
 
 
 def project(df: DataFrame, config: Config) -> DataFrame:
-    """Select the plan's columns, dotted output paths as nested structs."""
+    """Select the plan's columns, dotted output paths as nested structs. A record's id and name also go by ``candidate_id`` and ``full_name``."""
+    for name, other in (("candidate_id", "id"), ("full_name", "fullName")):
+        if name not in df.columns and other in df.columns:
+            df = df.withColumn(name, F.col(other))
     tree: dict = {}
     for path, c in compile_plan(config):
         *above, last = path.split(".")
@@ -243,3 +272,11 @@ def project(df: DataFrame, config: Config) -> DataFrame:
         return [(F.struct(*build(v)) if isinstance(v, dict) else v).alias(re.sub(r"\W", "_", k)) for k, v in node.items()]
 
     return df.select(*build(tree))
+
+
+def as_json(df: DataFrame, config: Config, name: str = "record") -> DataFrame:
+    """One column of JSON records. Under ``omit`` missing fields are left out of each record, under ``null`` they are written as
+    null; a projection that names no fields shows them as null."""
+    shown = config.missing != "omit" or not (config.fields or config.computed)
+    out = project(df, config)
+    return out.select(F.to_json(F.struct("*"), {"ignoreNullFields": str(not shown).lower()}).alias(name))

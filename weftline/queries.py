@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .config import DEGREE_RANKS
 from .functions import normalize, patterns
-from .operators import identity, lineage, merge, operations, planning, resume, score
-from .plans.projection import Config, project
-from .sources import files, structured
+from .operators import canonical, generic, identity, lineage, merge, operations, planning, records, resume, score
+from .plans import contract
+from .plans.projection import Config, as_json, best_degree, project
+from .sources import extract, files, structured
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -248,18 +248,6 @@ def highest_degree(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", best_degree(degrees).alias("highest_degree"))
 
 
-def best_degree(degrees):
-    """The first degree of the best rank; unranked ones come last."""
-
-    def rank(d):
-        out = F.lit(len(DEGREE_RANKS))
-        for i, name in reversed(list(enumerate(DEGREE_RANKS))):
-            out = F.when(F.contains(F.lower(d), F.lit(name)), i).otherwise(out)
-        return out
-
-    return F.get(F.array_sort(F.transform(degrees, lambda d, i: F.struct(rank(d).alias("r"), i.alias("i"), d.alias("d")))), F.lit(0))["d"]
-
-
 @_query("SELECT o_custkey, o_orderkey AS doc, o_orderpriority AS employer, 'Jun 1997' AS start, 'Present' AS finish, 'worked on ' || o_orderstatus || ' shipped it' AS description FROM orders")
 def job_sessions(spark, sf_dir):
     text = F.concat_ws("\n", F.lit("orphan"), F.concat("o_orderpriority", F.lit(" Jun 1997 - Present")), F.concat(F.lit("- worked on "), "o_orderstatus"), F.lit("- shipped it"))
@@ -464,3 +452,212 @@ def source_descriptors(spark, sf_dir):
     placed = part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("ord"), F.lit("x.pdf").alias("file_name"), F.lit("Placed").alias("source_name"), F.lit("manual").alias("source_type"))
     named = part.limit(1).select(F.lit(-1).cast("long").alias("ord"), F.lit("cv0.txt").alias("file_name"), F.lit("Named").alias("source_name"), F.lit("ats").alias("source_type"))
     return files.described(listed, placed.unionByName(named)).select("p_partkey", "source_name", "source_type")
+
+
+#: Places of feed records: the region for even ones, the country for each third.
+_PLACED = """, placed AS (SELECT *, lower(city) AS city_, CASE WHEN k % 2 = 0 THEN 'R' || k % 5 END AS region, CASE WHEN k % 3 = 0 THEN 'XX' END AS country FROM ranked)"""
+_LEAVES = "(1 + (V.region IS NOT NULL)::INT + (V.country IS NOT NULL)::INT)"
+_SIZE = "(length(V.city_) + 5 + coalesce(length(V.region) + 5, 0) + coalesce(length(V.country) + 5, 0))"
+
+
+def _more(x: str, a: str) -> str:
+    """SQL: place x repeats all of a and has more."""
+    same = " AND ".join(f"({a}.{f} IS NULL OR {x}.{f} = {a}.{f})" for f in ("city_", "region", "country"))
+    return f"(coalesce({same}, false) AND {_LEAVES.replace('V', x)} > {_LEAVES.replace('V', a)})"
+
+
+_PLACE_FOLD = f"""list_reduce(list(struct_pack(rank, ix := candidate_ix, city_, region, country) ORDER BY rank, candidate_ix), lambda a, x:
+  CASE WHEN a.rank = x.rank THEN CASE WHEN {_SIZE.replace("V", "x")} > {_SIZE.replace("V", "a")} THEN x ELSE a END
+  WHEN a.rank < x.rank THEN CASE WHEN {_more("x", "a")} THEN x ELSE a END
+  ELSE CASE WHEN {_more("a", "x")} THEN a ELSE x END END)"""
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    place = F.struct(F.lower("city").alias("city"), F.when(k % 2 == 0, F.concat(F.lit("R"), (k % 5).cast("string"))).alias("region"), F.when(k % 3 == 0, F.lit("XX")).alias("country"))
+    return resolved(spark, sf_dir).withColumn("place", place)
+
+
+@_query(WITH + _PLACED + f""", f AS (SELECT group_ix, {_PLACE_FOLD} AS w, count(*) AS n, count(DISTINCT (city_, region, country)) - 1 AS n_discarded FROM placed GROUP BY group_ix)
+SELECT group_ix, w.city_ AS city, w.region AS region, w.country AS country, w.ix AS winner_ix, n AS n_candidates, n_discarded FROM f""")
+def merge_location(spark, sf_dir):
+    """Whole places by preference: a place gives way to one that repeats it and has more."""
+    m = generic.merge_value(placed(spark, sf_dir), "group_ix", "place")
+    return m.select("group_ix", "place.city", "place.region", "place.country", "winner_ix", F.size("candidate_ixs").cast("long").alias("n_candidates"), F.size("discarded").cast("long").alias("n_discarded"))
+
+
+@_query(WITH + _PLACED + f", s AS (SELECT *, {_SIZE.replace('V', 'placed')} AS size FROM placed) SELECT candidate_ix, size::BIGINT AS completeness, {_LEAVES.replace('V', 's')} > 0 AS meaningful, '{{\"value\":{{\"city\":\"' || city_ || '\"' || coalesce(',\"country\":\"' || country || '\"', '') || coalesce(',\"region\":\"' || region || '\"', '') || '}}}}' AS said FROM s")
+def generic_values(spark, sf_dir):
+    """Completeness, meaning and stable text of records of any type."""
+    p = placed(spark, sf_dir)
+    kind = p.schema["place"].dataType
+    return p.select("candidate_ix", generic.completeness(F.col("place"), kind).cast("long").alias("completeness"), generic.meaningful(F.col("place"), kind).alias("meaningful"), generic.serialized(F.col("place"), kind).alias("said"))
+
+
+@_query(WITH + _PLACED + """, v AS (SELECT group_ix, candidate_ix, row(city_, region, country) AS v FROM placed), s AS (SELECT group_ix, arg_min(v, candidate_ix) AS sel, count(*) AS n FROM v GROUP BY 1)
+SELECT group_ix, floor(CASE WHEN n <= 1 THEN 1.0 ELSE (SELECT count(*) FROM v WHERE v.group_ix = s.group_ix AND v.v IS NOT DISTINCT FROM s.sel)::DOUBLE / n END * 10000 + 0.5) / 10000 AS agreement FROM s""")
+def agreement_of_places(spark, sf_dir):
+    p = placed(spark, sf_dir)
+    g = p.groupBy("group_ix").agg(F.collect_list("place").alias("vs"), F.min_by("place", "candidate_ix").alias("sel"))
+    return g.select("group_ix", score.rounded4(generic.agreement(F.col("sel"), F.col("vs"), p.schema["place"].dataType)).alias("agreement"))
+
+
+@_query(WITH + """, t AS (SELECT group_ix, rank, candidate_ix, pos, s FROM (SELECT *, unnest([1, 2, 3]) AS pos, unnest([CASE WHEN k % 2 = 0 THEN 'Go' ELSE 'GO' END, 'S' || k % 7, 's' || k % 4]) AS s FROM ranked)),
+f AS (SELECT group_ix, lower(s) AS key, min((rank, candidate_ix, pos)) AS ord, arg_min(s, (rank, candidate_ix, pos)) AS s FROM t GROUP BY 1, 2)
+SELECT group_ix, string_agg(s, '|' ORDER BY ord) AS skills, count(*) AS n FROM f GROUP BY 1""")
+def merge_skills_union(spark, sf_dir):
+    """Skills of a group once each, without case, in order of first sight."""
+    k = F.col("k")
+    r = resolved(spark, sf_dir).withColumn("skills", F.array(F.when(k % 2 == 0, "Go").otherwise("GO"), F.concat(F.lit("S"), (k % 7).cast("string")), F.concat(F.lit("s"), (k % 4).cast("string"))))
+    return canonical.united(r, "group_ix", "skills", F.lower).select("group_ix", F.array_join("skills", "|").alias("skills"), F.size("skills").cast("long").alias("n"))
+
+
+def records_to_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as whole records: a job and a skill each, a school for each fourth."""
+    k = F.col("k")
+    r = resolved(spark, sf_dir)
+    job = F.struct(F.concat(F.lit("Acme "), (k % 3).cast("string")).alias("employer"), F.lit("Engineer").alias("title"), F.lit(None).cast("string").alias("description"), F.concat((2000 + k % 5).cast("string"), F.lit("-01")).alias("start"), F.concat((2001 + k % 7).cast("string"), F.lit("-06")).alias("end"), (k % 11 == 0).alias("is_current"))
+    school = F.struct(F.lit("College").alias("institution"), F.lit("BS").alias("degree"), F.lit(None).cast("string").alias("field"), F.lit("1999-01").alias("end"))
+    none = F.lit(None).cast("string")
+    place = F.struct(none.alias("raw"), F.col("city").alias("city"), none.alias("region"), none.alias("country"), none.alias("formatted"))
+    columns = {
+        "first_name": none, "last_name": none, "summary": none, "location": place, "links": F.array().cast(structured.LINKS), "experiences": F.array(job), "education": F.when(k % 4 == 0, F.array(school)).otherwise(F.array().cast(structured.SCHOOLS)),
+        "skills": F.array(F.lit("Go"), F.concat(F.lit("S"), (k % 3).cast("string"))), "source_id": F.concat(F.lit("s"), F.col("candidate_ix").cast("string")), "received_at": F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")),
+    }
+    return r.withColumns(columns)
+
+
+_CANONICAL = WITH + f""", h AS (SELECT group_ix, {_FOLD.replace("full_name", "headline")}.value AS headline FROM ranked WHERE headline IS NOT NULL GROUP BY group_ix),
+f AS (SELECT group_ix, {_FOLD} AS w, {_FOLD.replace("full_name", "city")}.value AS city, count(*) AS n_sources, count(DISTINCT email) + count(DISTINCT CASE WHEN raw_phone IS NOT NULL THEN phone_any END) AS n_contacts, 1 + count(DISTINCT k % 3) AS n_skills, (max((k % 4 = 0)::INT))::BIGINT AS n_schools,
+  '2024-01-' || lpad((min(k % 28) + 1)::VARCHAR, 2, '0') AS created_at, '2024-01-' || lpad((max(k % 28) + 1)::VARCHAR, 2, '0') AS updated_at, count(DISTINCT full_name) - 1 AS n_discarded FROM ranked GROUP BY group_ix)
+SELECT group_ix, w.value AS full_name, headline, city, n_sources, n_contacts, n_skills, n_schools, created_at, updated_at, 's' || w.ix AS name_winner, n_discarded, 2 + (headline IS NOT NULL)::BIGINT AS n_decisions FROM f LEFT JOIN h USING (group_ix)"""
+
+
+@_query(_CANONICAL)
+def canonical_records(spark, sf_dir):
+    """One record per group with all its fields, and the decision behind each scalar one."""
+    c = canonical.canonical(records_to_merge(spark, sf_dir))
+    name = F.get(F.filter("provenance", lambda p: p["field"] == "fullName"), F.lit(0))
+    size = lambda a: F.size(a).cast("long")
+    return c.select(
+        "group_ix", "full_name", "headline", F.col("location.city").alias("city"), size("sources").alias("n_sources"), size("contacts").alias("n_contacts"), size("skills").alias("n_skills"), size("education").alias("n_schools"),
+        "created_at", "updated_at", F.get(name["winners"], F.lit(0)).alias("name_winner"), size(name["discarded"]).alias("n_discarded"), size("provenance").alias("n_decisions"),
+    )
+
+
+@_query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'Ann ' || c_name ELSE NULL END AS name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Acme' ELSE 'Beta' END AS employer,
+CASE WHEN c_custkey % 2 = 0 THEN lower(n_name) || '|XX' ELSE 'XX' END AS place, md5(c_custkey::VARCHAR) AS best FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def record_names(spark, sf_dir):
+    """Display name, primary employer, place and best source of varying records."""
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    p = _people(spark, sf_dir)
+    name = records.display_name(F.when(k % 3 == 0, F.col("c_name")), F.when(k % 3 == 1, "Ann"), F.when(k % 3 == 2, " "), F.when(k % 3 == 1, F.col("c_name")))
+    job = lambda e, current: F.struct(F.lit(e).alias("employer"), F.lit(current).alias("is_current"))
+    jobs_ = F.when(k % 4 == 0, F.array().cast("array<struct<employer:string,is_current:boolean>>")).when(k % 4 == 1, F.array(job("Acme", False), job("Gamma", False))).otherwise(F.array(job("Acme", False), job("Beta", True)))
+    place = F.struct(none.alias("formatted"), F.when(k % 2 == 0, F.lower("n_name")).otherwise(" ").alias("city"), none.alias("region"), F.lit("XX").alias("country"))
+    mine = F.md5(k.cast("string"))
+    sources = F.array(F.struct(F.lit(5).alias("rank"), F.lit("a").alias("id")), F.struct(F.lit(2).alias("rank"), mine.alias("id")), F.struct(F.lit(2).alias("rank"), F.lit("").alias("id")))
+    return p.select("c_custkey", name.alias("name"), records.primary_employer(jobs_).alias("employer"), records.location_fingerprint(place).alias("place"), records.best_source(sources).alias("best"))
+
+
+@_query("""SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_sources, min(o_orderkey) AS first_seen, count(DISTINCT o_orderkey) AS n_ids FROM orders GROUP BY 1""")
+def source_registry(spark, sf_dir):
+    """Each customer's orders as sources named by their priority: distinct sources, the first place of all, old ids mapped."""
+    none = F.lit(None).cast("string")
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group_ix"), F.col("o_orderkey").alias("candidate_ix"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("source_id"), *[F.lit(x).alias(x) for x in records.SOURCE[1:5]], none.alias("received_at"), *[F.lit(x).alias(x) for x in records.SOURCE[6:]])
+    registry, ids = records.source_registry(o)
+    n = registry.groupBy("group_ix").agg(F.count_distinct("id").alias("n_sources"), F.min("ord").alias("first_seen"))
+    mapped = ids.join(registry.select("group_ix", F.col("id").alias("stable_id")), ["group_ix", "stable_id"]).groupBy("group_ix").agg(F.count_distinct("old_id").alias("n_ids"))
+    return n.join(mapped, "group_ix").withColumnRenamed("group_ix", "o_custkey")
+
+
+@_query("""SELECT c_custkey, trim(c_name) AS full_name, CASE WHEN c_custkey % 2 = 0 THEN 'Bengaluru' ELSE 'Nation ' || n_nationkey END AS city, 'IN' AS country, 'u' || c_custkey || '@x.example' AS email, 1::BIGINT AS n_email, CASE WHEN c_custkey % 3 = 0 THEN '+4512345678' ELSE 'call me' END AS phone,
+'Acme Labs' AS employer, CASE WHEN c_custkey % 2 = 0 THEN '2019-01' ELSE '2020-03' END AS start, 'Present' AS finish, 'Bachelor of Technology' AS degree, 'JavaScript|Kubernetes' AS skills, 'https://github.com/U' || c_custkey AS link FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def normalized_records(spark, sf_dir):
+    """Every field of whole records normalized, nested ones too; contacts, links and skills once each."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    mail = lambda *parts: F.struct(F.lit("email").alias("kind"), F.concat(*parts).alias("value"), F.lit(True).alias("is_primary"))
+    phone = F.struct(F.lit("phone").alias("kind"), F.when(k % 3 == 0, "0045 12 34 56 78").otherwise("call me").alias("value"), F.lit(False).alias("is_primary"))
+    link = F.struct(F.lit("github").alias("platform"), F.concat(F.lit("GitHub.com/U"), k.cast("string"), F.lit("/")).alias("url"))
+    job = F.struct(F.lit(" Acme \n Labs").alias("employer"), F.lit("Lead").alias("title"), none.alias("description"), F.when(k % 2 == 0, "Jan 2019").otherwise("3/2020").alias("start"), F.lit("Present").alias("end"), F.lit(True).alias("is_current"))
+    school = F.struct(F.lit("College").alias("institution"), F.lit("b.tech").alias("degree"), none.alias("field"), F.lit("2011").alias("end"))
+    columns = {
+        "first_name": none, "last_name": none, "full_name": F.concat(F.lit(" "), "c_name", F.lit("\t ")), "headline": none, "summary": none,
+        "location": F.struct(none.alias("raw"), F.when(k % 2 == 0, "BANGALORE").otherwise(F.concat(F.lit("nation  "), F.col("n_nationkey").cast("string"))).alias("city"), none.alias("region"), F.lit("india").alias("country"), none.alias("formatted")),
+        "contacts": F.array(mail(F.lit("U"), k.cast("string"), F.lit("@X.example")), phone, mail(F.lit(" u"), k.cast("string"), F.lit("@x.EXAMPLE"))), "links": F.array(link, link), "experiences": F.array(job), "education": F.array(school),
+        "skills": F.array(F.lit("js"), F.lit("K8S"), F.lit("JavaScript"), F.lit("kubernetes")),
+    }
+    n = records.normalized(_people(spark, sf_dir).withColumns(columns))
+    of = lambda kind: F.filter("contacts", lambda c: c["kind"] == kind)
+    x = F.get("experiences", F.lit(0))
+    return n.select(
+        "c_custkey", "full_name", "location.city", "location.country", F.get(of("email"), F.lit(0))["value"].alias("email"), F.size(of("email")).cast("long").alias("n_email"), F.get(of("phone"), F.lit(0))["value"].alias("phone"),
+        x["employer"].alias("employer"), x["start"].alias("start"), x["end"].alias("finish"), F.get("education", F.lit(0))["degree"].alias("degree"), F.array_join("skills", "|").alias("skills"), F.get("links", F.lit(0))["url"].alias("link"),
+    )
+
+
+@_query("""SELECT c_custkey, trim(c_name) AS full_name, CASE WHEN c_custkey % 2 = 0 THEN trim(n_name) END AS city, CASE WHEN c_custkey % 2 = 0 THEN 'XX' END AS region, 'c' || c_custkey || '@x.example' AS email, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS n_contacts,
+trim(c_mktsegment) AS employer, 'Go|' || trim(c_mktsegment) AS skills, c_custkey % 5 = 0 AS has_school FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def recruiter_notes(spark, sf_dir):
+    """Notes of labeled lines to records."""
+    k = F.col("c_custkey")
+    line = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    text = F.concat_ws("\n", line("name: ", F.col("c_name")), F.when(k % 2 == 0, line("Address: ", F.col("n_name"), " , XX")), line("EMAIL : c", k.cast("string"), "@x.example"), F.when(k % 3 == 0, "Phone: +1 555"), line("Company: ", F.col("c_mktsegment")), line("Skills: Go; ", F.col("c_mktsegment")), F.when(k % 5 == 0, "School: College"))
+    n = extract.note_records(_people(spark, sf_dir).select("c_custkey", text.alias("text")))
+    return n.select("c_custkey", "full_name", "location.city", "location.region", F.get("contacts", F.lit(0))["value"].alias("email"), F.size("contacts").cast("long").alias("n_contacts"), F.get("experiences", F.lit(0))["employer"].alias("employer"), F.array_join("skills", "|").alias("skills"), (F.size("education") > 0).alias("has_school"))
+
+
+@_query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'CsvExtractor' WHEN 1 THEN 'AtsJsonExtractor' WHEN 2 THEN 'ResumeExtractor' WHEN 3 THEN 'RecruiterNotesExtractor' WHEN 4 THEN 'ResumeExtractor' END AS extractor FROM pages""")
+def extractor_dispatch(spark, sf_dir):
+    """Which extractor takes a source; the last kind has none."""
+    names = ("rows.csv", "export.json", "cv.docx", "recruiter call.txt", "resume_notes.txt", "other.json")
+    k = (F.col("page_id") % 6).cast("int")
+    name = F.element_at(F.array(*[F.lit(x) for x in names]), k + 1)
+    kind = F.when(k == 5, "other").otherwise(files.source_type(name))
+    return _t(spark, sf_dir, "pages").select("page_id", extract.extractor(files.parser(name), kind, name).alias("extractor"))
+
+
+@_query("""SELECT o_orderkey, 'IMPOSSIBLE_CHRONOLOGY' AS code, 'warn' AS severity, 'a job ends before it starts' AS message FROM orders JOIN (SELECT l_orderkey, min(l_shipdate) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE strftime(d, '%Y-%m') < strftime(o_orderdate, '%Y-%m')""")
+def chronology_rows(spark, sf_dir):
+    """A warning for each order taken as a job from its date to its first shipment that ends before it starts."""
+    shipped = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("d"))
+    o = _t(spark, sf_dir, "orders").join(shipped, "o_orderkey").select("o_orderkey", F.array(F.struct(F.date_format("o_orderdate", "yyyy-MM").alias("start"), F.date_format("d", "yyyy-MM").alias("end"))).alias("experiences"))
+    return contract.chronology(o, "o_orderkey")
+
+
+@_query(_CANONICAL.replace("SELECT group_ix, w.value AS full_name, headline, city, n_sources", "SELECT group_ix, w.value AS full_name, headline, city, n_sources").rsplit("SELECT group_ix, w.value", 1)[0] + """, e AS (SELECT group_ix, string_agg(DISTINCT email, '|' ORDER BY email) AS emails FROM ranked GROUP BY 1)
+SELECT w.value AS full_name, emails, headline, city, 13::BIGINT AS n_columns, 0.0::DOUBLE AS overall_confidence FROM f JOIN e USING (group_ix) LEFT JOIN h USING (group_ix)""")
+def project_default(spark, sf_dir):
+    """All groups under the projection that names no fields: 13 fields, missing ones null."""
+    from .engine import profiles
+
+    p = project(profiles(canonical.canonical(records_to_merge(spark, sf_dir))), Config())
+    return p.select("full_name", F.array_join(F.array_sort("emails"), "|").alias("emails"), "headline", "location.city", F.lit(len(p.columns)).cast("long").alias("n_columns"), "overall_confidence")
+
+
+@_query(r"""SELECT '{"key":' || c_custkey || coalesce(',"segment":"' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END || '"', '') || '}' AS omitted, '{"key":' || c_custkey || ',"segment":' || coalesce('"' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END || '"', 'null') || '}' AS shown FROM customer""")
+def project_json(spark, sf_dir):
+    """Projections as JSON under both policies for missing values."""
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
+    plan = lambda missing: Config(fields=({"path": "key", "from": "c_custkey"}, "segment"), missing=missing)
+    c = c.select("c_custkey", "segment")
+    return as_json(c, plan("omit"), "omitted").withColumn("k", F.get_json_object("omitted", "$.key")).join(as_json(c, plan("null"), "shown").withColumn("k", F.get_json_object("shown", "$.key")), "k").drop("k")
+
+
+@_query("""SELECT o_orderkey, 'status' AS path FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'absent' FROM orders""")
+def contract_violations(spark, sf_dir):
+    """Planned paths that projected rows lack under the strict policy, one of them in all rows."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("status"))
+    return contract.violations(o, Config(fields=("status", "absent"), missing="error"), "o_orderkey")
+
+
+@_query("""SELECT c_custkey, 's' || c_custkey AS id, '1.0.0' AS version, 0::BIGINT AS duration_ms, 2::BIGINT AS total_sources, (c_custkey % 14)::BIGINT AS total_fields, CASE c_custkey % 3 WHEN 0 THEN 'w' WHEN 1 THEN 'p' ELSE 'r' END AS main_source FROM customer""")
+def candidate_metadata(spark, sf_dir):
+    """Metadata of merged records, and the source each field owes its value to."""
+    k = F.col("c_custkey")
+    m = records.candidate_metadata(F.concat(F.lit("s"), k.cast("string")), F.array(F.lit("a"), F.lit("b")), k % 14, F.lit("2024-01-01"))
+    entry = lambda source, *winners: F.struct(F.lit(source).alias("source"), F.array(*[F.lit(w) for w in winners]).cast("array<string>").alias("winners"))
+    entries = F.when(k % 3 == 0, F.array(entry("p"), entry("q", "w", "x"))).when(k % 3 == 1, F.array(entry("p"))).otherwise(F.array().cast("array<struct<source:string,winners:array<string>>>"))
+    m = _t(spark, sf_dir, "customer").select("c_custkey", m.alias("m"), records.primary_source(entries, F.array(F.lit("r"))).alias("main_source"))
+    return m.select("c_custkey", F.col("m.candidate_id").alias("id"), F.col("m.pipeline_version").alias("version"), "m.duration_ms", "m.total_sources", "m.total_fields", "main_source")
