@@ -139,3 +139,17 @@ def test_remapped_provenance(spark):
     d = spark.createDataFrame([(p, {"old": "new"})], "p array<struct<id:string,field:string,source:string,value:string,winners:array<string>>>, ids map<string,string>")
     got = d.select(canonical.remapped(F.col("p"), F.col("ids"), F.lit("c"))).first()[0]
     assert [(x["field"], x["source"], x["winners"]) for x in got] == [("f", "new", ["new"]), ("g", "z", ["z"])]
+
+
+def test_hooks_change_nothing_by_default(spark):
+    from weftline import hooks
+
+    rows = spark.createDataFrame([(1, "x" * 10, None), (2, "y", "z")], "k int, a string, b string")
+    doubled = {"merge": lambda d: d.unionByName(d)}
+    assert hooks.Hooks(doubled).applied("merge", rows).count() == 2 and hooks.Hooks(doubled, "assist").applied("merge", rows).count() == 4
+    got = rows.orderBy("k").select(hooks.only_missing(F.col("b"), F.col("a")), hooks.evidence(F.col("a"), 4), hooks.aliased(F.col("a"), F.create_map(F.lit("y"), F.lit("why")))).collect()
+    assert [tuple(r) for r in got] == [("x" * 10, "xxxx...", "x" * 10), ("z", "y", "why")]
+    kept = hooks.decisions(rows.select("k", "a"), spark.createDataFrame([(2, "take z")], "k int, advice string"), "k").orderBy("k").collect()
+    assert [(r["a"][0], r["advice"], r["applied"]) for r in kept] == [("x", None, False), ("y", "take z", False)]
+    with pytest.raises(ValueError):
+        hooks.Hooks().applied("cooking", rows)

@@ -661,3 +661,26 @@ def candidate_metadata(spark, sf_dir):
     entries = F.when(k % 3 == 0, F.array(entry("p"), entry("q", "w", "x"))).when(k % 3 == 1, F.array(entry("p"))).otherwise(F.array().cast("array<struct<source:string,winners:array<string>>>"))
     m = _t(spark, sf_dir, "customer").select("c_custkey", m.alias("m"), records.primary_source(entries, F.array(F.lit("r"))).alias("main_source"))
     return m.select("c_custkey", F.col("m.candidate_id").alias("id"), F.col("m.pipeline_version").alias("version"), "m.duration_ms", "m.total_sources", "m.total_fields", "main_source")
+
+
+_TYPES = ("text/csv", "application/json", "application/pdf", "application/zip", "text/plain", "")
+
+
+@_query("""WITH x AS (SELECT p_partkey, p_partkey % 6 AS m, p_partkey % 5 AS n FROM part)
+SELECT p_partkey, CASE WHEN n = 4 THEN 'hidden extension' WHEN n = 3 OR m IN (3, 5) THEN 'type not allowed' END AS upload, CASE WHEN n = 3 OR m = 3 THEN 'unsupported source' WHEN n = 4 THEN 'hidden extension' END AS reject,
+CASE WHEN n = 0 OR m = 0 THEN 'CsvParser' WHEN n = 1 OR m = 1 THEN 'JsonParser' WHEN n = 2 OR m = 2 THEN 'PdfParser' ELSE 'TextParser' END AS parser, CASE WHEN n = 0 OR m = 0 THEN 'job-board' WHEN n = 1 THEN 'ats' ELSE 'resume' END AS source_type FROM x""")
+def media_types(spark, sf_dir):
+    """Admission, parser and kind of files by name and media type, in all combinations."""
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+    name, mime = pick(("a.CSV", "b.json", "cv.pdf", "tool.exe", "cv.pdf.txt")), pick(_TYPES)
+    return _t(spark, sf_dir, "part").select(k, files.upload_reason(name, mime).alias("upload"), files.reject_reason(name, F.lit(10), mime).alias("reject"), files.parser(name, mime).alias("parser"), files.source_type(name, mime).alias("source_type"))
+
+
+@_query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN floor((0.5 * 0.2 + (o_orderkey % 10) / 10.0 * 0.8) * 10000 + 0.5) / 10000 WHEN 1 THEN floor((0.5 * 0.6 + (o_orderkey % 10) / 10.0 * 0.4) * 10000 + 0.5) / 10000 ELSE 0.5 END::DOUBLE AS score FROM orders""")
+def hybrid_scores(spark, sf_dir):
+    """Scores mixed with proposed ones, grounded and not; without a proposal the deterministic one stands."""
+    k = F.col("o_orderkey")
+    from .hooks import mixed_score
+
+    return _t(spark, sf_dir, "orders").select(k, mixed_score(F.lit(0.5), F.when(k % 3 < 2, (k % 10) / 10.0), k % 3 == 0).alias("score"))

@@ -9,7 +9,12 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# Extensions and media types that are accepted and refused.
 ACCEPTED = ("csv", "docx", "json", "pdf", "txt")
+DOCX_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+ACCEPTED_TYPES = ("application/pdf", DOCX_TYPE, "text/plain", "text/csv", "application/json")
+REFUSED = ("exe", "dll", "bat", "cmd", "com", "msi", "zip", "rar", "7z", "png", "jpg", "jpeg", "gif", "mp4")
+REFUSED_TYPES = ("application/x-msdownload", "application/zip", "application/x-rar-compressed", "video/mp4", "image/png", "image/jpeg")
 MAX_BYTES = 10 * 1024 * 1024
 
 
@@ -21,27 +26,44 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
 
 
-def reject_reason(name: Column, size: Column) -> Column:
-    """Null for an admissible file."""
+def _is(mime: Column | None, *types: str) -> Column:
+    return F.lit(False) if mime is None else F.coalesce(mime.isin(*types), F.lit(False))
+
+
+def upload_reason(name: Column, mime: Column) -> Column:
+    """Why an upload is turned away, null if it is not: extension and media type must both be accepted ones."""
+    hidden = F.rlike(F.lower(name), F.lit(r"\.(pdf|docx|txt|csv|json)\."))
+    return F.when(hidden, "hidden extension").when(~extension(name).isin(*ACCEPTED) | ~_is(mime, *ACCEPTED_TYPES), "type not allowed")
+
+
+def reject_reason(name: Column, size: Column, mime: Column | None = None) -> Column:
+    """Null for an admissible file. A media type, where one is known, can refuse a file, not admit it."""
     return (
         F.when(size == 0, "empty input")
         .when(size > MAX_BYTES, "too large")
-        .when(F.rlike(F.lower(name), F.lit(r"\.(pdf|docx|txt|csv|json)\.")), "hidden extension")
+        .when(extension(name).isin(*REFUSED) | _is(mime, *REFUSED_TYPES), "unsupported source")
         .when(extension(name) == "", "missing extension")
         .when(~extension(name).isin(*ACCEPTED), "unsupported source")
+        .when(F.rlike(F.lower(name), F.lit(r"\.(pdf|docx|txt|csv|json)\.")), "hidden extension")
     )
 
 
-def source_type(name: Column) -> Column:
+def source_type(name: Column, mime: Column | None = None) -> Column:
     n = F.lower(name)
-    return (
-        F.when(extension(n) == "csv", "job-board").when(extension(n) == "json", "ats").when(F.contains(n, F.lit("recruiter")) | F.contains(n, F.lit("notes")), "manual").otherwise("resume")
-    )
+    rows = (extension(n) == "csv") | _is(mime, "text/csv")
+    return F.when(rows, "job-board").when(extension(n) == "json", "ats").when(F.contains(n, F.lit("recruiter")) | F.contains(n, F.lit("notes")), "manual").otherwise("resume")
 
 
-def parser(name: Column) -> Column:
+def parser(name: Column, mime: Column | None = None) -> Column:
+    """The first parser that takes a file by its media type or extension: rows, JSON, PDF, word processor, text."""
     e = extension(name)
-    return F.when(e == "csv", "CsvParser").when(e == "json", "JsonParser").when(e == "pdf", "PdfParser").when(e == "docx", "DocxParser").otherwise("TextParser")
+    return (
+        F.when((e == "csv") | _is(mime, "text/csv"), "CsvParser")
+        .when((e == "json") | _is(mime, "application/json"), "JsonParser")
+        .when((e == "pdf") | _is(mime, "application/pdf"), "PdfParser")
+        .when((e == "docx") | _is(mime, DOCX_TYPE), "DocxParser")
+        .otherwise("TextParser")
+    )
 
 
 def decoded(content: Column) -> Column:
