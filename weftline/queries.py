@@ -667,7 +667,7 @@ _TYPES = ("text/csv", "application/json", "application/pdf", "application/zip",
 
 
 @_query("""WITH x AS (SELECT p_partkey, p_partkey % 6 AS m, p_partkey % 5 AS n FROM part)
-SELECT p_partkey, CASE WHEN n = 4 THEN 'hidden extension' WHEN n = 3 OR m IN (3, 5) THEN 'type not allowed' END AS upload, CASE WHEN n = 3 OR m = 3 THEN 'unsupported source' WHEN n = 4 THEN 'hidden extension' END AS reject,
+SELECT p_partkey, CASE WHEN n = 4 THEN 'hidden extension' WHEN n = 3 OR m IN (3, 5) THEN 'type not allowed' END AS upload, CASE WHEN n = 4 THEN 'hidden extension' WHEN n = 3 OR m = 3 THEN 'unsupported source' END AS reject,
 CASE WHEN n = 0 OR m = 0 THEN 'CsvParser' WHEN n = 1 OR m = 1 THEN 'JsonParser' WHEN n = 2 OR m = 2 THEN 'PdfParser' ELSE 'TextParser' END AS parser, CASE WHEN n = 0 OR m = 0 THEN 'job-board' WHEN n = 1 THEN 'ats' ELSE 'resume' END AS source_type FROM x""")
 def media_types(spark, sf_dir):
     """Admission, parser and kind of files by name and media type, in all combinations."""
