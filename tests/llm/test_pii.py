@@ -59,3 +59,38 @@ def test_redaction_and_empty_table(spark):
     out = pii.with_spans(c, pii.fit(c)).select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).orderBy("doc_id").collect()
     assert [r["t"] for r in out] == ["😀 [EMAIL], é [PHONE]!", "plain", None]
     assert pii.fit(c.limit(0)) is not None
+
+
+def test_overlaps_and_redaction_equal_all_pairs(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        base, extra = [], []
+        for rank, out in ((0, base), (1, base), (5, extra), (7, extra)):
+            at = 0
+            while (at := at + rng.randint(0, 30)) < 60:
+                end = at + rng.randint(1, 9)
+                out.append((at, rank, end, pii.KINDS[rank]))
+                at = end
+        rows.append((i, base, extra))
+    df = spark.createDataFrame(rows, f"id int, base {pii.PLACED}, extra {pii.PLACED}")
+    text = "".join(chr(0x1F600 + i) if i % 7 == 0 else chr(97 + i % 26) for i in range(80))
+    free = pii._alone(pii._free(F.col("base"), pii._by_place(F.col("extra"))))
+    out = df.withColumn("free", free).withColumn("r", pii.redacted(F.lit(text), F.array_sort(F.concat("base", "free")))).collect()
+    touch = lambda s, b: b[0] < s[2] and s[0] < b[2]
+    for (_, base, extra), r in zip(rows, sorted(out)):
+        kept = sorted(s for s in extra if not any(touch(s, b) for b in base))
+        alone = [s for i, s in enumerate(kept) if not any(touch(s, b) for b in kept[:i])]
+        assert [tuple(s) for s in r["free"]] == alone
+        said, at = "", 0
+        for start, _, end, kind in sorted(base + alone):
+            said += text[at:start] if start >= at else ""
+            said += f"[{kind.upper()}]" if start >= at else ""
+            at = max(at, end)
+        assert r["r"] == said + text[at:]
+
+
+def test_many_matches_in_one_text(spark):
+    text = "mail a@b.co 123-45-6789 " * 20000
+    ((_, b, s),) = found(spark, [(1, text)])
+    assert b.count(",") == 19999 and b.endswith(f":{24 * 19999 + 11}") and s.count("email") == 20000

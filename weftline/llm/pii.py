@@ -54,23 +54,41 @@ def prepared(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, OTHER + OTHER)
 
 
+def bound(value: Column, fn) -> Column:
+    """``fn(value)``, an array, with ``value`` computed once however often ``fn`` mentions it."""
+    return F.flatten(F.transform(F.array(value), fn))
+
+
+def running(values: Column, combine) -> Column:
+    """Running totals of an array by doubling: ``combine(own, further left or null)`` is applied
+    log2(size) times to every place, so a text with n matches takes n log n steps."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    back = lambda k: F.pow(F.lit(2), k).cast("int")
+    return F.aggregate(steps, values, lambda t, k: F.transform(t, lambda x, i: combine(x, F.get(t, i - back(k)))))
+
+
+def _plus(own: Column, left: Column) -> Column:
+    return own + F.coalesce(left, F.lit(0))
+
+
 def matches(text: Column, kind: str) -> Column:
     """array<struct<start, end, value, before>> of the leftmost non-overlapping matches; end exclusive."""
     cast = "array<struct<start:int,end:int,value:string,before:string>>"
     pieces = F.split(F.regexp_replace(text, PATTERNS[kind], OPEN + "$0" + CLOSE), f"[{OPEN}{CLOSE}]", -1)
 
     def located(p: Column) -> Column:
-        lengths = F.transform(p, lambda x: F.length(x))
-
-        def one(i: Column) -> Column:
-            start = F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x)
-            value = F.get(p, i)
-            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(F.get(p, i - 1), F.lit(40)).alias("before"))
-
-        return F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), one)
-
-    # the pieces are bound once, as the only element of an array
-    found = F.flatten(F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 2, located(p)).otherwise(F.array().cast(cast))))
+        def one(ends: Column, i: Column) -> Column:
+            return F.struct(
+                F.get(ends, i - 1).alias("start"),
+                F.get(ends, i).alias("end"),
+                F.get(p, i).alias("value"),
+                F.right(F.get(p, i - 1), F.lit(40)).alias("before"),
+            )
+
+        places = F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))
+        return bound(running(F.transform(p, lambda x: F.length(x)), _plus), lambda ends: F.transform(places, lambda i: one(ends, i)))
+
+    found = bound(pieces, lambda p: F.when(F.size(p) > 2, located(p)).otherwise(F.array().cast(cast)))
     may = F.contains(text, F.lit(TRIGGERS[kind])) if TRIGGERS[kind] else F.lit(True)
     if kind in QUICK:
         may = may & F.rlike(text, F.lit(QUICK[kind]))
@@ -243,13 +261,46 @@ def fit(found: DataFrame) -> Model:
     return estimate([(r["kind"], tuple(r["votes"]), r["size"], r["n"]) for r in counts.collect()])
 
 
+PLACED = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def _by_place(spans: Column) -> Column:
+    one = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
+    return F.array_sort(F.transform(spans, one).cast(PLACED))
+
+
+def _reach(spans: Column, counts) -> Column:
+    """For each place the furthest end of the spans up to it that count; 0 where none does."""
+    return running(F.transform(spans, lambda s: F.when(counts(s), s["end"]).otherwise(0)), F.greatest)
+
+
+def _free(base: Column, extra: Column) -> Column:
+    """The spans of ``extra`` that touch none of ``base``, by place; one pass from either side."""
+    is_base = lambda s: s["rank"] < len(BASE)
+    far = 2**31 - 1
+
+    def chosen(spans: Column) -> Column:
+        behind = _reach(spans, is_base)
+        starts = F.transform(F.reverse(spans), lambda s: F.when(is_base(s), s["start"]).otherwise(far))
+        ahead = F.reverse(running(starts, F.least))
+        touched = lambda b, a, s, i: (F.get(b, i) > s["start"]) | (F.get(a, i) < s["end"])
+        return bound(behind, lambda b: bound(ahead, lambda a: F.filter(spans, lambda s, i: ~is_base(s) & ~touched(b, a, s, i))))
+
+    return bound(F.array_sort(F.concat(base, extra)), chosen)
+
+
+def _alone(spans: Column) -> Column:
+    """The spans, by place, that no earlier one touches."""
+    every = lambda s: F.lit(True)
+    return bound(spans, lambda a: bound(_reach(a, every), lambda r: F.filter(a, lambda s, i: F.coalesce(F.get(r, i - 1), F.lit(0)) <= s["start"])))
+
+
 def with_spans(found: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Adds ``spans`` (base, and accepted candidates that touch no earlier span), by start, then kind."""
-    by_place = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    accepted = F.filter("extra", lambda s: (model.probability(s) >= threshold) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    placed = found.withColumn("base", by_place(F.col("base"))).withColumn("extra", F.when(F.size("extra") > 0, by_place(accepted)).otherwise(by_place(F.array().cast(SPAN))))
-    alone = F.filter("extra", lambda s, i: ~F.exists(F.slice("extra", 1, i), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return placed.withColumn("spans", F.array_sort(F.concat("base", alone)))
+    accepted = F.filter("extra", lambda s: model.probability(s) >= threshold)
+    placed = found.withColumn("base", _by_place(F.col("base")))
+    more = F.when(F.size("extra") > 0, _alone(_free(F.col("base"), _by_place(accepted)))).otherwise(F.array().cast(PLACED))
+    return placed.withColumn("extra", more).withColumn("spans", F.array_sort(F.concat("base", "extra")))
 
 
 def spelled(spans: Column) -> Column:
@@ -259,12 +310,16 @@ def spelled(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans share the first one's."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    every = lambda s: F.lit(True)
+    done = lambda reach, i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+
+    def part(reach: Column, s: Column, i: Column) -> Column:
+        gap = F.substring(text, done(reach, i) + 1, F.greatest(F.lit(0), s["start"] - done(reach, i)))
+        mark = F.when(s["start"] >= done(reach, i), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        return F.concat(gap, mark)
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
-        mark = F.when(s["start"] >= a["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.concat(a["out"], gap, mark).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def parts(reach: Column) -> Column:
+        rest = F.substring(text, F.element_at(reach, -1) + 1, F.length(text))
+        return F.concat(F.transform(spans, lambda s, i: part(reach, s, i)), F.array(rest))
 
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, F.array_join(bound(_reach(spans, every), parts), "")).otherwise(text)
