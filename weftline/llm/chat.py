@@ -110,9 +110,11 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     """Messages of linear conversations (conv_id, turn, role, text): each replies to the one before.
 
     Turns of one number are ordered by role and text, and repeated rows stay. A null conv_id is
-    a conversation of its own.
+    a conversation of its own. Texts are ordered once: the result is written, and the joins that
+    follow the pointers read its keys alone.
     """
     c = conversations.select(F.struct("conv_id").alias("key"), "turn", "role", "text")
     n = F.row_number().over(Window.partitionBy("key").orderBy("turn", "role", "text"))
     c = c.withColumn("id", n.cast("long"))
-    return c.select("key", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    parent = F.when(F.col("id") > 1, F.col("id") - 1)
+    return written(c.select("key", "id", parent.alias("parent"), F.lit(0.0).alias("score"), "role", "text"), "messages")
