@@ -191,7 +191,27 @@ def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_custkey", F.col("o_orderpriority").alias("employer"), F.col("o_orderstatus").alias("title"), F.col("o_orderkey").alias("candidate_ix"), (F.col("o_orderkey") % 3).cast("int").alias("rank"), F.date_format("o_orderdate", "yyyy-MM").alias("start"), "end", F.col("end").isNull().alias("is_current"), (F.col("o_orderkey") % 7).alias("weight"))
 
 
-@_query()
+def _bucket_sql(items: str, keys: str, meets: str) -> str:
+    """The fold into buckets as a recursive query, one item a step. ``items``: a query of the keys with rank, ix, start, end, current and
+    weight (s, e, cur, w); ``meets``: the rule by which the item x joins the bucket b."""
+    grown = """struct_pack(rank := b.rank, w := CASE WHEN x.rank = b.rank AND x.w > b.w THEN x.w ELSE b.w END,
+      s := CASE WHEN x.rank = b.rank AND x.w > b.w THEN x.s ELSE b.s END, e := CASE WHEN x.rank = b.rank AND x.w > b.w THEN x.e ELSE b.e END,
+      cur := CASE WHEN x.rank = b.rank AND x.w > b.w THEN x.cur ELSE b.cur END,
+      lo := least(b.lo, x.s), hi := greatest(b.hi, x.e), any_cur := b.any_cur OR x.cur, n := b.n + 1)"""
+    fresh = "struct_pack(rank := x.rank, w := x.w, s := x.s, e := x.e, cur := x.cur, lo := x.s, hi := x.e, any_cur := x.cur, n := 1)"
+    return f"""WITH RECURSIVE items AS ({items}),
+g AS (SELECT {keys}, list(struct_pack(rank, ix, s, e, cur, w) ORDER BY rank, ix) AS xs FROM items GROUP BY ALL),
+f AS (SELECT {keys}, xs, 1 AS i, list_transform(xs[1:1], lambda x: {fresh}) AS acc FROM g
+  UNION ALL SELECT {keys}, xs, i + 1, CASE WHEN place IS NULL THEN list_concat(acc, [{fresh}]) ELSE list_transform(acc, lambda b, j: CASE WHEN j = place THEN {grown} ELSE b END) END
+  FROM (SELECT *, nullif(coalesce(list_position(list_transform(acc, lambda b: coalesce({meets}, false)), true), 0), 0) AS place FROM (SELECT *, xs[i + 1] AS x FROM f WHERE i < len(xs)))),
+b AS (SELECT {keys}, unnest(acc) AS b FROM f WHERE i = len(xs))"""
+
+
+@_query(_bucket_sql("""SELECT o_custkey, o_orderpriority AS employer, o_orderstatus AS title, o_orderkey AS ix, o_orderkey % 3 AS rank, strftime(o_orderdate, '%Y-%m') AS s,
+    l.e AS e, l.e IS NULL AS cur, o_orderkey % 7 AS w FROM orders LEFT JOIN (SELECT l_orderkey, strftime(max(l_shipdate), '%Y-%m') AS e FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""",
+    "o_custkey, employer, title",
+    "b.s IS NULL OR x.s IS NULL OR b.s = x.s OR (b.s <= CASE WHEN x.cur OR x.e IS NULL THEN '9999-12-31' ELSE x.e END AND x.s <= CASE WHEN b.cur OR b.e IS NULL THEN '9999-12-31' ELSE b.e END)",
+) + " SELECT o_custkey, employer, title, b.lo AS start, CASE WHEN NOT b.any_cur THEN b.hi END AS \"end\", b.any_cur AS is_current, b.n AS size FROM b")
 def merge_experience_intervals(spark, sf_dir):
     return merge.merge_intervals(stints(spark, sf_dir), ["o_custkey", "employer", "title"])
 
@@ -338,9 +358,11 @@ def merge_additional_data(spark, sf_dir):
     return merge.merge_additional(o, "o_custkey", "data").select("o_custkey", F.explode("data").alias("key", "value"))
 
 
-@_query()
+@_query(_bucket_sql("""SELECT o_custkey, lower(o_orderpriority) AS institution_key, lower(o_orderstatus) AS degree_key, o_orderkey AS ix, o_orderkey % 3 AS rank, NULL::VARCHAR AS s,
+    CASE WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate, '%Y-%m') END AS e, false AS cur, 1 AS w FROM orders""",
+    "o_custkey, institution_key, degree_key", "b.e IS NULL OR x.e IS NULL OR left(b.e, 4) = left(x.e, 4)",
+) + " SELECT o_custkey, institution_key, degree_key, b.lo AS start, b.hi AS \"end\", b.n AS size FROM b")
 def merge_education(spark, sf_dir):
-    """Without SQL: the fold depends on the order of buckets; tests hold it against expected buckets."""
     o = _t(spark, sf_dir, "orders")
     s = o.select("o_custkey", F.col("o_orderkey").alias("candidate_ix"), (F.col("o_orderkey") % 3).cast("int").alias("rank"), F.col("o_orderpriority").alias("institution"), F.col("o_orderstatus").alias("degree"), F.lit(None).cast("string").alias("start"), F.when(F.col("o_orderkey") % 4 > 0, F.date_format("o_orderdate", "yyyy-MM")).alias("end"), F.lit(1).cast("long").alias("weight"))
     return merge.merge_education(s, "o_custkey")
