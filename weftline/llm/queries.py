@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, fim, importance, langid, mtree, pack, pii, secret_scan, simhash, winnow, wrapper
+from . import alignment, chat, fim, importance, langid, mtree, pack, pii, secret_scan, simhash, winnow, wrapper
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -99,6 +99,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tables import written
+
+    spelled = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    table = alignment.aligned(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+    out = alignment.weighed(written(table.withColumn("groups_sha256", spelled).drop("groups"), "alignments"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -113,6 +122,7 @@ QUERIES = {
         op9_importance_resampling,
         op10_mtree,
         op11_fill_in_middle,
+        op12_tokenizer_alignment,
     )
 }
 
