@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import alignment, chat, fim, importance, langid, mtree, pack, pii, secret_scan, simhash, winnow, wrapper
+from . import alignment, chat, fim, importance, langid, lattice, mtree, pack, pii, secret_scan, simhash, winnow, wrapper
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTES, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,11 +103,16 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.tables import written
 
     spelled = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    table = alignment.aligned(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+    table = alignment.aligned(_table(spark, sf_dir, "documents"), BYTES, PIECES)
     out = alignment.weighed(written(table.withColumn("groups_sha256", spelled).drop("groups"), "alignments"))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    return lattice.scored(_table(spark, sf_dir, "documents"), held_out, PIECES)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +128,7 @@ QUERIES = {
         op10_mtree,
         op11_fill_in_middle,
         op12_tokenizer_alignment,
+        op13_subword_lattice,
     )
 }
 
