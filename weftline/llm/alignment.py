@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.tables import written
 from .shared import byte_batches, joined_by_frequency
 
+#: Bytes of text aligned at a time: tokens, their pairs and their spelling take some hundred bytes for each.
+BATCH_BYTES = 1 << 20
 #: Links of one group that are listed pair by pair at most; in larger groups equal ids are counted first.
 LISTED = 4096
 LINKS = "array<struct<a:int,b:int,n:bigint>>"
@@ -118,7 +120,7 @@ def _aligned(batch: pa.RecordBatch, a_file: str, b_file: str) -> pa.RecordBatch:
         ids_b.append(b)
     rows = len(ids_a)
     in_a, in_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-    a, b = (np.fromiter((i for x in ids for i in x), np.int32, int(n.sum())) for ids, n in ((ids_a, in_a), (ids_b, in_b)))
+    a, b = (np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in ids)]) for ids in (ids_a, ids_b))
     end_a, end_b = np.cumsum(side_a.length[a]), np.cumsum(side_b.length[b])
     low, high = overlaps(end_a, end_b) if len(a) else (np.zeros(0, np.int64),) * 2
     last = np.append(high[:-1] <= low[1:], True)[: len(a)]  # the gap behind an A token is not spanned; ends of texts never are
@@ -168,7 +170,7 @@ def aligned(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    batches = byte_batches(lambda b: _aligned(b, a_file, b_file), 2)
+    batches = byte_batches(lambda b: _aligned(b, a_file, b_file), 2, BATCH_BYTES)
     return given.mapInArrow(batches, f"row long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, links {LINKS}")
 
 
