@@ -9,7 +9,7 @@ def test_csv_files_with_differing_headers(spark, tmp_path):
     (tmp_path / "dup.csv").write_text("name,name\nJane,Doe")
     (tmp_path / "ragged.csv").write_text("name,x\nJane")
     (tmp_path / "blank.csv").write_text("name,,x\na,b,c")
-    rows = structured.csv_rows(files.read(spark, str(tmp_path)))
+    rows = structured.csv_rows(files.texts(files.read(spark, str(tmp_path))))
     errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in rows.filter("error is not null").collect()}
     assert set(errors) == {"dup.csv", "ragged.csv", "blank.csv"} and "duplicate headers" in errors["dup.csv"]
     got = {r["full_name"]: r for r in structured.csv_records(rows.filter("error is null")).collect()}
@@ -17,7 +17,7 @@ def test_csv_files_with_differing_headers(spark, tmp_path):
     assert john["skills"] == ["JavaScript", "React"] and [tuple(c) for c in john["contacts"]] == [("email", "john@example.com", True), ("phone", "+1 555 333 4444", False)]
     assert john["location"] is None and john["experiences"] == [] and john["education"] == []
     assert ada["location"]["formatted"] == "Pune, India" and ada["headline"] == "Engineer"
-    assert [tuple(e) for e in ada["experiences"]] == [("Acme", "Engineer", None, None, None, True)] and [tuple(e) for e in ada["education"]] == [("MIT", None, None, "2019")]
+    assert [tuple(e) for e in ada["experiences"]] == [("Acme", "Engineer", None, None, None, True, [])] and [tuple(e) for e in ada["education"]] == [("MIT", None, None, "2019")]
 
 
 def test_json_candidates(spark):

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .config import MERGE_STRATEGIES
+from .errors import IdentityError
 from .operators import canonical, identity, merge, records
+from .operators.order import numbered
 from .operators.tables import written
 from .plans import contract
 from .plans.projection import Config, project
@@ -23,18 +25,23 @@ class Transformed:
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """Normalized records (path, row_no, source_type, extractor and the record columns) with rank, candidate_ix, keys and group_ix.
+    """Normalized records (path, row_no, source_type, extractor and the record columns) with rank, candidate_ix, keys, group_ix, group_id and source_id.
 
-    candidate_ix numbers the records by path and row in one order over all; it is a rank within the path's
-    hash order, so no record waits for another one's number.
+    candidate_ix numbers the records by path and row in one order over all (:func:`weftline.operators.order.numbered`), so equal records are two and ties go to the
+    earlier one. A record without a path has no source and cannot be resolved: an error.
     """
+    if found.filter("path is null").first():
+        raise IdentityError("a record has no source")
     n = records.normalized(found)
     label = merge.source_label(F.concat_ws(" ", "source_type", F.substring_index("path", "/", -1), "extractor"), F.col("source_type"))
     name = records.display_name(F.col("full_name"), F.col("first_name"), F.lit(None).cast("string"), F.col("last_name"))
-    fallback = identity.fallback_key(name, records.primary_employer(F.col("experiences")), records.location_fingerprint(F.col("location")))
-    n = n.withColumns({"rank": merge.priority_rank(label), "candidate_ix": F.xxhash64("path", "row_no", *[records.as_text(n, c) for c in ("full_name", "contacts", "experiences")]), "source_id": F.sha2(F.col("path"), 256)})
+    place = records.location_fingerprint(F.col("location"))
+    fallback = identity.fallback_key(name, records.primary_employer(F.col("experiences")), place)
+    n = n.withColumns({"rank": merge.priority_rank(label), "source_id": F.sha2(F.col("path"), 256), "display_name": name, "fingerprint": place})
     n = n.withColumn("keys", identity.identity_keys(F.col("contacts"), F.col("links"), fallback))
-    return identity.resolve(written(n, "normalized-records"))
+    r = written(identity.resolve(numbered(n, ["path", "row_no"])), "resolved-records")
+    ids = identity.group_ids(r, name="display_name", location="fingerprint", source="source_id").select("group_ix", "group_id")
+    return r.join(ids, "group_ix").drop("display_name", "fingerprint")
 
 
 def profiles(merged: DataFrame) -> DataFrame:
@@ -56,5 +63,5 @@ def transform(spark: SparkSession, folder: str, config: Config | dict | None = N
     plan = config if isinstance(config, Config) else contract.parsed_config(config)
     found, rejects = extract.extracted(files.read(spark, folder), strict)
     rows = resolved(found).withColumn("received_at", F.lit(received_at))
-    merged = written(canonical.canonical(rows), "canonical-records")
+    merged = written(canonical.canonical(rows, ids=rows.select("group_ix", "group_id").distinct()), "canonical-records")
     return Transformed(project(profiles(merged), plan), merged, rejects, contract.chronology(merged, "id"))

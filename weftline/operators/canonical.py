@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import MERGE_STRATEGIES
 from ..functions.ids import det_id
-from . import generic, merge
+from . import buckets, generic, merge
 from .tables import written
 
-#: Scalar fields of a record and their names in the decisions.
-SCALARS = {"first_name": "firstName", "last_name": "lastName", "full_name": "fullName", "headline": "headline", "summary": "summary", "location": "location"}
+#: Scalar fields of a record and their names in the decisions; middle names are optional.
+SCALARS = {"first_name": "firstName", "middle_name": "middleName", "last_name": "lastName", "full_name": "fullName", "headline": "headline", "summary": "summary", "location": "location"}
 
 
 def decision(group_id: Column, field: str, winners: Column, candidates: Column, value: Column, discarded: Column, resolved_at: Column) -> Column:
@@ -53,47 +53,50 @@ def united(rows: DataFrame, group: str, entries: str, key, flags: tuple[str, ...
     return g.select(group, F.transform("all", lambda e: e["x"]).alias(entries))
 
 
-def canonical(rows: DataFrame, group: str = "group_ix") -> DataFrame:
+def canonical(rows: DataFrame, group: str = "group_ix", ids: DataFrame | None = None) -> DataFrame:
     """One row per group: id, its scalars by preference, united contacts, links, skills, jobs and schools, sources, decisions, created_at and updated_at.
 
-    ``rows``: records (``weftline.sources.structured.RECORD``) with group_ix, rank, candidate_ix, source_id and received_at. A
-    group has one source at least. A field nobody fills is null or an empty list. Jobs of one employer and title, and
-    schools of one institution and degree, unite where ``merge_intervals`` and ``merge_education`` say so.
+    ``rows``: records (``weftline.sources.structured.RECORD``, optionally middle_name, tags and additional_data) with group_ix, rank, candidate_ix, source_id and
+    received_at. ``ids``: (group, group_id), what canonical ids name; the group itself where not given. A group has one source at least. A field nobody fills is
+    null or an empty list. Jobs of one employer and title, and schools of one institution and degree, unite where :mod:`buckets` says so; they keep the fields of
+    their representative. Equal ranks and ties go to the earlier record. Repeated records are records of their own.
     """
     rows = written(rows, "records-to-merge")
+    scalars = [c for c in SCALARS if c in rows.columns]
     about = rows.groupBy(group).agg(F.array_sort(F.collect_set("source_id")).alias("sources"), F.min("received_at").alias("created_at"), F.max("received_at").alias("updated_at"))
-    out = about.withColumn("id", det_id("candidate", F.col(group)))
+    out = about.join(ids, group) if ids is not None else about.withColumn("group_id", F.col(group).cast("string"))
+    out = out.withColumn("id", det_id("canonical-candidate", F.col("group_id")))
+    won = generic.merge_values(rows, group, scalars)
+    out = out.join(won.select(group, *[F.col(c).alias(f"_{c}") for c in scalars]), group)
     decisions = []
-    sources = rows.select(F.col(group), F.col("candidate_ix").alias("ix"), "source_id").groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("ix", "source_id"))).alias("_source_of"))
-    out = out.join(sources, group)
-    for column, field in SCALARS.items():
-        won = generic.merge_value(rows, group, column).withColumnsRenamed({"winner_ix": "_w", "candidate_ixs": "_c", "discarded": "_d"})
-        out = out.join(won, group, "left")
-        to = lambda ix: F.try_element_at(F.col("_source_of"), ix)
-        value = generic.serialized(F.col(column), rows.schema[column].dataType) if column == "location" else F.col(column)
-        made = decision(F.col("id"), field, F.array(to(F.col("_w"))), F.transform("_c", to), value, F.col("_d"), F.col("updated_at"))
-        out = out.withColumn(f"_{column}", F.when(F.col("_w").isNotNull(), made)).drop("_w", "_c", "_d")
-        decisions.append(F.col(f"_{column}"))
+    for column in scalars:
+        w, kind = F.col(f"_{column}"), rows.schema[column].dataType
+        value = generic.serialized(w["value"], kind) if column == "location" else w["value"]
+        decisions.append(F.when(w.isNotNull(), decision(F.col("id"), SCALARS[column], F.array(w["source"]), w["candidates"], value, w["discarded"], F.col("updated_at"))))
+        out = out.withColumn(column, w["value"])
+    out = out.withColumn("location", F.when(F.col("location").isNotNull(), F.col("location").withField("id", det_id("location", F.col("group_id"), generic.serialized(F.col("location"), rows.schema["location"].dataType)))))
     lists = {
         "contacts": (lambda c: F.concat(c["kind"], F.lit(":"), F.lower(c["value"])), ("is_primary",)),
         "links": (lambda x: F.concat(x["platform"], F.lit(":"), F.lower(x["url"])), ()),
         "skills": (lambda s: F.lower(s), ()),
+        "tags": (lambda s: s, ()),
     }
+    lists = {c: how for c, how in lists.items() if c in rows.columns}
     for column, (key, flags) in lists.items():
         out = out.join(united(rows, group, column, key, flags), group, "left").withColumn(column, F.coalesce(column, F.array().cast(rows.schema[column].dataType)))
-    jobs = rows.select(group, "rank", F.col("candidate_ix").cast("long").alias("candidate_ix"), F.explode("experiences").alias("x"))
-    jobs = jobs.select(group, "rank", "candidate_ix", "x.*", F.lower("x.employer").alias("employer_key"), F.coalesce(F.lower("x.title"), F.lit("")).alias("title_key"))
-    jobs = jobs.withColumn("weight", sum((merge.text_completeness(F.col(c)) for c in ("employer", "title", "description", "start", "end")), F.lit(0)).cast("long"))
-    spans = merge.merge_intervals(jobs, [group, "employer_key", "title_key"])
-    told = jobs.groupBy(group, "employer_key", "title_key").agg(F.max_by(F.struct("employer", "title", "description"), F.struct("weight", -F.col("rank"), -F.col("candidate_ix"))).alias("t"))
-    spans = spans.join(told, [group, "employer_key", "title_key"]).select(group, F.struct("t.employer", "t.title", "t.description", "start", "end", "is_current").alias("x"))
-    spans = spans.groupBy(group).agg(F.array_sort(F.collect_list("x")).alias("experiences"))
-    schools = rows.select(group, "rank", F.col("candidate_ix").cast("long").alias("candidate_ix"), F.explode("education").alias("x")).select(group, "rank", "candidate_ix", "x.*")
-    schools = schools.withColumns({"start": F.lit(None).cast("string"), "weight": sum((merge.text_completeness(F.col(c)) for c in ("institution", "degree", "field", "end")), F.lit(0)).cast("long")})
-    kept = merge.merge_education(schools, group)
-    said = schools.groupBy(group, F.lower("institution").alias("institution_key"), F.coalesce(F.lower("degree"), F.lit("")).alias("degree_key")).agg(F.max_by(F.struct("institution", "degree", "field"), F.struct("weight", -F.col("rank"), -F.col("candidate_ix"))).alias("t"))
-    kept = kept.join(said, [group, "institution_key", "degree_key"]).select(group, F.struct("t.institution", "t.degree", "t.field", "end").alias("x")).groupBy(group).agg(F.array_sort(F.collect_list("x")).alias("education"))
-    out = out.join(spans, group, "left").join(kept, group, "left")
+    named = lambda a, b: lambda x: F.concat_ws("|", F.lower(x[a]), F.coalesce(F.lower(x[b]), F.lit("")))
+    jobs = buckets.united(rows, group, "experiences", named("employer", "title"), buckets.dated(), lists=("skills",) if "skills" in rows.schema["experiences"].dataType.elementType.names else ())
+    schools = buckets.united(rows, group, "education", named("institution", "degree"), buckets.same_year(), start=None, current=None)
+    numbered = lambda kind, *parts: lambda x, i: x.withField("id", det_id(kind, F.col("group_id"), *[F.coalesce(F.lower(x[p]), F.lit("")) for p in parts], i.cast("string")))
+    for column, found, name in (("experiences", jobs, numbered("experience", "employer", "title", "start")), ("education", schools, numbered("education", "institution", "degree", "end"))):
+        out = out.join(found, group, "left").withColumn(column, F.transform(F.coalesce(column, F.array().cast(found.schema[column].dataType)), name))
+        entries = F.col(column)
+        joined = F.array_join(F.transform(entries, lambda x: x["employer" if column == "experiences" else "institution"]), ", ")  # noqa: B023
+        of = lambda part: F.array_distinct(F.flatten(F.transform(entries, lambda x: x[part])))  # noqa: B023, E731
+        first = F.get(entries, F.lit(0))
+        decisions.append(F.when(F.size(entries) > 0, decision(F.col("id"), column, F.array(first["source"]), of("sources"), joined, of("discarded"), F.col("updated_at"))))
+    if "additional_data" in rows.columns:
+        out = out.join(merge.merge_additional(rows, group, "additional_data"), group, "left")
     out = out.withColumn("provenance", F.array_compact(F.array(*decisions)))
-    columns = ["id", group, *SCALARS, "contacts", "links", "skills", "experiences", "education", "sources", "provenance", "created_at", "updated_at"]
-    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("experiences", "education")}).select(*columns)
+    more = ["additional_data"] if "additional_data" in rows.columns else []
+    return out.select("id", group, "group_id", *scalars, *lists, "experiences", "education", *more, "sources", "provenance", "created_at", "updated_at")

@@ -73,6 +73,8 @@ def normalized(records: DataFrame) -> DataFrame:
         return out
 
     job = lambda x: fields(x, employer=normalize.company, start=normalize.date_ym, end=normalize.date_ym, title=normalize.free_text, description=normalize.free_text)
+    if "skills" in records.schema["experiences"].dataType.elementType.names:
+        plain_job, job = job, lambda x: plain_job(x).withField("skills", unique_by(F.transform(x["skills"], lambda s: safe(normalize.skill, s)), F.lower))
     school = lambda x: fields(x, institution=normalize.company, degree=normalize.degree, end=normalize.date_ym, field=normalize.free_text)
     place = F.when(F.col("location").isNotNull(), fields(F.col("location"), city=normalize.city, region=normalize.city, formatted=normalize.city, country=normalize.country))
     texts = {c: normalize.free_text(F.col(c)) for c in ("first_name", "last_name", "full_name", "headline", "summary")}

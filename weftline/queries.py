@@ -191,26 +191,31 @@ def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_custkey", F.col("o_orderpriority").alias("employer"), F.col("o_orderstatus").alias("title"), F.col("o_orderkey").alias("candidate_ix"), (F.col("o_orderkey") % 3).cast("int").alias("rank"), F.date_format("o_orderdate", "yyyy-MM").alias("start"), "end", F.col("end").isNull().alias("is_current"), (F.col("o_orderkey") % 7).alias("weight"))
 
 
-def _bucket_sql(items: str, keys: str, meets: str) -> str:
+def _bucket_sql(items: str, keys: str, meets: str, takes: str = "x.rank = b.rank AND x.w > b.w", carried: tuple[str, ...] = (), union: str = "") -> str:
     """The fold into buckets as a recursive query, one item a step. ``items``: a query of the keys with rank, ix, start, end, current and
-    weight (s, e, cur, w); ``meets``: the rule by which the item x joins the bucket b."""
-    grown = """struct_pack(rank := b.rank, w := CASE WHEN x.rank = b.rank AND x.w > b.w THEN x.w ELSE b.w END,
-      s := CASE WHEN x.rank = b.rank AND x.w > b.w THEN x.s ELSE b.s END, e := CASE WHEN x.rank = b.rank AND x.w > b.w THEN x.e ELSE b.e END,
-      cur := CASE WHEN x.rank = b.rank AND x.w > b.w THEN x.cur ELSE b.cur END,
-      lo := least(b.lo, x.s), hi := greatest(b.hi, x.e), any_cur := b.any_cur OR x.cur, n := b.n + 1)"""
-    fresh = "struct_pack(rank := x.rank, w := x.w, s := x.s, e := x.e, cur := x.cur, lo := x.s, hi := x.e, any_cur := x.cur, n := 1)"
+    weight (s, e, cur, w) and ``carried`` columns of the representative; ``meets``: the rule by which the item x joins the bucket b; ``takes``: when it
+    stands for it; ``union``: a list column joined without case."""
+    own = ("rank", "w", "s", "e", "cur", *carried)
+    both = f", {union} := list_concat(b.{union}, list_filter(x.{union}, lambda t: NOT list_contains(list_transform(b.{union}, lambda u: lower(u)), lower(t))))" if union else ""
+    first = f", {union} := x.{union}" if union else ""
+    grown = "struct_pack(" + ", ".join(f"{c} := CASE WHEN {takes} THEN x.{c} ELSE b.{c} END" for c in own) + f", o := b.o, lo := least(b.lo, x.s), hi := greatest(b.hi, x.e), any_cur := b.any_cur OR x.cur, n := b.n + 1{both})"
+    fresh = "struct_pack(" + ", ".join(f"{c} := x.{c}" for c in own) + f", o := {{'rank': x.rank, 'ix': x.ix}}, lo := x.s, hi := x.e, any_cur := x.cur, n := 1{first})"
+    packed = ", ".join(("rank", "ix", "s", "e", "cur", "w", *carried, *([union] if union else [])))
     return f"""WITH RECURSIVE items AS ({items}),
-g AS (SELECT {keys}, list(struct_pack(rank, ix, s, e, cur, w) ORDER BY rank, ix) AS xs FROM items GROUP BY ALL),
+g AS (SELECT {keys}, list(struct_pack({packed}) ORDER BY rank, ix) AS xs FROM items GROUP BY ALL),
 f AS (SELECT {keys}, xs, 1 AS i, list_transform(xs[1:1], lambda x: {fresh}) AS acc FROM g
   UNION ALL SELECT {keys}, xs, i + 1, CASE WHEN place IS NULL THEN list_concat(acc, [{fresh}]) ELSE list_transform(acc, lambda b, j: CASE WHEN j = place THEN {grown} ELSE b END) END
   FROM (SELECT *, nullif(coalesce(list_position(list_transform(acc, lambda b: coalesce({meets}, false)), true), 0), 0) AS place FROM (SELECT *, xs[i + 1] AS x FROM f WHERE i < len(xs)))),
 b AS (SELECT {keys}, unnest(acc) AS b FROM f WHERE i = len(xs))"""
 
 
+_RANGES_MEET = "b.s IS NULL OR x.s IS NULL OR b.s = x.s OR (b.s <= CASE WHEN x.cur OR x.e IS NULL THEN '9999-12-31' ELSE x.e END AND x.s <= CASE WHEN b.cur OR b.e IS NULL THEN '9999-12-31' ELSE b.e END)"
+
+
 @_query(_bucket_sql("""SELECT o_custkey, o_orderpriority AS employer, o_orderstatus AS title, o_orderkey AS ix, o_orderkey % 3 AS rank, strftime(o_orderdate, '%Y-%m') AS s,
     l.e AS e, l.e IS NULL AS cur, o_orderkey % 7 AS w FROM orders LEFT JOIN (SELECT l_orderkey, strftime(max(l_shipdate), '%Y-%m') AS e FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""",
     "o_custkey, employer, title",
-    "b.s IS NULL OR x.s IS NULL OR b.s = x.s OR (b.s <= CASE WHEN x.cur OR x.e IS NULL THEN '9999-12-31' ELSE x.e END AND x.s <= CASE WHEN b.cur OR b.e IS NULL THEN '9999-12-31' ELSE b.e END)",
+    _RANGES_MEET,
 ) + " SELECT o_custkey, employer, title, b.lo AS start, CASE WHEN NOT b.any_cur THEN b.hi END AS \"end\", b.any_cur AS is_current, b.n AS size FROM b")
 def merge_experience_intervals(spark, sf_dir):
     return merge.merge_intervals(stints(spark, sf_dir), ["o_custkey", "employer", "title"])
@@ -538,7 +543,7 @@ def records_to_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed as whole records: a job and a skill each, a school for each fourth."""
     k = F.col("k")
     r = resolved(spark, sf_dir)
-    job = F.struct(F.concat(F.lit("Acme "), (k % 3).cast("string")).alias("employer"), F.lit("Engineer").alias("title"), F.lit(None).cast("string").alias("description"), F.concat((2000 + k % 5).cast("string"), F.lit("-01")).alias("start"), F.concat((2001 + k % 7).cast("string"), F.lit("-06")).alias("end"), (k % 11 == 0).alias("is_current"))
+    job = F.struct(F.concat(F.lit("Acme "), (k % 3).cast("string")).alias("employer"), F.lit("Engineer").alias("title"), F.when(k % 4 == 0, F.concat(F.lit("built "), F.col("name"))).alias("description"), F.concat((2000 + k % 5).cast("string"), F.lit("-01")).alias("start"), F.concat((2001 + k % 7).cast("string"), F.lit("-06")).alias("end"), (k % 11 == 0).alias("is_current"), F.array(F.lit("Go"), F.concat(F.lit("g"), (k % 2).cast("string"))).alias("skills"))
     school = F.struct(F.lit("College").alias("institution"), F.lit("BS").alias("degree"), F.lit(None).cast("string").alias("field"), F.lit("1999-01").alias("end"))
     none = F.lit(None).cast("string")
     place = F.struct(none.alias("raw"), F.col("city").alias("city"), none.alias("region"), none.alias("country"), none.alias("formatted"))
@@ -549,20 +554,41 @@ def records_to_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumns(columns)
 
 
+_JOBS_OF_GROUPS = _bucket_sql(
+    """SELECT group_ix, 'Acme ' || k % 3 AS employer, candidate_ix AS ix, rank, (2000 + k % 5) || '-01' AS s, (2001 + k % 7) || '-06' AS e, k % 11 = 0 AS cur,
+    CASE WHEN k % 4 = 0 THEN length('built ' || trim(name)) + 5 * len(string_split('built ' || trim(name), ' ')) ELSE 0 END AS w, CASE WHEN k % 4 = 0 THEN 'built ' || name END AS d, ['Go', 'g' || k % 2] AS sk FROM ranked""",
+    "group_ix, employer",
+    _RANGES_MEET,
+    "CASE WHEN x.rank = b.rank THEN x.w > b.w ELSE b.d IS NULL AND x.d IS NOT NULL AND x.s = b.s AND x.e = b.e AND x.cur = b.cur AND x.sk1 = b.sk1 END",
+    ("d", "sk1"),
+    "sk",
+).replace("AS sk FROM ranked", "AS sk, k % 2 AS sk1 FROM ranked")
 _CANONICAL = WITH + f""", h AS (SELECT group_ix, {_FOLD.replace("full_name", "headline")}.value AS headline FROM ranked WHERE headline IS NOT NULL GROUP BY group_ix),
-f AS (SELECT group_ix, {_FOLD} AS w, {_FOLD.replace("full_name", "city")}.value AS city, count(*) AS n_sources, count(DISTINCT email) + count(DISTINCT CASE WHEN raw_phone IS NOT NULL THEN phone_any END) AS n_contacts, 1 + count(DISTINCT k % 3) AS n_skills, (max((k % 4 = 0)::INT))::BIGINT AS n_schools,
-  '2024-01-' || lpad((min(k % 28) + 1)::VARCHAR, 2, '0') AS created_at, '2024-01-' || lpad((max(k % 28) + 1)::VARCHAR, 2, '0') AS updated_at, count(DISTINCT full_name) - 1 AS n_discarded FROM ranked GROUP BY group_ix)
-SELECT group_ix, w.value AS full_name, headline, city, n_sources, n_contacts, n_skills, n_schools, created_at, updated_at, 's' || w.ix AS name_winner, n_discarded, 2 + (headline IS NOT NULL)::BIGINT AS n_decisions FROM f LEFT JOIN h USING (group_ix)"""
+f AS (SELECT group_ix, {_FOLD} AS w, {_FOLD.replace("full_name", "city")}.value AS city, string_agg('s' || candidate_ix, '|' ORDER BY 's' || candidate_ix) AS sources, max((k % 4 = 0)::INT) AS schooled, count(*) FILTER (k % 4 = 0) AS n_schools,
+  '2024-01-' || lpad((min(k % 28) + 1)::VARCHAR, 2, '0') AS created_at, '2024-01-' || lpad((max(k % 28) + 1)::VARCHAR, 2, '0') AS updated_at, count(DISTINCT full_name) - 1 AS n_discarded FROM ranked GROUP BY group_ix),
+c0 AS (SELECT group_ix, {{'r': rank, 'i': candidate_ix, 'p': 0}} AS o, 'email:' || email AS c FROM ranked UNION ALL SELECT group_ix, {{'r': rank, 'i': candidate_ix, 'p': 1}}, 'phone:' || phone_any FROM ranked WHERE raw_phone IS NOT NULL),
+c AS (SELECT group_ix, string_agg(c, '|' ORDER BY o) AS contacts FROM (SELECT group_ix, c, min(o) AS o FROM c0 GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT group_ix, string_agg(s, '|' ORDER BY o) AS skills FROM (SELECT group_ix, s, min(o) AS o FROM (SELECT group_ix, unnest(['Go', 'S' || k % 3]) AS s, {{'r': rank, 'i': candidate_ix, 'p': unnest([0, 1])}} AS o FROM ranked) GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT group_ix, string_agg(concat_ws('|', b.employer_, 'Engineer', coalesce(b.d, ''), b.lo, coalesce(CASE WHEN NOT b.any_cur THEN b.hi END, ''), b.any_cur, array_to_string(b.sk, ','), b.n), ';' ORDER BY b.o) AS experiences
+  FROM (SELECT group_ix, struct_insert(b, employer_ := employer) AS b FROM job_buckets) GROUP BY 1)
+SELECT group_ix, w.value AS full_name, headline, city, sources, contacts, skills, experiences, CASE WHEN schooled = 1 THEN 'College|BS|1999-01|' || n_schools ELSE '' END AS education, created_at, updated_at, 's' || w.ix AS name_winner, n_discarded,
+  3 + (headline IS NOT NULL)::BIGINT + schooled AS n_decisions FROM f LEFT JOIN h USING (group_ix) JOIN c USING (group_ix) JOIN s USING (group_ix) JOIN j USING (group_ix)"""
+# the bucket fold's own tables come after the feed's
+_CANONICAL = _CANONICAL.replace(", h AS (SELECT", ", " + _JOBS_OF_GROUPS.removeprefix("WITH RECURSIVE ").replace("items AS", "job_items AS").replace("FROM items", "FROM job_items").replace("\ng AS", "\njob_lists AS").replace("FROM g\n", "FROM job_lists\n").replace("\nf AS", "\njob_folds AS").replace("FROM f WHERE", "FROM job_folds WHERE").replace("\nb AS", "\njob_buckets AS") + ", h AS (SELECT", 1)
 
 
 @_query(_CANONICAL)
 def canonical_records(spark, sf_dir):
-    """One record per group with all its fields, and the decision behind each scalar one."""
+    """One record per group with all its fields and whole entries, and how many decisions stand behind it."""
     c = canonical.canonical(records_to_merge(spark, sf_dir))
     name = F.get(F.filter("provenance", lambda p: p["field"] == "fullName"), F.lit(0))
     size = lambda a: F.size(a).cast("long")
+    spelled = lambda entries, *parts: F.array_join(F.transform(entries, lambda x: F.concat_ws("|", *[p(x) for p in parts])), ";")
+    of = lambda n: lambda x: F.coalesce(x[n].cast("string"), F.lit(""))
+    jobs_ = spelled("experiences", *[of(n) for n in ("employer", "title", "description", "start", "end", "is_current")], lambda x: F.array_join(x["skills"], ","), of("size"))
     return c.select(
-        "group_ix", "full_name", "headline", F.col("location.city").alias("city"), size("sources").alias("n_sources"), size("contacts").alias("n_contacts"), size("skills").alias("n_skills"), size("education").alias("n_schools"),
+        "group_ix", "full_name", "headline", F.col("location.city").alias("city"), F.array_join("sources", "|").alias("sources"), F.array_join(F.transform("contacts", lambda x: F.concat(x["kind"], F.lit(":"), x["value"])), "|").alias("contacts"),
+        F.array_join("skills", "|").alias("skills"), jobs_.alias("experiences"), spelled("education", *[of(n) for n in ("institution", "degree", "end", "size")]).alias("education"),
         "created_at", "updated_at", F.get(name["winners"], F.lit(0)).alias("name_winner"), size(name["discarded"]).alias("n_discarded"), size("provenance").alias("n_decisions"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..errors import ExtractionError
 from ..functions import normalize, patterns
 from ..operators import resume
+from ..operators.tables import written
 from . import files as readers
 from .structured import CONTACTS, JOBS, LINKS, LOCATION, RECORD, SCHOOLS, csv_records, csv_rows, json_candidates
 
@@ -44,7 +45,7 @@ def note_records(notes: DataFrame, text: str = "text") -> DataFrame:
         "location": F.when(place.isNotNull(), F.struct(place.alias("raw"), F.get(parts, F.lit(0)).alias("city"), F.get(parts, F.lit(1)).alias("region"), F.get(parts, F.lit(2)).alias("country"), place.alias("formatted"))).cast(LOCATION),
         "contacts": _list(CONTACTS, (email.isNotNull(), contact("email", email, F.lit(True))), (phone.isNotNull(), contact("phone", phone, email.isNull()))),
         "links": _list(LINKS, link("linkedin", "linkedin"), link("github", "github"), link("portfolio", "portfolio", "website")),
-        "experiences": _list(JOBS, (company.isNotNull(), F.struct(company.alias("employer"), title.alias("title"), none.alias("description"), none.alias("start"), none.alias("end"), F.lit(True).alias("is_current")))),
+        "experiences": _list(JOBS, (company.isNotNull(), F.struct(company.alias("employer"), title.alias("title"), none.alias("description"), none.alias("start"), none.alias("end"), F.lit(True).alias("is_current"), F.array().cast("array<string>").alias("skills")))),
         "education": _list(SCHOOLS, (school.isNotNull(), F.struct(school.alias("institution"), none.alias("degree"), none.alias("field"), none.alias("end")))),
         "skills": F.coalesce(normalize.split_values(of("skills")), F.array().cast("array<string>")),
     }
@@ -62,7 +63,7 @@ def resume_records(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     whole = F.when(place.isNotNull(), F.struct(place["raw"].alias("raw"), place["city"].alias("city"), place["region"].alias("region"), place["country"].alias("country"), place["raw"].alias("formatted")))
     columns = {
         "first_name": F.lit(None).cast("string"), "last_name": F.lit(None).cast("string"), "location": whole.cast(LOCATION), "contacts": contacts.cast(CONTACTS), "links": F.col("links").cast(LINKS),
-        "experiences": F.coalesce(F.transform("_jobs", lambda j: j["x"]), F.array()).cast(JOBS), "education": F.col("schools").cast(SCHOOLS),
+        "experiences": F.coalesce(F.transform("_jobs", lambda j: j["x"].withField("skills", F.array().cast("array<string>"))), F.array()).cast(JOBS), "education": F.col("schools").cast(SCHOOLS),
     }
     return f.withColumns(columns).drop("_jobs", "emails", "phones", "schools", "experience_text")
 
@@ -73,29 +74,32 @@ def evidence(text: Column) -> Column:
 
 
 def extracted(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of admitted files (:func:`weftline.sources.files.read`).
+    """(records, rejects) of admitted files (:func:`weftline.sources.files.read`), written tables.
 
-    Records: path, row_no, source_type, extractor and the record columns, from all four extractors. Rejects: path and reason, for
-    files that are not admitted, cannot be read, hold no record or have no extractor; strict runs end with the first.
+    Records: path, row_no, source_type, extractor and the record columns, from all four extractors; row_no counts the rows or objects of a file.
+    Rejects: path and reason, one for each file that is not admitted, cannot be read, holds no record or has no extractor; strict runs end with the first.
+    A file that cannot be read costs its own records only. Every file is decoded and parsed once.
     """
     f = files.withColumn("extractor", extractor(F.col("parser"), F.col("source_type"), F.col("name")))
     keys = ["path", "row_no", "source_type", "extractor"]
-    admitted = f.filter("reject_reason is null")
+    admitted = f.filter("reject_reason is null and extractor is not null")
     about = admitted.select("path", "source_type", "extractor")
-    rows = csv_rows(admitted)
+    texts = written(readers.texts(admitted).join(about, "path"), "source-texts")
+    rows = written(csv_rows(texts), "source-rows")
     from_rows = csv_records(rows.filter("error is null")).join(about, "path").select(*keys, *RECORD)
-    objects = readers.json_records(admitted.filter("extractor = 'AtsJsonExtractor'"))
-    from_json = json_candidates(objects.withColumn("row_no", F.lit(0).cast("long"))).join(about, "path").select(*keys, *RECORD)
-    texts = readers.texts(admitted).filter("text != ''").join(about, "path").withColumn("row_no", F.lit(0).cast("long"))
-    from_resumes = resume_records(texts.filter("extractor = 'ResumeExtractor'"), "path").select(*keys, *RECORD)
-    from_notes = note_records(texts.filter("extractor = 'RecruiterNotesExtractor'")).select(*keys, *RECORD)
-    records = from_rows.unionByName(from_json).unionByName(from_resumes).unionByName(from_notes)
+    objects = readers.json_records(texts.filter("extractor = 'AtsJsonExtractor'"))
+    from_json = json_candidates(objects).join(about, "path").select(*keys, *RECORD)
+    told = texts.filter("text != ''").withColumn("row_no", F.lit(0).cast("long"))
+    from_resumes = resume_records(told.filter("extractor = 'ResumeExtractor'"), "path").select(*keys, *RECORD)
+    from_notes = note_records(told.filter("extractor = 'RecruiterNotesExtractor'")).select(*keys, *RECORD)
+    records = written(from_rows.unionByName(from_json).unionByName(from_resumes).unionByName(from_notes), "extracted-records")
     refused = f.filter("reject_reason is not null").select("path", F.col("reject_reason").alias("reason"))
-    unread = rows.filter("error is not null").select("path", F.col("error").alias("reason"))
-    nobody = admitted.filter("extractor is null").select("path", F.lit("no extractor").alias("reason"))
+    nobody = f.filter("reject_reason is null and extractor is null").select("path", F.lit("no extractor").alias("reason"))
+    unread = texts.filter("error is not null").select("path", F.col("error").alias("reason")).unionByName(rows.filter("error is not null").select("path", F.col("error").alias("reason")))
     seen = records.select("path").unionByName(unread.select("path")).distinct()
-    empty = admitted.filter("extractor is not null").join(seen, "path", "left_anti").select("path", F.lit("malformed or empty").alias("reason"))
-    rejects = refused.unionByName(unread).unionByName(nobody).unionByName(empty)
-    if strict and (first := rejects.first()):
+    blank = F.coalesce(F.trim("text") == "", F.lit(False))
+    empty = texts.join(seen, "path", "left_anti").select("path", F.when(blank, "empty input").otherwise("malformed or empty").alias("reason"))
+    rejects = written(refused.unionByName(nobody).unionByName(unread).unionByName(empty), "rejected-files")
+    if strict and (first := rejects.orderBy("path").first()):
         raise ExtractionError(f"{first['path']}: {first['reason']}")
     return records, rejects

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .pdf import pdf_text
+
 # Extensions and media types that are accepted and refused.
 ACCEPTED = ("csv", "docx", "json", "pdf", "txt")
 DOCX_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
@@ -66,12 +69,28 @@ def parser(name: Column, mime: Column | None = None) -> Column:
     )
 
 
-def decoded(content: Column) -> Column:
-    """UTF-16 little-endian after a byte order mark or a NUL among the first 16 bytes, else UTF-8; NULs dropped, trimmed."""
+#: What Windows-1252 has where Latin-1 has controls; the five places it leaves free are unreadable.
+_CONTROLS = bytes(range(0x80, 0xA0)).decode("latin-1")
+_WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+
+
+def _wide(content: Column) -> Column:
+    """UTF-16: a byte order mark, or a NUL among the first 16 bytes."""
     head = F.hex(F.substring(content, 1, 16))
-    wide = F.rlike(head, F.lit("^(FEFF|FFFE)")) | F.rlike(head, F.lit("^(?:..)*?00"))
-    text = F.when(wide, F.decode(content, "UTF-16LE")).otherwise(F.decode(content, "UTF-8"))
-    return F.trim(F.regexp_replace(text, "[\\x00\\uFEFF\\uFFFE]", ""))
+    return F.rlike(head, F.lit("^(FEFF|FFFE)")) | F.rlike(head, F.lit("^(?:..)*?00"))
+
+
+def decoded(content: Column) -> Column:
+    """Text of bytes that are no UTF-16: UTF-8 if they are valid, else Windows-1252; NULs and marks dropped, trimmed. Never fails."""
+    other = F.translate(F.decode(content, "ISO-8859-1"), _CONTROLS, _WINDOWS)
+    text = F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), other), "[\\x00\\uFEFF\\uFFFE]", "")
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
+def wide_text(content: bytes) -> str:
+    """UTF-16 by its mark, little-endian without one; what is no text is replaced."""
+    text = content.decode("utf-16-be" if content[:2] == b"\xfe\xff" else "utf-16-le", "replace")
+    return text.replace("\0", "").replace("\ufeff", "").strip()
 
 
 def described(listed: DataFrame, descriptors: DataFrame) -> DataFrame:
@@ -99,31 +118,51 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", "name", "size", "reject_reason", source_type(F.col("name")).alias("source_type"), parser(F.col("name")).alias("parser"), kept.alias("content"))
 
 
-def docx_text(content: bytes) -> str | None:
-    """Paragraphs of a word-processor file; null if it cannot be read."""
+#: Bytes a word-processor file's text part may unpack to.
+MOST_UNPACKED = 64 << 20
+
+
+def docx_text(content: bytes) -> tuple[str | None, str | None]:
+    """(text, None): the paragraphs of a word-processor file, or (None, why it has none)."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
+            if z.getinfo("word/document.xml").file_size > MOST_UNPACKED:
+                return None, "too large"
             root = ElementTree.fromstring(z.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return None
-    return "\n\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p")).strip()
+    except (zipfile.BadZipFile, zlib.error, KeyError, ElementTree.ParseError, RuntimeError, NotImplementedError, OSError, EOFError, ValueError):
+        return None, "malformed: no word-processor file"
+    text = "\n\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p")).strip()
+    return (text, None) if text else (None, "empty input")
+
+
+def _unpacked(parser: str, content: bytes) -> tuple[str | None, str | None]:
+    if parser == "PdfParser":
+        return pdf_text(content)
+    return docx_text(content) if parser == "DocxParser" else (wide_text(content), None)
 
 
 def texts(files: DataFrame) -> DataFrame:
-    """(path, text) of text and word-processor files; unreadable ones have a null text."""
-    plain = files.filter("parser = 'TextParser' and content is not null").select("path", decoded(F.col("content")).alias("text"))
+    """(path, parser, text, error) of admitted files. A file that cannot be read has a null text and says why; it costs no other.
+
+    UTF-8 and Windows-1252 are decoded by expressions; UTF-16, PDF and word-processor files one at a time in Arrow batches.
+    """
+    f = files.filter("content is not null").select("path", "parser", "content")
+    packed = F.col("parser").isin("PdfParser", "DocxParser") | _wide(F.col("content"))
 
     def batch(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([docx_text(x) for x in b.column(1).to_pylist()], pa.string())], names=["path", "text"])
+            for i in range(b.num_rows):  # a file at a time: its bytes and text are let go before the next
+                path, parser_, content = (b.column(c)[i].as_py() for c in range(3))
+                text, error = _unpacked(parser_, content)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (path, parser_, text, error)], names=["path", "parser", "text", "error"])
 
-    docx = files.filter("parser = 'DocxParser' and content is not null").select("path", "content").mapInArrow(batch, "path string, text string")
-    return plain.unionByName(docx)
+    plain = f.filter(~packed).select("path", "parser", decoded(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
+    return plain.unionByName(f.filter(packed).mapInArrow(batch, "path string, parser string, text string, error string"))
 
 
-def json_records(files: DataFrame) -> DataFrame:
-    """(path, record VARIANT) of JSON files: an array's objects, a ``candidates`` list's, or the object itself; malformed files give none."""
-    v = files.filter("parser = 'JsonParser' and content is not null").select("path", F.try_parse_json(decoded(F.col("content"))).alias("v"))
+def json_records(texts: DataFrame) -> DataFrame:
+    """(path, row_no, record VARIANT) of JSON texts: an array's objects, a ``candidates`` list's, or the object itself, each with its place; malformed texts give none."""
+    v = texts.filter("parser = 'JsonParser' and text is not null").select("path", F.try_parse_json("text").alias("v"))
     v = v.filter("v is not null").withColumn("list", F.coalesce(F.try_variant_get("v", "$.candidates", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array("v")))
-    return v.select("path", F.explode_outer("list").alias("record")).filter("schema_of_variant(record) like 'OBJECT%'")
+    return v.select("path", F.posexplode("list").alias("row_no", "record")).withColumn("row_no", F.col("row_no").cast("long")).filter("schema_of_variant(record) like 'OBJECT%'")

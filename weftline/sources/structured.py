@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.normalize import blank_to_null, split_values
-from .files import decoded
+from .files import MAX_BYTES
 
 CONTACTS = "array<struct<kind:string,value:string,is_primary:boolean>>"
 LINKS = "array<struct<platform:string,url:string>>"
-JOBS = "array<struct<employer:string,title:string,description:string,start:string,end:string,is_current:boolean>>"
+JOBS = "array<struct<employer:string,title:string,description:string,start:string,end:string,is_current:boolean,skills:array<string>>>"
 SCHOOLS = "array<struct<institution:string,degree:string,field:string,end:string>>"
 LOCATION = "struct<raw:string,city:string,region:string,country:string,formatted:string>"
 RECORD = ("first_name", "last_name", "full_name", "headline", "summary", "location", "contacts", "links", "experiences", "education", "skills")
@@ -48,6 +48,7 @@ HEADERS = {
 
 def _rows_of(text: str | None) -> Iterator[tuple[int | None, list[tuple[str, str]], str | None]]:
     """(row number, cells, error) of one delimited file; an error is one row without cells."""
+    csv.field_size_limit(MAX_BYTES)
     try:
         rows = [r for r in csv.reader(io.StringIO((text or "").strip(), newline=""), strict=True) if any(c.strip() for c in r)]
     except csv.Error as e:
@@ -65,8 +66,8 @@ def _rows_of(text: str | None) -> Iterator[tuple[int | None, list[tuple[str, str
             yield i, [(h, c.strip()) for h, c in zip(header, r, strict=True)], None
 
 
-def csv_rows(files: DataFrame) -> DataFrame:
-    """(path, row_no, cells MAP, error) of admitted delimited files. Files are parsed one at a time; admission bounds their size."""
+def csv_rows(texts: DataFrame) -> DataFrame:
+    """(path, row_no, cells MAP, error) of delimited texts (path, parser, text). Files are parsed one at a time; admission bounds their size."""
 
     def batch(batches):
         for b in batches:
@@ -76,8 +77,7 @@ def csv_rows(files: DataFrame) -> DataFrame:
                 columns = [[path] * len(rows), *map(list, zip(*rows, strict=True))] if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "row_no", "cells", "error"])
 
-    text = files.filter("parser = 'CsvParser' and content is not null").select("path", decoded(F.col("content")).alias("text"))
-    return text.mapInArrow(batch, "path string, row_no long, cells map<string,string>, error string")
+    return texts.filter("parser = 'CsvParser' and text is not null").select("path", "text").mapInArrow(batch, "path string, row_no long, cells map<string,string>, error string")
 
 
 def _compact(*items: tuple[Column, Column]) -> Column:
@@ -111,7 +111,7 @@ def csv_records(rows: DataFrame, cells: str = "cells") -> DataFrame:
     emails, phones = (_or_empty(split_values(of[x])) for x in ("email", "phone"))
     place = F.concat_ws(", ", of["city"], of["region"], of["country"])
     location = F.when(place != "", F.struct(F.lit(None).alias("raw"), of["city"].alias("city"), of["region"].alias("region"), of["country"].alias("country"), place.alias("formatted")).cast(LOCATION))
-    job = F.struct(of["company"].alias("employer"), of["title"].alias("title"), F.lit(None).alias("description"), of["start"].alias("start"), of["end"].alias("end"), of["end"].isNull().alias("is_current"))
+    job = F.struct(of["company"].alias("employer"), of["title"].alias("title"), F.lit(None).alias("description"), of["start"].alias("start"), of["end"].alias("end"), of["end"].isNull().alias("is_current"), F.array().cast("array<string>").alias("skills"))
     school = F.struct(of["school"].alias("institution"), of["degree"].alias("degree"), of["field"].alias("field"), of["graduated"].alias("end"))
     columns = {
         "first_name": F.lit(None).cast("string"), "last_name": F.lit(None).cast("string"), "full_name": of["full_name"], "headline": of["title"], "summary": of["summary"], "location": location,
@@ -174,6 +174,7 @@ def json_candidates(records: DataFrame, record: str = "record") -> DataFrame:
     job = lambda x: F.struct(
         F.coalesce(text(present(x, "company", "employer", "organization")), F.lit("Unknown Employer")).alias("employer"), text(present(x, "title", "role")).alias("title"),
         text(present(x, "summary", "description")).alias("description"), text(present(x, "start", "startDate")).alias("start"), text(present(x, "end", "endDate")).alias("end"), truthy(present(x, "isCurrent", "current")).alias("is_current"),
+        texts(present(x, "skills")).alias("skills"),
     )
     school = lambda x: F.struct(
         F.coalesce(text(present(x, "institution", "school", "university")), F.lit("Unknown Institution")).alias("institution"), text(present(x, "degree")).alias("degree"),
