@@ -1,13 +1,11 @@
 """Best-fit packing of tokenized documents into fixed-length sequences.
 
-Bulk-synchronous best-fit over length classes. Pieces of one length are interchangeable, and so
-are sequences with equal gaps, so documents and gaps are tables of classes with counts, sorted
-by size together. A sweep matches a band of lengths with the gaps, each piece with the smallest
-slot that still holds it; pieces that want the same gap are told apart by rank, gaps
-shrink, and the next sweep follows until no gap takes a piece and sequences are opened. Sweeps
-are joins and windows over written tables whose size the capacity bounds; ranking the pieces and
-giving each its place work on all pieces. A class that holds a third of all pieces is ranked in
-``SALTS`` shares whose counts are then added up.
+Bulk-synchronous best-fit over length classes. Pieces of one length are interchangeable, and so are sequences with equal gaps, so
+documents and gaps are classes with counts, sorted by size together. A sweep matches a band of lengths with the gaps, each piece with its
+successor, the smallest slot that still holds it; pieces that want the same gap are told apart by rank, gaps shrink, and the next sweep
+follows until no gap takes a piece and sequences are opened. The classes are bounded by the capacity, not by the input, and their sweeps are one
+short task. What grows with the input is spread over all: tokenizing, ranking the pieces of each length (in ``SALTS`` shares whose
+counts are added up, for a class that holds a third of all pieces) and giving each its place and offset.
 """
 
 from __future__ import annotations
@@ -149,8 +147,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_
 BANDS, LAST_BAND = 4, 32
 #: Rows of the placement table that are broadcast at most.
 BROADCAST_ROWS = 200_000
-RUN, DOCS, PLACED = 0, 1, 2
-STATE = "kind int, value long, first long, n long, rank_from long, rank_to long, slot_from long, each long"
+PLACEMENT = ("length", "rank_from", "rank_to", "first", "slot_from", "each", "sweep")
 
 
 def bands(capacity: int) -> list[tuple[int, int]]:
@@ -164,127 +161,120 @@ def bands(capacity: int) -> list[tuple[int, int]]:
     return list(zip([*cuts[1:], 0], cuts))
 
 
-def swept(state: DataFrame, above: int, longest: int, capacity: int, fresh: tuple[int, int] | None = None) -> DataFrame:
-    """The state after one sweep that matches pieces of lengths in (above, longest] with gaps.
+class Sweeps:
+    """Classes of gaps and pieces, matched sweep by sweep.
 
-    ``state`` holds runs (``n`` sequences from ``first`` on with gaps of ``value``) and piece classes (``n`` unplaced
-    pieces of length ``value``, those of rank ``first`` and above); the result also what was placed. ``fresh`` is
-    (first number, how many) of new sequences to open where no gap is left.
-
-    A gap offers as many slots as pieces of the longest length fit it, one at least. Gaps and pieces are sorted by size
-    together. Pieces in turn, the longest first, take the smallest slot that still holds them: the sweep is a matching
-    of parentheses, so running sums give the depth of every slot and piece, and a piece's slot is the last one before
-    it at its depth. Pieces that want one gap are told apart by their rank. All tables here are classes: their rows
-    are bounded by the capacity and the number of sweeps, not by the pieces, so each is one partition and nothing is shuffled.
+    ``runs`` are (gap, first sequence, how many) of sequences with equal gaps, ``left`` how many pieces of each length have no
+    place yet, ``ranked`` how many have one. The rows of both are bounded by the capacity and the number of sweeps, not by the pieces.
     """
-    state = state.coalesce(1)
-    mine = (F.col("value") > above) & (F.col("n") > 0)
-    runs = state.filter((F.col("kind") == RUN) & mine).select("value", "first", "n", F.col("value").alias("order"))
-    if fresh:
-        opened = state.sparkSession.range(1).select(F.lit(capacity).cast("long").alias("value"), F.lit(fresh[0]).cast("long").alias("first"), F.lit(fresh[1]).cast("long").alias("n"), F.lit(capacity + 1).cast("long").alias("order"))
-        runs = runs.unionByName(opened)
-    each = F.greatest(F.lit(1).cast("long"), F.floor(F.col("value") / longest))
-    runs = runs.select("order", F.lit(RUN).alias("kind"), "value", "first", "n", each.alias("each"), (F.col("n") * each).alias("size"))
-    pieces_ = state.filter((F.col("kind") == DOCS) & mine & (F.col("value") <= longest)).select(F.col("value").alias("order"), F.lit(DOCS).alias("kind"), "value", "first", "n", F.lit(1).cast("long").alias("each"), (-F.col("n")).alias("size"))
-    by_size = Window.orderBy(F.col("order").desc(), "kind", "first")
-    so_far = by_size.rowsBetween(Window.unboundedPreceding, 0)
-    e = runs.unionByName(pieces_).coalesce(1).withColumn("place", F.row_number().over(by_size)).withColumn("sum", F.sum("size").over(so_far))
-    e = e.withColumn("depth", F.col("sum") - F.least(F.lit(0).cast("long"), F.min("sum").over(so_far))).withColumn("before", F.lag("depth", 1, 0).over(by_size))
-    e = e.withColumns({"low": F.least("depth", "before"), "high": F.greatest("depth", "before")}).drop("sum", "order", "size")
-    e = written(e, "packing-depths").coalesce(1)  # read four times
-
-    in_order = Window.orderBy("low")
-    cuts = e.select("low").union(e.select("high")).coalesce(1).distinct().select("low", F.row_number().over(in_order).alias("at"), F.lead("low").over(in_order).alias("next"))
-    from_, to = cuts.select("low", F.col("at").alias("from_at")), cuts.select(F.col("low").alias("high"), F.col("at").alias("to_at"))
-    parts = e.filter("high > low").join(from_.hint("merge"), "low").coalesce(1).join(to.hint("merge"), "high").coalesce(1).withColumn("at", F.explode(F.sequence("from_at", F.col("to_at") - 1)))
-    slot = F.when(F.col("kind") == RUN, F.struct("value", "first", "each", "high"))
-    last = F.last(slot, ignorenulls=True).over(Window.partitionBy("at").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    met = parts.withColumn("run", last).filter(F.col("kind") == DOCS).join(cuts.select("at", F.col("low").alias("base"), "next").hint("merge"), "at")
-    ranks = F.col("first") + F.col("before") - F.col("next")
-    met = met.select(
-        F.col("value").alias("length"), ranks.alias("rank_from"), (ranks + F.col("next") - F.col("base")).alias("rank_to"),
-        F.col("run.value").alias("gap"), F.col("run.first").alias("first"), F.col("run.each").alias("each"), (F.col("run.high") - F.col("next")).alias("a"), (F.col("run.high") - F.col("base")).alias("z"),
-    )
-    met = written(met, "packing-matches").coalesce(1)  # read five times
-
-    up, down = F.ceil(F.col("a") / F.col("each")), F.floor(F.col("z") / F.col("each"))
-    split = lambda at, n: F.struct(at.cast("long").alias("at"), n.cast("long").alias("n"))
-    head = F.when(F.col("a") % F.col("each") > 0, split(up - 1, F.least("z", up * F.col("each")) - F.col("a")))
-    tail = F.when((F.col("z") % F.col("each") > 0) & (down >= up), split(down, F.col("z") - down * F.col("each")))
-    shared = met.select("gap", "first", "length", F.explode(F.array_compact(F.array(head, tail))).alias("x"))
-    shared = shared.groupBy("gap", (F.col("first") + F.col("x.at")).alias("first")).agg(F.sum(F.col("length") * F.col("x.n")).alias("used"))
-    filled = met.filter(down > up).select((F.col("gap") - F.col("each") * F.col("length")).alias("value"), (F.col("first") + up).alias("first"), (down - up).alias("n"))
-    taken = met.groupBy("first").agg(F.max(F.ceil(F.col("z") / F.col("each"))).alias("taken"))
-    kept = state.filter(F.col("kind") == RUN).join(taken.hint("merge"), "first", "left").select("value", (F.col("first") + F.coalesce("taken", F.lit(0))).alias("first"), (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n"))
-    after = filled.unionByName(shared.select((F.col("gap") - F.col("used")).alias("value"), "first", F.lit(1).cast("long").alias("n"))).unionByName(kept)
-    after = after.filter("n > 0 and value > 0").select(F.lit(RUN).alias("kind"), "value", "first", "n")
-    placed = met.select(F.lit(PLACED).alias("kind"), F.col("length").alias("value"), "first", (F.col("rank_to") - F.col("rank_from")).alias("n"), "rank_from", "rank_to", F.col("a").alias("slot_from"), "each")
-    went = met.groupBy(F.col("length").alias("value")).agg(F.sum(F.col("rank_to") - F.col("rank_from")).alias("went"))
-    left = state.filter(F.col("kind") == DOCS).join(went.hint("merge"), "value", "left").select("kind", "value", (F.col("first") + F.coalesce("went", F.lit(0))).alias("first"), (F.col("n") - F.coalesce("went", F.lit(0))).alias("n")).filter("n > 0")
-    return after.unionByName(left).unionByName(placed, allowMissingColumns=True).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in STATE.split(", ")])
+
+    def __init__(self, classes: dict[int, int], capacity: int):
+        self.capacity, self.left, self.ranked = capacity, dict(classes), dict.fromkeys(classes, 0)
+        self.runs: list[tuple[int, int, int]] = []
+        self.opened, self.number = 0, 0
+        self.placed: list[tuple[int, ...]] = []
+
+    def sweep(self, above: int, longest: int, fresh: int = 0) -> int:
+        """Matches pieces of lengths in (above, longest] with gaps, and with ``fresh`` new sequences; how many found a place.
+
+        A gap offers as many slots as pieces of the longest length fit it, one at least. Gaps and pieces are sorted by size together. Pieces in turn, the
+        longest first, take the smallest slot that still holds them: the last open one before them, as in a matching of parentheses. Pieces
+        that want one gap are told apart by their rank. All gaps shrink at the end of the sweep.
+        """
+        runs = [(gap, first, n, max(1, gap // longest)) for gap, first, n in self.runs if gap > above]
+        if fresh:
+            runs.append((self.capacity, self.opened, fresh, max(1, self.capacity // longest)))
+        size = lambda i: self.capacity + 1 if fresh and i == len(runs) - 1 else runs[i][0]
+        order = sorted([(-size(i), 0, runs[i][1], i) for i in range(len(runs))] + [(-length, 1, 0, length) for length, n in self.left.items() if n and above < length <= longest])
+        open_, taken, placed = [], [0] * len(runs), 0
+        used: dict[int, tuple[int, int]] = {}  # sequences of a run that pieces of more than one length share, or that stay open: (gap, what it holds)
+        shrunk = []
+        self.number += 1
+        for _, piece, _, i in order:
+            if not piece:
+                open_.append(i)
+                continue
+            while self.left[i] and open_:
+                gap, first, n, each = runs[open_[-1]]
+                at = taken[open_[-1]]
+                many = min(self.left[i], n * each - at)
+                self.placed.append((i, self.ranked[i], self.ranked[i] + many, first, at, each, self.number))
+                self.ranked[i] += many
+                self.left[i] -= many
+                placed += many
+                # whole sequences are one class again; the first and the last may be shared with other lengths
+                up, down = -(-at // each), (at + many) // each
+                if down > up:
+                    shrunk.append((gap - each * i, first + up, down - up))
+                parts = [(at // each, min(at + many, up * each) - at)] if at % each else []
+                if (at + many) % each and down >= up:
+                    parts.append((down, at + many - down * each))
+                for sequence, pieces_ in parts:
+                    used[first + sequence] = (gap, used.get(first + sequence, (gap, 0))[1] + pieces_ * i)
+                taken[open_[-1]] = at + many
+                if taken[open_[-1]] == n * each:
+                    open_.pop()
+        reached = {first: -(-t // each) for (_, first, _, each), t in zip(runs, taken)}
+        kept = [(gap, first + reached.get(first, 0), n - reached.get(first, 0)) for gap, first, n in self.runs]
+        if fresh:
+            self.opened += reached[self.opened]
+        self.runs = [r for r in [*kept, *shrunk, *((gap - held, at, 1) for at, (gap, held) in used.items())] if r[0] > 0 and r[2] > 0]
+        return placed
+
+    def run(self) -> list[tuple[int, ...]]:
+        """All placements: bands of lengths from the longest down, in each sweeps until no gap takes a piece, then one that opens sequences."""
+        for above, longest in bands(self.capacity):
+            moved = True
+            while own := {length: n for length, n in self.left.items() if n and above < length <= longest}:
+                n, low, high = sum(own.values()), min(own), max(own)
+                fit = self.capacity // high
+                # as many as the pieces left need at least: no more than ``fit`` of them meet if all are longer than a (fit + 1)-th
+                more = -(-n // fit) if low * (fit + 1) > self.capacity else -(-sum(x * k for x, k in own.items()) // self.capacity)
+                opening = not moved or max((gap for gap, _, _ in self.runs), default=0) < low
+                moved = bool(self.sweep(above, high, more if opening else 0))
+        return self.placed
 
 
 def placements(classes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Where the pieces of each class (length, n) go: (length, rank_from, rank_to, first, slot_from, each, sweep).
+    """Where the pieces of each class (length, n) go: (length, rank_from, rank_to, first, slot_from, each, sweep), a written table.
 
-    The piece of rank r goes to sequence ``first + (slot_from + r - rank_from) div each``. Bulk-synchronous best-fit:
-    bands of lengths from the longest down, in each sweeps over written tables until no gap takes a piece, then one
-    that opens sequences. Only totals of a sweep reach the driver, which decides whether another one follows.
+    The piece of rank r goes to sequence ``first + (slot_from + r - rank_from) div each``. Classes are one row per length: at most ``capacity``
+    rows, whatever the input, so all sweeps run in one task, which a lost executor costs a few seconds.
     """
-    state = classes.select(F.lit(DOCS).alias("kind"), F.col("length").alias("value"), F.lit(0).cast("long").alias("first"), "n")
-    state = written(state.coalesce(1).select(*[(F.col(c.split()[0]) if c.split()[0] in state.columns else F.lit(None)).cast(c.split()[1]).alias(c.split()[0]) for c in STATE.split(", ")]), "packing-state")
-    worst = state.coalesce(1).agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
-    if worst["low"] is not None and not 0 < worst["low"] <= worst["high"] <= capacity:
-        raise ValueError(f"pieces of lengths {worst['low']} to {worst['high']} do not fit {capacity}")
-    out, opened, number = [], 0, 0
-    for above, longest in bands(capacity):
-        moved = True
-        while True:
-            own = (F.col("kind") == DOCS) & (F.col("value") > above) & (F.col("value") <= longest)
-            gap = (F.col("kind") == RUN) & (F.col("value") > above)
-            now = state.coalesce(1).agg(F.sum(F.when(own, F.col("n"))).alias("n"), F.sum(F.when(own, F.col("n") * F.col("value"))).alias("tokens"), F.min(F.when(own, F.col("value"))).alias("low"), F.max(F.when(own, F.col("value"))).alias("high"), F.max(F.when(gap, F.col("value"))).alias("gap")).first()
-            if not now["n"]:
-                break
-            opening = not moved or (now["gap"] or 0) < now["low"]
-            fit = capacity // now["high"]
-            # as many as the pieces left need at least: no more than ``fit`` of them meet if all are longer than a (fit + 1)-th
-            more = -(-now["n"] // fit) if now["low"] * (fit + 1) > capacity else -(-now["tokens"] // capacity)
-            state = written(swept(state, above, now["high"], capacity, (opened, more) if opening else None).coalesce(1), "packing-state")
-            number += 1
-            own_placed = state.filter(F.col("kind") == PLACED)
-            out.append(own_placed.select(F.col("value").alias("length"), "rank_from", "rank_to", "first", "slot_from", "each", F.lit(number).alias("sweep")))
-            done = own_placed.coalesce(1).agg(F.sum("n").alias("n"), F.max(F.when(F.col("first") == opened, F.ceil((F.col("slot_from") + F.col("n")) / F.col("each")))).alias("opened")).first()
-            moved = bool(done["n"])
-            opened += (done["opened"] or 0) if opening else 0
-    if not out:
-        return state.select(F.col("value").alias("length"), "rank_from", "rank_to", "first", "slot_from", "each", F.lit(0).alias("sweep"))
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    return written(every.coalesce(1), "placements")
+
+    def run(batches):
+        given = [(x, n) for b in batches for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        if wrong := [x for x, _ in given if not 0 < x <= capacity]:
+            raise ValueError(f"pieces of lengths {min(wrong)} to {max(wrong)} do not fit {capacity}")
+        rows = Sweeps(dict(given), capacity).run()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(PLACEMENT))], names=list(PLACEMENT))
+
+    return written(classes.select("length", "n").coalesce(1).mapInArrow(run, ", ".join(f"{c} long" for c in PLACEMENT)), "placements")
 
 
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to ``items`` (doc_id, piece, length and any other columns).
 
-    ``items`` is read three times and should be a written table. Ties among pieces of one length
-    are broken by id and piece, and repeated rows get places of their own. No rows, no sequences. Helper columns are
-    named with a leading underscore, so columns called salt, rank or first pass through.
+    ``items`` is a written table that is read three times; if it has a column ``_row`` that numbers its rows, that column ends here, else a numbered copy is
+    written. Ties among pieces of one length are broken by that number, and repeated rows get places of their own. No rows, no sequences. Helper
+    columns are named with a leading underscore, so columns called salt, rank or first pass through. Lengths that a third of all pieces have are ranked in ``SALTS`` shares.
     """
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    if "_row" not in items.columns:
+        items = written(items.withColumn("_row", F.monotonically_increasing_id()), "numbered-pieces")
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
     shares = written(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")), "length-shares")
     table = placements(shares.groupBy("length").agg(F.sum("n").alias("n")), capacity)
     table = table.select("length", *[F.col(c).alias(f"_{c}") for c in table.columns if c != "length"])
     before = shares.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32" if "ids_crc32" in items.columns else "piece")) - 1
-    ranked = salted.withColumn("_within", within).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_within"))
+    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1
+    ranked = salted.withColumn("_within", within).join(broadcast_if(before, capacity * SALTS <= 1 << 20), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_within"))
     placed = ranked.join(broadcast_if(table, table.count() <= BROADCAST_ROWS), "length").filter("_rank >= _rank_from and _rank < _rank_to")
     slot = F.col("_slot_from") + F.col("_rank") - F.col("_rank_from")
     placed = placed.withColumn("sequence_id", (F.col("_first") + F.floor(slot / F.col("_each"))).cast("long")).withColumn("_slot", slot)
     filled = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("_sweep", "_slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    return placed.select(*[F.col(c) for c in items.columns], "sequence_id", filled.cast("long").alias("offset"))
+    return placed.select(*[F.col(c) for c in items.columns if c != "_row"], "sequence_id", filled.cast("long").alias("offset"))
 
 
 def packed_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize, cut and pack ``docs``: one row per piece with its sequence and offset."""
-    return best_fit(written(pieces(docs, tokenizer_file, capacity), "pieces"), capacity)
+    return best_fit(written(pieces(docs, tokenizer_file, capacity).withColumn("_row", F.monotonically_increasing_id()), "pieces"), capacity)
