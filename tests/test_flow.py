@@ -155,3 +155,26 @@ def test_extraction_reads_each_object(spark, tmp_path):
     put(tmp_path, export__json={"candidates": [{"fullName": "A"}, 3, {"fullName": "B"}]})
     found, rejects = extract.extracted(files.read(spark, str(tmp_path)))
     assert sorted((r["row_no"], r["full_name"]) for r in found.collect()) == [(0, "A"), (2, "B")] and rejects.count() == 0
+
+
+def test_scores_and_lineage_reach_the_profiles(spark, tmp_path):
+    put(tmp_path, a__csv="name,email,city\nJane Doe,JANE@x.example,bangalore\n", b__json=[{"fullName": "jane doe", "email": "jane@x.example", "skills": ["js"]}])
+    out = engine.transform(spark, str(tmp_path), {"fields": ["full_name", "emails", "skill_details", "overall_confidence"], "includeProvenance": True, "includeConfidence": True, "includeSourceRecords": True})
+    r = out.canonical.first()
+    scores = {s["field"]: s for s in r["confidence"]}
+    assert len(scores) == 15 and scores["fullName"]["value"] == pytest.approx(0.95 * 1.0 * 0.18) and scores["fullName"]["low"]
+    assert scores["location"]["value"] == pytest.approx(round(0.8 * 1.0 * 0.28, 4)) and scores["links" if "links" in scores else "socialLinks"]["value"] == 0
+    assert scores["contactInfo"]["value"] == pytest.approx(0.95 * 1.0 * 0.4) and scores["skills"]["value"] == pytest.approx(0.1188)
+    weights = {"fullName": 1.0, "location": 0.7, "contactInfo": 1.0, "skills": 0.85}
+    assert scores["overall"]["value"] == pytest.approx(sum(scores[f]["value"] * w for f, w in weights.items()) / 9.3, abs=1e-4)
+    assert {s["field"] for s in r["entry_scores"]} == {"contactInfo.0", "skills.0"} and r["metadata"]["total_sources"] == 2
+    told = {(h["field"], h["normalizer"]): h for h in out.lineage.filter("normalizer is not null").collect()}
+    assert set(told) == {("contactInfo", "EmailNormalizer"), ("location", "LocationNormalizer")}
+    mail = told["contactInfo", "EmailNormalizer"]
+    assert (mail["original"], mail["normalized"], mail["extracted"]) == ("JANE@x.example", "jane@x.example", "jane@x.example")
+    p = out.profiles.first()
+    assert p["overall_confidence"] == scores["overall"]["value"] and p["skill_details"][0]["confidence"] == [pytest.approx(0.8 * 0.15)]
+    assert [x["field"] for x in p["provenance"]["full_name"]] == ["fullName"] * 3 and {x["field"] for x in p["provenance"]["emails"]} == {"contactInfo"}
+    assert p["confidence"]["full_name"][0]["value"] == scores["fullName"]["value"]
+    assert {s["name"] for s in p["source_records"]} == {"a", "b"}
+    assert {h["field"] for h in out.lineage.collect()} >= {"fullName", "contactInfo", "experiences"}

@@ -6,9 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .config import MERGE_STRATEGIES
 from .errors import IdentityError
-from .operators import canonical, identity, merge, records
+from .operators import canonical, confidence, identity, lineage, merge, operations, records
 from .operators.order import numbered
 from .operators.tables import written
 from .plans import contract
@@ -19,9 +18,10 @@ from .sources import extract, files
 @dataclass
 class Transformed:
     profiles: DataFrame  # projected
-    canonical: DataFrame
+    canonical: DataFrame  # with decisions and scores
     rejects: DataFrame
     warnings: DataFrame
+    lineage: DataFrame
 
 
 def resolved(found: DataFrame) -> DataFrame:
@@ -32,26 +32,31 @@ def resolved(found: DataFrame) -> DataFrame:
     """
     if found.filter("path is null").first():
         raise IdentityError("a record has no source")
-    n = records.normalized(found)
+    n = records.normalized(found.withColumn("operations", operations.of_record()))
     label = merge.source_label(F.concat_ws(" ", "source_type", F.substring_index("path", "/", -1), "extractor"), F.col("source_type"))
     name = records.display_name(F.col("full_name"), F.col("first_name"), F.lit(None).cast("string"), F.col("last_name"))
     place = records.location_fingerprint(F.col("location"))
     fallback = identity.fallback_key(name, records.primary_employer(F.col("experiences")), place)
-    n = n.withColumns({"rank": merge.priority_rank(label), "source_id": F.sha2(F.col("path"), 256), "display_name": name, "fingerprint": place})
+    n = n.withColumns({"rank": merge.priority_rank(label), "source_id": F.sha2(F.col("path"), 256), "source_name": F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", ""), "display_name": name, "fingerprint": place})
     n = n.withColumn("keys", identity.identity_keys(F.col("contacts"), F.col("links"), fallback))
     r = written(identity.resolve(numbered(n, ["path", "row_no"])), "resolved-records")
     ids = identity.group_ids(r, name="display_name", location="fingerprint", source="source_id").select("group_ix", "group_id")
     return r.join(ids, "group_ix").drop("display_name", "fingerprint")
 
 
-def profiles(merged: DataFrame) -> DataFrame:
-    """Canonical records with the columns that projections read."""
+def profiles(scored: DataFrame, history: DataFrame) -> DataFrame:
+    """Scored canonical records with the columns that projections read. ``history``: their lineage (:func:`weftline.operators.lineage.of_records`)."""
     none = F.lit(None).cast("string")
-    strategy = F.create_map(*[F.lit(x) for p in MERGE_STRATEGIES.items() for x in p])
-    entry = lambda p: F.struct(p["field"].alias("field"), p["source"].alias("source_record_id"), none.alias("source_name"), none.alias("normalizer"), F.try_element_at(strategy, p["field"]).alias("strategy"), none.alias("extractor"))
-    kept = merged.withColumn("provenance", F.transform("provenance", entry)).withColumn("source_records", F.transform("sources", lambda s: F.struct(s.alias("id"), s.alias("name"))))
-    detail = lambda s: F.struct(s.alias("name"), F.array().cast("array<double>").alias("confidence"), F.filter("provenance", lambda p: F.lit(False)).alias("provenance"))
-    return kept.withColumn("skill_details", F.transform("skills", detail)).withColumn("confidence", F.array().cast("array<struct<field:string,value:double>>"))
+    entry = F.struct("field", "source_record_id", none.alias("source_name"), "normalizer", "strategy", none.alias("extractor"), "id", "extracted", "original", "normalized", "selected")
+    # decisions, then fields, then sources, each by their names
+    place = F.struct(F.col("original").isNotNull().cast("int").alias("a"), F.startswith("field", F.lit("sourceRecords.")).cast("int").alias("b"), "field", "source_record_id", "normalizer", "id")
+    told = history.groupBy(F.col("group_ix").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), entry.alias("x")))), lambda p: p["x"]).alias("provenance"))
+    out = scored.drop("provenance").join(told, "id", "left")
+    about = lambda field: F.filter("entry_scores", lambda s: s["field"] == field)
+    detail = lambda s, i: F.struct(
+        s.alias("name"), F.transform(about(F.concat(F.lit("skills."), i.cast("string"))), lambda x: x["value"]).alias("confidence"), F.filter("provenance", lambda p: p["field"] == F.concat(F.lit("skills."), F.lower(s))).alias("provenance"),
+    )
+    return out.withColumn("skill_details", F.transform("skills", detail))
 
 
 def transform(spark: SparkSession, folder: str, config: Config | dict | None = None, received_at: str = "1970-01-01T00:00:00Z", strict: bool = False) -> Transformed:
@@ -64,4 +69,7 @@ def transform(spark: SparkSession, folder: str, config: Config | dict | None = N
     found, rejects = extract.extracted(files.read(spark, folder), strict)
     rows = resolved(found).withColumn("received_at", F.lit(received_at))
     merged = written(canonical.canonical(rows, ids=rows.select("group_ix", "group_id").distinct()), "canonical-records")
-    return Transformed(project(profiles(merged), plan), merged, rejects, contract.chronology(merged, "id"))
+    known = written(confidence.scored(merged, rows), "scored-records")
+    fields = {c: f for c, f in confidence.FIELDS.items() if c in rows.columns and c in merged.columns}
+    history = written(lineage.of_records(merged, rows, fields), "lineage")
+    return Transformed(project(profiles(known, history), plan), known, rejects, contract.chronology(merged, "id"), history)

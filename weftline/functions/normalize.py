@@ -124,6 +124,13 @@ BY_FIELD = {
 }
 
 
+#: What a normalization is logged as.
+NAMES = {
+    phone_e164: "PhoneNormalizer", email: "EmailNormalizer", date_ym: "DateNormalizer", skill: "SkillNormalizer", city: "LocationNormalizer", country: "LocationNormalizer",
+    company: "CompanyNormalizer", url: "UrlNormalizer", degree: "EducationNormalizer",
+}
+
+
 def field(name: str, c: Column) -> Column:
     """The value of a named field, normalized where that can be done, else as it is."""
     if name not in BY_FIELD:

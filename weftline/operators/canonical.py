@@ -34,23 +34,25 @@ def remapped(entries: Column, ids: Column, owner: Column) -> Column:
     return F.flatten(F.transform(F.array(renamed), lambda a: F.filter(a, lambda p, i: F.array_position(F.transform(a, lambda q: q["id"]), p["id"]) == i + 1)))
 
 
-def united(rows: DataFrame, group: str, entries: str, key, flags: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> DataFrame:
+def united(rows: DataFrame, group: str, entries: str, key, flags: tuple[str, ...] = (), lists: tuple[str, ...] = (), source: str | None = None) -> DataFrame:
     """(group, entries): the groups' entries of each key once, by first sight; the first in order stands for its key, flags are
-    or-ed over all and ``lists`` joined, distinct.
+    or-ed over all and ``lists`` joined, distinct. With ``source``, a column, also the distinct sources of all entries, that of the first entry first.
 
     Groups are met by key, so an entry that very many records share is one row per group and key. A group's own list
     is bounded by its distinct keys.
     """
-    flat = rows.select(group, "rank", "candidate_ix", F.posexplode(entries).alias("pos", "x"))
+    of = F.col(source) if source else F.lit(None).cast("string")
+    flat = rows.select(group, "rank", "candidate_ix", of.alias("source"), F.posexplode(entries).alias("pos", "x"))
     flat = flat.withColumn("key", key(F.col("x"))).withColumn("ord", F.struct("rank", "candidate_ix", "pos"))
     joined = [F.array_distinct(F.flatten(F.collect_list(F.struct("ord", F.col(f"x.{n}").alias("l"))).getField("l"))).alias(n) for n in lists]
-    once = flat.groupBy(group, "key").agg(F.min("ord").alias("ord"), F.min_by("x", "ord").alias("x"), *[F.bool_or(f"x.{f}").alias(f) for f in flags], *joined)
-    x = F.col("x")
+    once = flat.groupBy(group, "key").agg(F.min("ord").alias("ord"), F.min_by(F.struct("x", "source"), "ord").alias("first"), F.collect_set("source").alias("of"), *[F.bool_or(f"x.{f}").alias(f) for f in flags], *joined)
+    x = F.col("first.x")
     for f in (*flags, *lists):
         x = x.withField(f, F.col(f))
-    once = once.select(group, "ord", x.alias("x"))
-    g = once.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("ord", "x")), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)).alias("all"))
-    return g.select(group, F.transform("all", lambda e: e["x"]).alias(entries))
+    once = once.select(group, "ord", x.alias("x"), F.col("first.source").alias("source"), "of")
+    g = once.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "source", "of")), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)).alias("all"))
+    sources = F.array_distinct(F.concat(F.array(F.get("all", F.lit(0))["source"]), F.array_sort(F.flatten(F.transform("all", lambda e: e["of"])))))
+    return g.select(group, F.transform("all", lambda e: e["x"]).alias(entries), *([sources.alias(f"{entries}_sources")] if source else []))
 
 
 def canonical(rows: DataFrame, group: str = "group_ix", ids: DataFrame | None = None) -> DataFrame:
@@ -82,8 +84,12 @@ def canonical(rows: DataFrame, group: str = "group_ix", ids: DataFrame | None =
         "tags": (lambda s: s, ()),
     }
     lists = {c: how for c, how in lists.items() if c in rows.columns}
+    shown = {"contacts": ("contactInfo", lambda c: c["value"]), "links": ("socialLinks", lambda x: x["url"]), "skills": ("skills", lambda s: s), "tags": ("tags", lambda s: s)}
     for column, (key, flags) in lists.items():
-        out = out.join(united(rows, group, column, key, flags), group, "left").withColumn(column, F.coalesce(column, F.array().cast(rows.schema[column].dataType)))
+        out = out.join(united(rows, group, column, key, flags, source="source_id"), group, "left").withColumn(column, F.coalesce(column, F.array().cast(rows.schema[column].dataType)))
+        field, value = shown[column]
+        of = F.col(f"{column}_sources")
+        decisions.append(F.when(of.isNotNull(), decision(F.col("id"), field, F.array(F.get(of, F.lit(0))), of, F.array_join(F.transform(column, value), ", "), F.array().cast("array<string>"), F.col("updated_at"))))
     named = lambda a, b: lambda x: F.concat_ws("|", F.lower(x[a]), F.coalesce(F.lower(x[b]), F.lit("")))
     jobs = buckets.united(rows, group, "experiences", named("employer", "title"), buckets.dated(), lists=("skills",) if "skills" in rows.schema["experiences"].dataType.elementType.names else ())
     schools = buckets.united(rows, group, "education", named("institution", "degree"), buckets.same_year(), start=None, current=None)

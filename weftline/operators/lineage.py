@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import SOURCE_WEIGHTS
+from ..config import MERGE_STRATEGIES, SOURCE_WEIGHTS
 from ..functions.ids import det_id
+from .generic import serialized
+from .records import contact_value
 
 COLUMNS = ("group_ix", "id", "field", "source_record_id", "source_priority", "normalizer", "extracted", "original", "normalized", "selected", "strategy")
 
@@ -55,3 +57,30 @@ def attached(entities: DataFrame, histories: DataFrame, path: str = "path") -> D
     about = histories.groupBy("group_ix", F.col("field").alias(path)).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("provenance"))
     kind = about.schema["provenance"].dataType
     return entities.join(about, ["group_ix", path], "left").withColumn("provenance", F.coalesce("provenance", F.array().cast(kind)))
+
+
+def of_records(merged: DataFrame, rows: DataFrame, fields: dict[str, str], group: str = "group_ix") -> DataFrame:
+    """The whole lineage of canonical records, one long table with ``COLUMNS`` (group_ix is the record's id): the decisions behind them, the
+    history of each field in each record they were merged from, and their sources.
+
+    ``rows``: group, candidate_ix, source_id, source_type, ``operations`` and the columns of ``fields`` (column: field). An operation on an e-mail or phone speaks of the
+    first contact of its kind.
+    """
+    text = lambda df, c: F.col(c) if df.schema[c].dataType.typeName() == "string" else F.when(F.col(c).isNotNull(), serialized(F.col(c), df.schema[c].dataType))
+    own = merged.select(F.col(group).alias("_g"), F.col("id").alias("group_ix"))
+    r = rows.withColumnRenamed(group, "_g").join(own, "_g")
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), text(r, c).alias("value")) for c, f in fields.items()])
+    values = r.select("group_ix", "candidate_ix", F.col("source_id").alias("source_record_id"), "source_type", F.inline(entries))
+    made = r.select("candidate_ix", F.inline("operations")).withColumnRenamed("field", "op_field")
+    selected = merged.select(F.col("id").alias("group_ix"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), text(merged, c).alias("selected"), F.lit(MERGE_STRATEGIES[f]).alias("strategy")) for c, f in fields.items()])))
+    history = field_history(values, made, selected)
+    if "contacts" in fields:  # what an operation on a contact was extracted from is that contact, not the list
+        first = r.select("group_ix", F.col("source_id").alias("source_record_id"), "candidate_ix", contact_value(F.lit("contactInfo.email"), F.col("contacts"), F.lit(None)).alias("_email"), contact_value(F.lit("contactInfo.phone"), F.col("contacts"), F.lit(None)).alias("_phone"))
+        first = first.groupBy("group_ix", "source_record_id").agg(F.min_by("_email", "candidate_ix").alias("_email"), F.min_by("_phone", "candidate_ix").alias("_phone"))
+        spoken = F.when(F.col("normalizer") == "EmailNormalizer", F.col("_email")).when(F.col("normalizer") == "PhoneNormalizer", F.col("_phone"))
+        history = history.join(first, ["group_ix", "source_record_id"], "left").withColumn("extracted", F.coalesce(F.when(F.col("field") == "contactInfo", spoken), F.col("extracted"))).select(*COLUMNS)
+    decided = merged.select(F.col("id").alias("_owner"), F.inline("provenance"))
+    none = F.lit(None).cast("string")
+    decided = decided.select(F.col("_owner").alias("group_ix"), "id", "field", F.col("source").alias("source_record_id"), F.lit(None).cast("int").alias("source_priority"), none.alias("normalizer"), F.col("value").alias("extracted"), none.alias("original"), none.alias("normalized"), F.col("value").alias("selected"), "strategy")
+    sources = r.select("group_ix", F.col("source_id").alias("source_record_id"), "source_type").distinct()
+    return provenance(decided, history, source_history(sources))

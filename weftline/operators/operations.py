@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
+from ..functions import normalize
+
 OPERATION = "array<struct<field:string,normalizer:string,original:string,normalized:string>>"
 
 
@@ -34,6 +36,25 @@ def logged(rows: DataFrame, applied: list[tuple[str, str, str, Callable[[Column]
     return rows.withColumn(log, F.concat(*parts)).withColumns(changed)
 
 
+def of_record() -> Column:
+    """The operations that normalizing a whole record (:func:`weftline.operators.records.normalized`) takes, from its columns before: places, contacts, links, skills, jobs,
+    schools, in this order. A value that is normal already, or cannot be normalized, leaves none."""
+
+    def one(field: str, x: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), F.lit(normalize.NAMES[normalize.BY_FIELD[field]]).alias("normalizer"), x.alias("original"), normalize.field(field, x).alias("normalized"))
+
+    def each(entries: str, parts: dict[str, str]) -> Column:
+        return F.flatten(F.transform(entries, lambda x: F.array(*[one(field, x[name]) for field, name in parts.items()])))
+
+    place = F.array(*[one(f"location.{n}", F.col("location")[n]) for n in ("city", "region", "country", "formatted")])
+    contacts = F.transform("contacts", lambda c: F.when(c["kind"] == "email", one("contactInfo.email", c["value"])).when(c["kind"] == "phone", one("contactInfo.phone", c["value"])))
+    skills = F.transform("skills", lambda s: one("skill.name", s))
+    jobs = each("experiences", {"experience.employer": "employer", "experience.startDate": "start", "experience.endDate": "end"})
+    schools = each("education", {"education.institution": "institution", "education.degree": "degree", "education.endDate": "end"})
+    every = [F.coalesce(p.cast(OPERATION), F.array().cast(OPERATION)) for p in (place, contacts, each("links", {"socialLink.url": "url"}), skills, jobs, schools)]
+    return F.filter(F.concat(*every), lambda x: x["normalized"] != x["original"])
+
+
 def as_rows(rows: DataFrame, ids: list[str], log: str = "operations") -> DataFrame:
     """(ids, ord, field, normalizer, original, normalized): the log in long form."""
     return rows.select(*ids, F.posexplode(log).alias("ord", "_o")).select(*ids, "ord", "_o.*")

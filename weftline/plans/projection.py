@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -107,9 +108,18 @@ def _overall() -> Column:
     return F.coalesce(own, F.when(F.size("confidence") > 0, F.floor(total / F.size("confidence") * 10000 + 0.5) / 10000), F.lit(0.0))
 
 
+#: Columns whose scores and histories go by another name; derived columns share those of what they are derived from.
+KNOWN_AS = {
+    "first_name": "firstName", "middle_name": "middleName", "last_name": "lastName", "full_name": "fullName", "contacts": "contactInfo", "emails": "contactInfo", "phones": "contactInfo", "links": "socialLinks",
+    "additional_data": "additionalData", "skill_details": "skills", "ats_skills": "skills", "ats_experience": "experiences", "ats_education": "education", "overall_confidence": "overall",
+}
+
+
 def _under(entries: str, source: str) -> Column:
     """The entries about a source path or a part of it."""
-    return F.filter(entries, lambda s: (s["field"] == source) | F.startswith(s["field"], F.lit(f"{source}.")))
+    head, *rest = re.split(r"(?=[.\[])", source, maxsplit=1)
+    names = dict.fromkeys([source, "".join([KNOWN_AS.get(head, head), *rest])])
+    return F.filter(entries, lambda s: reduce(lambda a, b: a | b, [(s["field"] == n) | F.startswith(s["field"], F.lit(f"{n}.")) for n in names]))
 
 
 def _completion() -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .functions import normalize, patterns
-from .operators import canonical, generic, identity, lineage, merge, operations, planning, records, resume, score
+from .operators import canonical, confidence, generic, identity, lineage, merge, operations, planning, records, resume, score
+from .operators.tables import written
 from .plans import contract
 from .plans.projection import Config, as_json, best_degree, project
 from .sources import extract, files, structured
@@ -572,7 +573,7 @@ s AS (SELECT group_ix, string_agg(s, '|' ORDER BY o) AS skills FROM (SELECT grou
 j AS (SELECT group_ix, string_agg(concat_ws('|', b.employer_, 'Engineer', coalesce(b.d, ''), b.lo, coalesce(CASE WHEN NOT b.any_cur THEN b.hi END, ''), b.any_cur, array_to_string(b.sk, ','), b.n), ';' ORDER BY b.o) AS experiences
   FROM (SELECT group_ix, struct_insert(b, employer_ := employer) AS b FROM job_buckets) GROUP BY 1)
 SELECT group_ix, w.value AS full_name, headline, city, sources, contacts, skills, experiences, CASE WHEN schooled = 1 THEN 'College|BS|1999-01|' || n_schools ELSE '' END AS education, created_at, updated_at, 's' || w.ix AS name_winner, n_discarded,
-  3 + (headline IS NOT NULL)::BIGINT + schooled AS n_decisions FROM f LEFT JOIN h USING (group_ix) JOIN c USING (group_ix) JOIN s USING (group_ix) JOIN j USING (group_ix)"""
+  5 + (headline IS NOT NULL)::BIGINT + schooled AS n_decisions FROM f LEFT JOIN h USING (group_ix) JOIN c USING (group_ix) JOIN s USING (group_ix) JOIN j USING (group_ix)"""
 # the bucket fold's own tables come after the feed's
 _CANONICAL = _CANONICAL.replace(", h AS (SELECT", ", " + _JOBS_OF_GROUPS.removeprefix("WITH RECURSIVE ").replace("items AS", "job_items AS").replace("FROM items", "FROM job_items").replace("\ng AS", "\njob_lists AS").replace("FROM g\n", "FROM job_lists\n").replace("\nf AS", "\njob_folds AS").replace("FROM f WHERE", "FROM job_folds WHERE").replace("\nb AS", "\njob_buckets AS") + ", h AS (SELECT", 1)
 
@@ -674,14 +675,56 @@ def chronology_rows(spark, sf_dir):
     return contract.chronology(o, "o_orderkey")
 
 
-@_query(_CANONICAL.replace("SELECT group_ix, w.value AS full_name, headline, city, n_sources", "SELECT group_ix, w.value AS full_name, headline, city, n_sources").rsplit("SELECT group_ix, w.value", 1)[0] + """, e AS (SELECT group_ix, string_agg(DISTINCT email, '|' ORDER BY email) AS emails FROM ranked GROUP BY 1)
-SELECT w.value AS full_name, emails, headline, city, 13::BIGINT AS n_columns, 0.0::DOUBLE AS overall_confidence FROM f JOIN e USING (group_ix) LEFT JOIN h USING (group_ix)""")
+_W = "(CASE {} WHEN 1 THEN 0.95::DOUBLE ELSE 0.7::DOUBLE END)"
+_R4 = "(floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {})) * 10000 + 0.5) / 10000)"
+_SHARE = "(CASE WHEN {n} <= 1 THEN 1.0::DOUBLE ELSE {e}::DOUBLE / {n} END)"
+_TOLD = "(length({0}) + 5 * len(string_split({0}, ' ')))"
+
+
+def _score_sql(rank: str, share: str, told: str) -> str:
+    return _R4.format(f"{_W.format(rank)} * {share} * least(1.0::DOUBLE, {told}::DOUBLE / 100)")
+
+
+_SCORES = _CANONICAL.rsplit("SELECT group_ix, w.value AS full_name", 1)[0] + f""", top AS (SELECT group_ix, {_FOLD} AS w, {_FOLD.replace("full_name", "city")} AS p, count(*) AS n, min(rank) AS rank, min(rank) FILTER (k % 4 = 0) AS school_rank FROM ranked GROUP BY group_ix),
+ent AS (SELECT group_ix, count(*) AS n_jobs, arg_min(b.rank, b.o) AS job_rank, arg_min(struct_insert(b, employer_ := employer), b.o) AS b,
+  sum(10 + {_TOLD.format("employer")} + 13 + CASE WHEN b.d IS NULL THEN 0 ELSE {_TOLD.format("b.d")} END + 12 + CASE WHEN b.any_cur THEN 0 ELSE 12 END + 1 + list_sum(list_transform(b.sk, lambda t: 10 + length(t) + 5)) + CASE WHEN len(b.sk) > 0 THEN 0 ELSE 0 END) AS told FROM job_buckets GROUP BY 1),
+eq AS (SELECT r.group_ix, count_if(lower(r.full_name) = lower(t.w.value)) AS e_name, count(r.headline) AS n_head, count_if(lower(r.headline) = lower(h.headline)) AS e_head, count_if(r.city = t.p.value) AS e_city,
+  count_if('email:' || r.email || coalesce('|phone:' || CASE WHEN r.raw_phone IS NOT NULL THEN r.phone_any END, '') = c.contacts) AS e_contacts, count_if('Go|S' || r.k % 3 = s.skills) AS e_skills, count_if(r.k % 4 = 0) AS e_school,
+  count_if(ent.n_jobs = 1 AND ent.b.employer_ = 'Acme ' || r.k % 3 AND ent.b.d IS NOT DISTINCT FROM CASE WHEN r.k % 4 = 0 THEN 'built ' || r.name END AND ent.b.lo = (2000 + r.k % 5) || '-01' AND NOT ent.b.any_cur AND ent.b.hi = (2001 + r.k % 7) || '-06' AND ent.b.sk = ['Go', 'g' || r.k % 2]) AS e_jobs
+  FROM ranked r JOIN top t USING (group_ix) LEFT JOIN h USING (group_ix) JOIN c USING (group_ix) JOIN s USING (group_ix) JOIN ent USING (group_ix) GROUP BY 1),
+sc AS (SELECT group_ix, {_score_sql("t.w.rank", _SHARE.format(n="t.n", e="e_name"), _TOLD.format("t.w.value"))} AS name_score,
+  CASE WHEN h.headline IS NULL THEN 0.0::DOUBLE ELSE {_score_sql("1", _SHARE.format(n="n_head", e="e_head"), _TOLD.format("h.headline"))} END AS headline_score,
+  {_score_sql("t.p.rank", _SHARE.format(n="t.n", e="e_city"), _TOLD.format("t.p.value"))} AS place_score,
+  {_score_sql("t.rank", _SHARE.format(n="t.n", e="e_contacts"), "list_sum(list_transform(string_split(c.contacts, '|'), lambda x: 10 + 10 + length(split_part(x, ':', 2)) + 5 + 1))")} AS contact_score,
+  {_score_sql("t.rank", _SHARE.format(n="t.n", e="e_skills"), "list_sum(list_transform(string_split(s.skills, '|'), lambda x: 10 + length(x) + 5))")} AS skill_score,
+  {_score_sql("ent.job_rank", _SHARE.format(n="t.n", e="e_jobs"), "ent.told")} AS job_score,
+  CASE WHEN t.school_rank IS NULL THEN 0.0::DOUBLE ELSE {_score_sql("t.school_rank", _SHARE.format(n="t.n", e="e_school"), "41")} END AS school_score
+  FROM top t JOIN eq USING (group_ix) LEFT JOIN h USING (group_ix) JOIN c USING (group_ix) JOIN s USING (group_ix) JOIN ent USING (group_ix)),
+ov AS (SELECT *, {_R4.format("(name_score * 1.0::DOUBLE + headline_score * 0.5::DOUBLE + place_score * 0.7::DOUBLE + contact_score * 1.0::DOUBLE + job_score * 0.9::DOUBLE + school_score * 0.75::DOUBLE + skill_score * 0.85::DOUBLE) / 9.3::DOUBLE")} AS overall FROM sc)"""
+
+
+@_query(_SCORES + " SELECT * FROM ov")
+def profile_confidence(spark, sf_dir):
+    """The scores of canonical records' fields, and their own."""
+    rows = records_to_merge(spark, sf_dir)
+    c = confidence.scored(canonical.canonical(rows), rows)
+    of = lambda field: F.get(F.filter("confidence", lambda s: s["field"] == field), F.lit(0))["value"]
+    shown = {"name_score": "fullName", "headline_score": "headline", "place_score": "location", "contact_score": "contactInfo", "skill_score": "skills", "job_score": "experiences", "school_score": "education", "overall": "overall"}
+    return c.select("group_ix", *[of(f).alias(n) for n, f in shown.items()])
+
+
+@_query(_SCORES + """, hist AS (SELECT group_ix, count(*) AS n_sources FROM ranked GROUP BY 1), e AS (SELECT group_ix, string_agg(DISTINCT email, '|' ORDER BY email) AS emails FROM ranked GROUP BY 1)
+SELECT w.value AS full_name, emails, headline, city, 13::BIGINT AS n_columns, overall AS overall_confidence, (5 + (headline IS NOT NULL)::BIGINT + schooled + 12 * n_sources)::BIGINT AS n_provenance
+FROM f JOIN e USING (group_ix) JOIN ov USING (group_ix) JOIN hist USING (group_ix) LEFT JOIN h USING (group_ix)""")
 def project_default(spark, sf_dir):
-    """All groups under the projection that names no fields: 13 fields, missing ones null."""
+    """All groups under the projection that names no fields: 13 fields, missing ones null, with scores and lineage (each source has a history for its 11 fields and itself)."""
     from .engine import profiles
 
-    p = project(profiles(canonical.canonical(records_to_merge(spark, sf_dir))), Config())
-    return p.select("full_name", F.array_join(F.array_sort("emails"), "|").alias("emails"), "headline", "location.city", F.lit(len(p.columns)).cast("long").alias("n_columns"), "overall_confidence")
+    rows = records_to_merge(spark, sf_dir).withColumn("operations", F.filter(operations.of_record(), lambda o: F.lit(False)))
+    merged = written(canonical.canonical(rows), "canonical-records")
+    fields = {c: f for c, f in confidence.FIELDS.items() if c in rows.columns and c in merged.columns}
+    p = project(profiles(confidence.scored(merged, rows), lineage.of_records(merged, rows, fields)), Config())
+    return p.select("full_name", F.array_join(F.array_sort("emails"), "|").alias("emails"), "headline", "location.city", F.lit(len(p.columns)).cast("long").alias("n_columns"), "overall_confidence", F.size("provenance").cast("long").alias("n_provenance"))
 
 
 @_query(r"""SELECT '{"key":' || c_custkey || coalesce(',"segment":"' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END || '"', '') || '}' AS omitted, '{"key":' || c_custkey || ',"segment":' || coalesce('"' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END || '"', 'null') || '}' AS shown FROM customer""")
