@@ -48,3 +48,14 @@ def test_resume_fields(spark):
     ]
     assert jobs[4] == [("Acme", "Engineer", None, None, None, False, "made it"), ("Beta", "Lead", None, None, None, False, None)]
     assert set(jobs) == {1, 4}
+
+
+def test_job_headers_in_all_forms(spark):
+    lines = [
+        "Acme Labs 1850 - 1860 (on leave)", "Beta, Jan 2019 – Now, remote", "Gamma Inc December 2001 to Sept 2004 Berlin", "Delta Works 3021", "worked on it 2001 - 2002", "Ends. 2001 - 2002", "- Bullet Co 2001 - 2002", "Eps Feb 2020", "2001 - 2002", "No date",
+    ]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id int, part string")
+    got = {r["id"]: (r["employer"], r["start"], r["end"], r["is_current"]) for r in resume.jobs(docs, ["id"], "part").collect()}
+    assert got == {
+        0: ("Acme Labs", "1850", "1860", False), 1: ("Beta,", "Jan 2019", None, True), 2: ("Gamma Inc", "December 2001", "Sept 2004", False), 3: ("Delta Works", "3021", "3021", False), 7: ("Eps", "Feb 2020", "Feb 2020", False),
+    }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..config import CITIES, COUNTRIES, DEGREES, MONTH_SHORT, MONTHS, SKILLS
+from .phones import in_plan
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -34,9 +35,9 @@ def email(c: Column) -> Column:
 
 
 def phone_e164(c: Column) -> Column:
-    """``+`` and 8 to 15 digits after separators go; a leading 00 counts as ``+``."""
+    """``+`` and 8 to 15 digits after separators go, with a calling code and as many digits as its numbers have; a leading 00 counts as ``+``."""
     p = F.regexp_replace(F.regexp_replace(clean(c), r"^00", "+"), r"[\s().-]", "")
-    return F.when(F.rlike(p, F.lit(r"^\+[0-9]{8,15}\z")), p)
+    return F.when(F.rlike(p, F.lit(r"^\+[0-9]{8,15}\z")) & in_plan(p), p)
 
 
 def date_ym(c: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..config import MONTHS
 from ..functions import patterns
 from ..functions.normalize import blank_to_null, collapsed, unique_ci
 from ..functions.patterns import lines
@@ -29,9 +30,10 @@ PLACE = r"^[A-Za-z .'-]+,\s*[A-Za-z .'-]+(?:,\s*[A-Za-z .'-]+)?\z"
 TITLE_PLACE = r"(?i)^(.+?)\s+([A-Za-z .'-]+,\s*[A-Za-z .'-]+(?:,\s*[A-Za-z .'-]+)?|Remote|Hybrid)\z"
 DEGREE = r"(?i)\b(Ph\.?\s*D\.?|M\.?\s*S\.?|M\.?\s*Tech|M\.?\s*B\.?\s*A\.?|B\.?\s*S\.?|B\.?\s*Tech|B\.?\s*E\.?|Bachelor[^,|-]*|Master[^,|-]*|Diploma[^,|-]*)"
 NO_EMPLOYER = r"(?i)^(?:shipped|and|low-|needs|users|export|design|worked|gained|developed|built|optimized|researched|collaborated)\b"
-_DATE = r"(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?\s+)?(?:19|20)[0-9]{2}"
-RANGE = rf"(?i)^(.*?)[\s,|(–-]*\b({_DATE})\s*(?:-|–|—|to)\s*({_DATE}|present|current|now)\)?\s*\z"
-SINGLE = rf"(?i)^(.+?)[\s,|(–-]+({_DATE})\)?\s*\z"
+_DATE = rf"(?:(?:{'|'.join(m[:3] for m in MONTHS)})[a-z]*\s+[0-9]{{4}}|[0-9]{{4}})"
+# a range anywhere in a line, whatever follows it; else one date at its end: what stands before is the employer
+RANGE = rf"(?i)^(.*?)({_DATE})\s*(?:-|to|–|—|â€“)\s*(present|current|now|{_DATE})"
+SINGLE = rf"(?i)^(.*?)({_DATE})\z"
 NOW = r"(?i)^(?:present|current|now)\z"
 
 
