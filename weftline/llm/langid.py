@@ -24,8 +24,10 @@ BUCKETS = 1 << 15
 SMOOTHING = 0.5
 PENALTY = 3.0
 ROUNDS = 12
-#: The model, ``MAX_LANGUAGES * BUCKETS`` numbers at most, is held by the driver and every worker.
-MAX_LANGUAGES = 256
+#: Numbers of one block of a document's likelihoods (trigrams times languages); longer documents and more languages take more blocks.
+BLOCK = 1 << 20
+#: Columns that a prediction adds.
+ADDED = ("lang_pred", "score", "mixture")
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -84,28 +86,32 @@ def fit(labelled: DataFrame) -> Model:
     counts = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     languages = sorted(set(table.column("lang").unique().to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model holds {MAX_LANGUAGES}")
-    n = np.zeros((BUCKETS, len(languages)))
+    log_p = np.empty((BUCKETS, len(languages)), np.float32)
     if languages:
-        number = {x: i for i, x in enumerate(languages)}
-        which = np.array([number[x] for x in table.column("lang").to_pylist()])
-        n[table.column("bucket").to_numpy(), which] = table.column("n").to_numpy()
-    n += SMOOTHING
-    return Model(languages, np.log(n / n.sum(axis=0)).astype(np.float32))
-
-
-def _em(p: np.ndarray, weight: np.ndarray, theta: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Mixture proportions and log-likelihood (relative to p's own scale)."""
-    total = weight.sum()
+        lang, bucket, n = (table.column(c).combine_chunks() for c in ("lang", "bucket", "n"))
+        code = lang.dictionary_encode()
+        place = np.array([languages.index(x) for x in code.dictionary.to_pylist()])[code.indices.to_numpy()]
+        order = np.argsort(place, kind="stable")
+        ends = np.searchsorted(place[order], np.arange(len(languages) + 1))
+        for i in range(len(languages)):  # a language at a time: one column of counts
+            own = order[ends[i] : ends[i + 1]]
+            counted = np.full(BUCKETS, SMOOTHING)
+            counted[bucket.to_numpy()[own]] += n.to_numpy()[own]
+            log_p[:, i] = np.log(counted / counted.sum())
+    return Model(languages, log_p)
+
+
+def _em(blocks, weights: list[np.ndarray], theta: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Mixture proportions and log-likelihood; ``blocks()`` gives the likelihoods of the trigrams (relative to a scale of their own), block by block."""
+    total = sum(w.sum() for w in weights)
     for _ in range(rounds):
-        mixed = p @ theta
-        theta = theta * ((weight / mixed) @ p) / total
-    return theta, float(weight @ np.log(p @ theta))
+        gained = sum((w / (p @ theta)) @ p for p, w in zip(blocks(), weights))
+        theta = theta * gained / total
+    return theta, float(sum(w @ np.log(p @ theta) for p, w in zip(blocks(), weights)))
 
 
 def infer(model: Model, text: str | None) -> dict[str, float]:
-    """Proportions of the chosen languages, the largest first; empty if the text has no letter
+    """Proportions of the chosen languages, the largest first, ties by name; empty if the text has no letter
     or no language was learned."""
     if not text or not model.languages or not LETTER.search(text):
         return {}
@@ -113,21 +119,26 @@ def infer(model: Model, text: str | None) -> dict[str, float]:
     weight = np.ones(len(grams))
     if len(grams) > 512:
         grams, weight = np.unique(grams, return_counts=True)
-    logs = model.log_p[grams].astype(np.float64)
-    single = weight @ logs
+    size = max(1, BLOCK // len(model.languages))
+    cuts = range(0, len(grams), size)
+    weights = [weight[i : i + size] for i in cuts]
+    logs = lambda i: model.log_p[grams[i : i + size]].astype(np.float64)
+    single = sum(w @ logs(i) for i, w in zip(cuts, weights))
     best = int(single.argmax())
     if len(model.languages) == 1:
         return {model.languages[0]: 1.0}
-    scale = logs.max(axis=1)
-    p = np.exp(logs - scale[:, None])
-    shift = float(weight @ scale)
-    theta, _ = _em(p, weight, np.full(len(model.languages), 1 / len(model.languages)))
+    scales = [logs(i).max(axis=1) for i in cuts]
+    whole = lambda i, scale: np.exp(logs(i) - scale[:, None])
+    kept = [whole(i, scale) for i, scale in zip(cuts, scales)] if len(cuts) == 1 else None  # one block is computed once, of more only one is held
+    blocks = lambda: kept if kept else (whole(i, scale) for i, scale in zip(cuts, scales))
+    shift = float(sum(w @ scale for scale, w in zip(scales, weights)))
+    theta, _ = _em(blocks, weights, np.full(len(model.languages), 1 / len(model.languages)))
     order = [best, *(i for i in np.argsort(-theta, kind="stable").tolist() if i != best)]
     chosen, value = {best: 1.0}, float(single[best]) - shift
     cost = PENALTY * np.log(weight.sum() + 1)
     for k in range(2, len(order) + 1):
         part = order[:k]
-        t, ll = _em(p[:, part] + 1e-30, weight, np.maximum(theta[part], 1e-6) / np.maximum(theta[part], 1e-6).sum())
+        t, ll = _em(lambda: (p[:, part] + 1e-30 for p in blocks()), weights, np.maximum(theta[part], 1e-6) / np.maximum(theta[part], 1e-6).sum())  # noqa: B023
         if ll - value <= cost:
             break
         chosen, value = dict(zip(part, t.tolist())), ll
@@ -138,10 +149,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     """The columns ``keep`` (all by default) of ``docs`` with lang_pred, score and mixture.
 
     lang_pred is the language of the largest proportion and score that proportion (0 to 1);
-    ``und`` and 0 for null texts, texts without a letter, or an empty model. ``mixture`` lists
-    the chosen languages and proportions. Only ``text`` is an input of the prediction.
+    ``und`` and 0 for null and empty texts, texts without a letter, or an empty model. ``mixture`` lists
+    the chosen languages and proportions, ties by name. Only ``text`` is an input of the prediction, read whole however long; repeated rows
+    get repeated results. Columns of these three names are replaced, others pass through. The model holds ``BUCKETS`` numbers for each language, and grows
+    with nothing else; likelihoods of one document are held ``BLOCK`` numbers at a time.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep)
 
@@ -162,6 +175,6 @@ def held_out(docs: DataFrame):
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Fit on the rows of ``docs`` that are not held out and predict for all rows."""
+    """Fit on the rows of ``docs`` that are not held out and predict for all rows (:func:`predict`). No rows, no rows."""
     model = fit(docs.filter(~held_out(docs) & docs["doc_id"].isNotNull()))
     return predict(docs, model, keep)
