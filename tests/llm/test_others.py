@@ -300,3 +300,14 @@ def test_exact_top_k(spark):
     assert {tuple(r) for r in out} == want
     assert mtree.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert mtree.top_k(table.filter("vec_id = 50"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_a_page_that_is_all_template_keeps_its_article(spark):
+    from weftline.llm import wrapper
+
+    page = lambda body: f"<html><body><main>{body}</main></body></html>"
+    rows = [(i, "http://h.example/x", page(f"<p>Hello world</p><p>story {i}</p>")) for i in range(4)] + [(9, "http://h.example/y", page("<p>Hello world</p>"))]
+    # another layout of the host says the same in its articles and is no template of it
+    rows += [(20 + i, "http://h.example/z", f"<html><body><article><p>Hello world</p><p>other {i}</p></article></body></html>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "Hello world" and all(got[20 + i] == f"Hello world\n\nother {i}" for i in range(2)) and all(got[i].endswith(f"story {i}") for i in range(4))
