@@ -178,3 +178,47 @@ def test_scores_and_lineage_reach_the_profiles(spark, tmp_path):
     assert p["confidence"]["full_name"][0]["value"] == scores["fullName"]["value"]
     assert {s["name"] for s in p["source_records"]} == {"a", "b"}
     assert {h["field"] for h in out.lineage.collect()} >= {"fullName", "contactInfo", "experiences"}
+
+
+def test_hooks_take_part_in_every_stage(spark, tmp_path):
+    from weftline.hooks import Hooks
+
+    asked = []
+
+    def answers(stage, answer):
+        def call(requests):
+            rows = requests.collect()
+            asked.extend((stage, json.loads(r["request"])) for r in rows)
+            return spark.createDataFrame([(r["request_id"], answer if isinstance(answer, str) else json.dumps(answer)) for r in rows], "request_id string, answer string")
+
+        return call
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    note = "Name: Jane Doe\nEmail: jane@x.example\nCompany: ACME Labs\n"
+    put(folder, a_notes__txt=note, b_notes__txt=note, rows__csv="name,email,title,company\nJane D. Doe,jane@x.example,Lead,Acme Laboratories\n")
+    calls = {
+        "extraction": answers("extraction", {"summary": "Told by the hook", "full_name": "Never taken", "skills": ["js"]}),
+        "normalization": answers("normalization", {"headline": "Principal", "employerAliases": {"ACME Labs": "Acme", "Acme Laboratories": "Acme"}, "skillAliases": {"JavaScript": "ECMAScript"}}),
+        "merge": answers("merge", {"advice": "keep both"}),
+        "confidence": answers("confidence", {"assessments": [{"fieldPath": "headline", "score": 1.0}, {"fieldPath": "skills.0", "score": 0.5, "grounded": False}, {"fieldPath": "summary", "score": 7}]}),
+        "validation": answers("validation", {"warnings": [{"code": "ODD", "message": "a hook says so"}]}),
+    }
+    plain = engine.transform(spark, str(folder)).canonical.first()
+    out = engine.transform(spark, str(folder), hooks=Hooks(calls, "assist", str(tmp_path / "cache")))
+    r = out.canonical.first()
+    assert (r["summary"], r["headline"], r["skills"], r["full_name"]) == ("Told by the hook", "Principal", ["ECMAScript"], plain["full_name"]) and [j["employer"] for j in r["experiences"]] == ["Acme", "Acme"]
+    values = {s["field"]: s["value"] for s in r["confidence"]}
+    own = {s["field"]: s["value"] for s in plain["confidence"]}
+    assert values["headline"] > 0.8 and values["fullName"] == own["fullName"] and values["overall"] > own["overall"]
+    assert {(h["field"], h["normalizer"]) for h in out.lineage.filter("normalizer = 'LLMSemanticNormalizer'").collect()} == {("headline", "LLMSemanticNormalizer")}
+    assert [(w["code"], w["severity"]) for w in out.warnings.collect()] == [("ODD", "warn")]
+    assert {(c["field"], c["advice"], c["applied"]) for c in out.conflicts.collect()} >= {("fullName", "keep both", False)}
+    stages = [s for s, _ in asked]
+    assert stages.count("extraction") == 1 and stages.count("normalization") == 2  # two equal notes are one request
+    before = len(asked)
+    again = engine.transform(spark, str(folder), hooks=Hooks(calls, "assist", str(tmp_path / "cache"))).canonical.first()
+    assert len(asked) == before and again["summary"] == r["summary"]  # every answer is in the cache
+    broken = engine.transform(spark, str(folder), hooks=Hooks({s: answers(s, "{oops") for s in calls}, "assist"))
+    b = broken.canonical.first()
+    assert (b["summary"], b["headline"], b["confidence"]) == (plain["summary"], plain["headline"], plain["confidence"]) and broken.warnings.count() == 0

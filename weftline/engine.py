@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .errors import IdentityError
+from .hooks import Hooks, advised, assessed, renamed, warned
 from .operators import canonical, confidence, identity, lineage, merge, operations, records
 from .operators.order import numbered
 from .operators.tables import written
@@ -22,9 +23,10 @@ class Transformed:
     rejects: DataFrame
     warnings: DataFrame
     lineage: DataFrame
+    conflicts: DataFrame  # with the advice of a hook, if there is one
 
 
-def resolved(found: DataFrame) -> DataFrame:
+def resolved(found: DataFrame, hooks: Hooks | None = None) -> DataFrame:
     """Normalized records (path, row_no, source_type, extractor and the record columns) with rank, candidate_ix, keys, group_ix, group_id and source_id.
 
     candidate_ix numbers the records by path and row in one order over all (:func:`weftline.operators.order.numbered`), so equal records are two and ties go to the
@@ -33,6 +35,8 @@ def resolved(found: DataFrame) -> DataFrame:
     if found.filter("path is null").first():
         raise IdentityError("a record has no source")
     n = records.normalized(found.withColumn("operations", operations.of_record()))
+    if hooks and hooks.serve("normalization"):
+        n = renamed(n, hooks)
     label = merge.source_label(F.concat_ws(" ", "source_type", F.substring_index("path", "/", -1), "extractor"), F.col("source_type"))
     name = records.display_name(F.col("full_name"), F.col("first_name"), F.lit(None).cast("string"), F.col("last_name"))
     place = records.location_fingerprint(F.col("location"))
@@ -59,17 +63,23 @@ def profiles(scored: DataFrame, history: DataFrame) -> DataFrame:
     return out.withColumn("skill_details", F.transform("skills", detail))
 
 
-def transform(spark: SparkSession, folder: str, config: Config | dict | None = None, received_at: str = "1970-01-01T00:00:00Z", strict: bool = False) -> Transformed:
+def transform(spark: SparkSession, folder: str, config: Config | dict | None = None, received_at: str = "1970-01-01T00:00:00Z", strict: bool = False, hooks: Hooks | None = None) -> Transformed:
     """All files of a folder to projected profiles, with what was put aside and warned of.
 
     ``config`` is a projection or its JSON form (an invalid one counts as none). ``received_at`` is the time that sources
     without one of their own carry. Files that cannot be used are rejects; strict runs end with the first.
+    ``hooks``: functions that may take part in a stage; without them every result is the deterministic one.
     """
     plan = config if isinstance(config, Config) else contract.parsed_config(config)
-    found, rejects = extract.extracted(files.read(spark, folder), strict)
-    rows = resolved(found).withColumn("received_at", F.lit(received_at))
+    hooks = hooks or Hooks()
+    found, rejects = extract.extracted(files.read(spark, folder), strict, hooks)
+    rows = resolved(found, hooks).withColumn("received_at", F.lit(received_at))
     merged = written(canonical.canonical(rows, ids=rows.select("group_ix", "group_id").distinct()), "canonical-records")
-    known = written(confidence.scored(merged, rows), "scored-records")
+    known = confidence.scored(merged, rows)
+    known = written(assessed(known, hooks) if hooks.serve("confidence") else known, "scored-records")
     fields = {c: f for c, f in confidence.FIELDS.items() if c in rows.columns and c in merged.columns}
     history = written(lineage.of_records(merged, rows, fields), "lineage")
-    return Transformed(project(profiles(known, history), plan), known, rejects, contract.chronology(merged, "id"), history)
+    warnings = contract.chronology(merged, "id")
+    if hooks.serve("validation"):
+        warnings = warnings.unionByName(warned(merged, hooks))
+    return Transformed(project(profiles(known, history), plan), known, rejects, warnings, history, advised(merged, hooks))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import ExtractionError
 from ..functions import normalize, patterns
+from ..hooks import Hooks, completed
 from ..operators import resume
 from ..operators.tables import written
 from . import files as readers
@@ -68,17 +69,12 @@ def resume_records(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return f.withColumns(columns).drop("_jobs", "emails", "phones", "schools", "experience_text")
 
 
-def evidence(text: Column) -> Column:
-    """What a text source is kept with: the text and the sections found in it."""
-    return F.struct(text.alias("text"), *[resume.section(text, s).alias(s) for s in ("summary", "skills", "experience", "education")])
-
-
-def extracted(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def extracted(files: DataFrame, strict: bool = False, hooks: Hooks | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of admitted files (:func:`weftline.sources.files.read`), written tables.
 
     Records: path, row_no, source_type, extractor and the record columns, from all four extractors; row_no counts the rows or objects of a file.
     Rejects: path and reason, one for each file that is not admitted, cannot be read, holds no record or has no extractor; strict runs end with the first.
-    A file that cannot be read costs its own records only. Every file is decoded and parsed once.
+    A file that cannot be read costs its own records only. Every file is decoded and parsed once. A hook may fill what text sources leave empty.
     """
     f = files.withColumn("extractor", extractor(F.col("parser"), F.col("source_type"), F.col("name")))
     keys = ["path", "row_no", "source_type", "extractor"]
@@ -92,7 +88,10 @@ def extracted(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFr
     told = texts.filter("text != ''").withColumn("row_no", F.lit(0).cast("long"))
     from_resumes = resume_records(told.filter("extractor = 'ResumeExtractor'"), "path").select(*keys, *RECORD)
     from_notes = note_records(told.filter("extractor = 'RecruiterNotesExtractor'")).select(*keys, *RECORD)
-    records = written(from_rows.unionByName(from_json).unionByName(from_resumes).unionByName(from_notes), "extracted-records")
+    from_texts = from_resumes.unionByName(from_notes)
+    if hooks and hooks.serve("extraction"):
+        from_texts = completed(from_texts, told.filter("extractor in ('ResumeExtractor', 'RecruiterNotesExtractor')"), hooks).select(*keys, *RECORD)
+    records = written(from_rows.unionByName(from_json).unionByName(from_texts), "extracted-records")
     refused = f.filter("reject_reason is not null").select("path", F.col("reject_reason").alias("reason"))
     nobody = f.filter("reject_reason is null and extractor is null").select("path", F.lit("no extractor").alias("reason"))
     unread = texts.filter("error is not null").select("path", F.col("error").alias("reason")).unionByName(rows.filter("error is not null").select("path", F.col("error").alias("reason")))
