@@ -34,8 +34,10 @@ def test_words_sum_over_all_segmentations(pieces):
         want = [math.exp(sum(logs[by_bytes[p]] for p in way)) for way in every]
         edges, size = lattice._edges(automaton, word)
         assert math.isclose(lattice._forward(edges, size, logs)[-1], math.log(sum(want)), rel_tol=1e-12)
-        counts = [0.0] * len(logs)
-        lattice._expected(edges, size, logs, 3, counts)
+        counts, by_logs = [0.0] * len(logs), [0.0] * len(logs)
+        lattice._expected(edges, size, logs, list(first), 3, counts)
+        lattice._expected(edges, size, logs, [0.0] * len(logs), 3, by_logs)  # products that vanish
+        assert all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(counts, by_logs))
         expected = Counter()
         for way, p in zip(every, want):
             for piece in way:

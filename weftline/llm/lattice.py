@@ -69,11 +69,26 @@ def _forward(edges: list[tuple[int, int, int]], size: int, logs: list[float]) ->
     return alpha
 
 
-def _expected(edges: list[tuple[int, int, int]], size: int, logs: list[float], times: int, counts: list[float]) -> None:
-    """Adds how often each piece is expected in ``times`` occurrences of a word."""
+#: A word's probability from which on plain products are exact enough to count with.
+LEAST = 1e-280
+
+
+def _expected(edges: list[tuple[int, int, int]], size: int, logs: list[float], plain: list[float], times: int, counts: list[float]) -> None:
+    """Adds how often each piece is expected in ``times`` occurrences of a word. ``plain`` are the probabilities themselves; where their products get too small,
+    logarithms do."""
+    alpha = [1.0] + [0.0] * size
+    for a, z, i in edges:
+        alpha[z] += alpha[a] * plain[i]
+    if alpha[size] > LEAST:
+        beta = [0.0] * size + [times / alpha[size]]
+        for a, z, i in reversed(edges):  # by their ends from the last: what follows an end is complete when it is met
+            through = plain[i] * beta[z]
+            counts[i] += alpha[a] * through
+            beta[a] += through
+        return
     alpha = _forward(edges, size, logs)
     beta = [-math.inf] * size + [0.0]
-    for a, z, i in reversed(edges):  # by their ends from the last: what follows an end is complete when it is met
+    for a, z, i in reversed(edges):
         through = logs[i] + beta[z]
         counts[i] += times * math.exp(alpha[a] + through - alpha[size])
         beta[a] = _both(through, beta[a])
@@ -102,10 +117,11 @@ def fitted(words: DataFrame, texts: int, file: str, rounds: int = ROUNDS) -> np.
 
         def expect(batches, logs=logs):
             automaton, weights = _vocabulary(file)
+            plain = [math.exp(x) for x in logs]
             sums = [0.0] * len(weights)
             for b in batches:
                 for word, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    _expected(*_edges(automaton, word), logs, c, sums)
+                    _expected(*_edges(automaton, word), logs, plain, c, sums)
             at = [i for i, x in enumerate(sums) if x]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([sums[i] for i in at], pa.float64())], names=["piece", "n"])
 
