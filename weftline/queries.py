@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .functions import normalize, patterns
 from .operators import canonical, confidence, generic, identity, lineage, merge, operations, planning, records, resume, score
 from .operators.tables import written
-from .plans import contract
+from .plans import contract, rules
 from .plans.projection import Config, as_json, best_degree, project
 from .sources import extract, files, structured
 
@@ -775,3 +775,15 @@ def hybrid_scores(spark, sf_dir):
     from .hooks import mixed_score
 
     return _t(spark, sf_dir, "orders").select(k, mixed_score(F.lit(0.5), F.when(k % 3 < 2, (k % 10) / 10.0), k % 3 == 0).alias("score"))
+
+
+@_query("""WITH p AS (SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_type FROM events)
+SELECT event_id, 'k' AS path, 'out of range' AS problem FROM p WHERE k > 49 UNION ALL SELECT event_id, 'type', 'not one of the known' FROM p WHERE event_type NOT IN ('signup', 'purchase')
+UNION ALL SELECT event_id, 'seen[' || i || '].user', 'no text' FROM p, (SELECT unnest([0, 1]) AS i) WHERE k % 2 = i""")
+def declared_rules(spark, sf_dir):
+    """Breaches in each event as a document: its property a whole number up to 49, its type one of two, its visits those of named users."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    visit = lambda i: F.when(k % 2 == i, F.to_json(F.struct(F.col("user_id").alias("user")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("user"))))
+    document = F.concat(F.lit('{"k":'), k.cast("string"), F.lit(',"type":"'), F.col("event_type"), F.lit('","seen":['), visit(0), F.lit(","), visit(1), F.lit("]}"))
+    rule = rules.record(k=rules.number(0, 49, whole=True), type=rules.one_of("signup", "purchase"), seen=rules.each(rules.record(user=rules.text())))
+    return rules.breaches(_t(spark, sf_dir, "events").select("event_id", document.alias("document")), "event_id", rule)
