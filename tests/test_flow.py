@@ -178,6 +178,10 @@ def test_scores_and_lineage_reach_the_profiles(spark, tmp_path):
     assert p["confidence"]["full_name"][0]["value"] == scores["fullName"]["value"]
     assert {s["name"] for s in p["source_records"]} == {"a", "b"}
     assert {h["field"] for h in out.lineage.collect()} >= {"fullName", "contactInfo", "experiences"}
+    engine.save(out, f"file://{tmp_path}/out")
+    told = {m["measure"]: m["value"] for m in spark.read.json(f"file://{tmp_path}/out/summary").collect()}
+    assert (told["candidates"], told["sources"], told["warnings"], told["rejects"]) == (1, 2, 0, 0) and told["histories"] == out.lineage.count() and told["mean_confidence"] == scores["overall"]["value"]
+    assert spark.read.json(f"file://{tmp_path}/out/profiles").first()["full_name"] == p["full_name"]
 
 
 def test_hooks_take_part_in_every_stage(spark, tmp_path):

@@ -83,3 +83,20 @@ def transform(spark: SparkSession, folder: str, config: Config | dict | None = N
     if hooks.serve("validation"):
         warnings = warnings.unionByName(warned(merged, hooks))
     return Transformed(project(profiles(known, history), plan), known, rejects, warnings, history, advised(merged, hooks))
+
+
+def summary(out: Transformed) -> DataFrame:
+    """(measure, value) of a run: its candidates, their sources, decisions and mean confidence, and how many conflicts, histories, warnings and rejects there are."""
+    size = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("double")
+    own = {"candidates": F.count("*").cast("double"), "sources": size("sources"), "decisions": size("provenance"), "mean_confidence": F.avg(F.element_at("confidence", -1)["value"])}
+    rows = out.canonical.agg(*[c.alias(n) for n, c in own.items()]).select(F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in own])))
+    for name, df in (("conflicts", out.conflicts), ("histories", out.lineage), ("warnings", out.warnings), ("rejects", out.rejects)):
+        rows = rows.unionByName(df.agg(F.count("*").cast("double").alias("value")).select(F.lit(name).alias("measure"), "value"))
+    return rows
+
+
+def save(out: Transformed, folder: str) -> None:
+    """Write a run as JSON lines: ``profiles``, ``rejects``, ``warnings``, ``conflicts``, ``lineage``, and ``summary``, each a folder of its own in ``folder``."""
+    for name in ("profiles", "rejects", "warnings", "conflicts", "lineage"):
+        getattr(out, name).write.json(f"{folder.rstrip('/')}/{name}")
+    summary(out).coalesce(1).write.json(f"{folder.rstrip('/')}/summary")

@@ -17,7 +17,7 @@ from ..config import OPEN_END
 from . import generic
 from .order import numbered
 from .records import unique_by
-from .tables import written
+from .tables import dropped, written
 
 #: Entries of one key that are folded as one row at most.
 CHUNK = 4096
@@ -117,7 +117,7 @@ def _in_rounds(flat: DataFrame, chunk: int, in_order: Column, none: Column, step
     """(at, b): the fold of keys of many entries, one chunk of each key a round."""
     items = numbered(flat.withColumn("_ord", F.col("item.ord")), ["at", "_ord"], "_no", within="at").withColumn("_chunk", F.floor(F.col("_no") / chunk))
     rounds = items.agg(F.max("_chunk").alias("n")).first()["n"] + 1
-    state = None
+    state = state_before = None
     for c in range(rounds):
         part = items.filter(F.col("_chunk") == c).groupBy("at").agg(in_order)
         if state is None:
@@ -125,4 +125,6 @@ def _in_rounds(flat: DataFrame, chunk: int, in_order: Column, none: Column, step
         else:  # a key without a further chunk keeps its buckets
             state = state.join(part, "at", "left").select("at", F.when(F.col("items").isNull(), F.col("b")).otherwise(F.aggregate("items", F.col("b"), step)).alias("b"))
         state = written(state, "buckets")
+        dropped(state_before)
+        state_before = state
     return state

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import written
+from .tables import dropped, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
-        hooks = written(hooks, "hooks")
+        hooks = first = written(hooks, "hooks")
         above = hooks.select(F.col("node").alias("up"), F.col("up").alias("root"))
         hooks = written(hooks.join(above, "up").select("node", "root"), "roots")
         if labels is None:
@@ -32,10 +32,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         else:
             moved = hooks.select(F.col("node").alias("component"), "root")
             labels = labels.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-        labels = written(labels, "labels")
+        before, labels = labels, written(labels, "labels")
         ra, rb = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra")), hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = current.filter("a != b").join(ra, "a").join(rb, "b").filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        current = written(left, "edges")
+        previous, current = current, written(left, "edges")
+        dropped(first, hooks, before, previous)  # the next round reads labels and edges alone
         if current.isEmpty():
+            dropped(current)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from . import merge
-from .tables import written
+from .tables import dropped, written
 
 TECHNICAL = frozenset({"id", "provenance", "confidence"})
 
@@ -179,7 +179,8 @@ def preferred_by_rank(rows: DataFrame, group: str, column: str) -> DataFrame:
         won = part.groupBy(group).agg(best).select(group, "best.*")
         if state is not None:
             won = won.unionByName(state.join(won.select(group), group, "left_anti"))
-        state = written(won, "winners")
+        before, state = state, written(won, "winners")
+        dropped(before)
     return rows.select(group, "rank", "candidate_ix", "source_id", F.col(column).alias("value")).limit(0) if state is None else state
 
 

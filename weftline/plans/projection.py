@@ -41,7 +41,7 @@ class Config:
     formats: dict[str, dict] = field(default_factory=dict)
     #: The year at which open jobs are taken to end; None: the current one.
     as_of_year: int | None = None
-    #: Add the scores and histories of each projected path, and the source records.
+    #: Add the scores and histories of each projected path, as maps from the output path to its entries, and the source records.
     include_confidence: bool = False
     include_provenance: bool = False
     include_source_records: bool = False
@@ -256,7 +256,8 @@ def compile_plan(config: Config) -> list[tuple[str, Column]]:
         out.append((path, c))
     for wanted_too, name in ((config.include_confidence, "confidence"), (config.include_provenance, "provenance")):
         if wanted_too:
-            about = F.struct(*[_under(name, source).alias(re.sub(r"\W", "_", path)) for source, path in sorted(seen)])
+            paths = {path: source for source, path in sorted(seen)}
+            about = F.map_from_arrays(F.array(*[F.lit(p) for p in paths]), F.array(*[_under(name, source) for source in paths.values()]))
             out = [(p, c) for p, c in out if p != name] + [(name, about)]
     if config.include_source_records:
         out.append(("source_records", F.col("source_records")))
