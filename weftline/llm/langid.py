@@ -105,8 +105,8 @@ def _em(blocks, weights: list[np.ndarray], theta: np.ndarray, rounds: int = ROUN
     """Mixture proportions and log-likelihood; ``blocks()`` gives the likelihoods of the trigrams (relative to a scale of their own), block by block."""
     total = sum(w.sum() for w in weights)
     for _ in range(rounds):
-        gained = sum((w / (p @ theta)) @ p for p, w in zip(blocks(), weights))
-        theta = theta * gained / total
+        gained = [(w / (p @ theta)) @ p for p, w in zip(blocks(), weights)]
+        theta = theta * (gained[0] if len(gained) == 1 else sum(gained)) / total
     return theta, float(sum(w @ np.log(p @ theta) for p, w in zip(blocks(), weights)))
 
 
@@ -138,7 +138,8 @@ def infer(model: Model, text: str | None) -> dict[str, float]:
     cost = PENALTY * np.log(weight.sum() + 1)
     for k in range(2, len(order) + 1):
         part = order[:k]
-        t, ll = _em(lambda: (p[:, part] + 1e-30 for p in blocks()), weights, np.maximum(theta[part], 1e-6) / np.maximum(theta[part], 1e-6).sum())  # noqa: B023
+        own = [p[:, part] + 1e-30 for p in kept] if kept else None
+        t, ll = _em(lambda: own if own else (p[:, part] + 1e-30 for p in blocks()), weights, np.maximum(theta[part], 1e-6) / np.maximum(theta[part], 1e-6).sum())  # noqa: B023
         if ll - value <= cost:
             break
         chosen, value = dict(zip(part, t.tolist())), ll
