@@ -80,7 +80,7 @@ def extracted(files: DataFrame, strict: bool = False, hooks: Hooks | None = None
     keys = ["path", "row_no", "source_type", "extractor"]
     admitted = f.filter("reject_reason is null and extractor is not null")
     about = admitted.select("path", "source_type", "extractor")
-    texts = written(readers.texts(admitted).join(about, "path"), "source-texts")
+    texts = written(readers.contents(admitted).join(about, "path"), "source-texts")
     rows = written(csv_rows(texts), "source-rows")
     from_rows = csv_records(rows.filter("error is null")).join(about, "path").select(*keys, *RECORD)
     objects = readers.json_records(texts.filter("extractor = 'AtsJsonExtractor'"))

@@ -142,11 +142,13 @@ def _unpacked(parser: str, content: bytes) -> tuple[str | None, str | None]:
     return docx_text(content) if parser == "DocxParser" else (wide_text(content), None)
 
 
-def texts(files: DataFrame) -> DataFrame:
-    """(path, parser, text, error) of admitted files. A file that cannot be read has a null text and says why; it costs no other.
+def contents(files: DataFrame) -> DataFrame:
+    """(path, parser, text, error) of admitted files of all kinds. A file that cannot be read has a null text and says why; it costs no other.
 
     UTF-8 and Windows-1252 are decoded by expressions; UTF-16, PDF and word-processor files one at a time in Arrow batches.
     """
+    if "content" not in files.columns:
+        return files  # read already
     f = files.filter("content is not null").select("path", "parser", "content")
     packed = F.col("parser").isin("PdfParser", "DocxParser") | _wide(F.col("content"))
 
@@ -161,8 +163,13 @@ def texts(files: DataFrame) -> DataFrame:
     return plain.unionByName(f.filter(packed).mapInArrow(batch, "path string, parser string, text string, error string"))
 
 
-def json_records(texts: DataFrame) -> DataFrame:
-    """(path, row_no, record VARIANT) of JSON texts: an array's objects, a ``candidates`` list's, or the object itself, each with its place; malformed texts give none."""
-    v = texts.filter("parser = 'JsonParser' and text is not null").select("path", F.try_parse_json("text").alias("v"))
+def texts(files: DataFrame) -> DataFrame:
+    """(path, text, error) of text, word-processor and PDF files."""
+    return contents(files).filter("parser in ('TextParser', 'DocxParser', 'PdfParser')").select("path", "text", "error")
+
+
+def json_records(files: DataFrame) -> DataFrame:
+    """(path, row_no, record VARIANT) of JSON files, or of their :func:`contents`: an array's objects, a ``candidates`` list's, or the object itself, each with its place; malformed texts give none."""
+    v = contents(files).filter("parser = 'JsonParser' and text is not null").select("path", F.try_parse_json("text").alias("v"))
     v = v.filter("v is not null").withColumn("list", F.coalesce(F.try_variant_get("v", "$.candidates", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array("v")))
     return v.select("path", F.posexplode("list").alias("row_no", "record")).withColumn("row_no", F.col("row_no").cast("long")).filter("schema_of_variant(record) like 'OBJECT%'")

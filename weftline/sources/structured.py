@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.normalize import blank_to_null, split_values
-from .files import MAX_BYTES
+from .files import MAX_BYTES, contents
 
 CONTACTS = "array<struct<kind:string,value:string,is_primary:boolean>>"
 LINKS = "array<struct<platform:string,url:string>>"
@@ -66,8 +66,8 @@ def _rows_of(text: str | None) -> Iterator[tuple[int | None, list[tuple[str, str
             yield i, [(h, c.strip()) for h, c in zip(header, r, strict=True)], None
 
 
-def csv_rows(texts: DataFrame) -> DataFrame:
-    """(path, row_no, cells MAP, error) of delimited texts (path, parser, text). Files are parsed one at a time; admission bounds their size."""
+def csv_rows(files: DataFrame) -> DataFrame:
+    """(path, row_no, cells MAP, error) of delimited files, or of their :func:`weftline.sources.files.contents`. Files are parsed one at a time; admission bounds their size."""
 
     def batch(batches):
         for b in batches:
@@ -77,7 +77,7 @@ def csv_rows(texts: DataFrame) -> DataFrame:
                 columns = [[path] * len(rows), *map(list, zip(*rows, strict=True))] if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "row_no", "cells", "error"])
 
-    return texts.filter("parser = 'CsvParser' and text is not null").select("path", "text").mapInArrow(batch, "path string, row_no long, cells map<string,string>, error string")
+    return contents(files).filter("parser = 'CsvParser' and text is not null").select("path", "text").mapInArrow(batch, "path string, row_no long, cells map<string,string>, error string")
 
 
 def _compact(*items: tuple[Column, Column]) -> Column:
