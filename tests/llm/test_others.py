@@ -56,7 +56,7 @@ def test_statistics_and_thresholds_against_the_definitions(spark):
     bins = lambda q: [min(99, int(x * 100)) for x in q]
 
     def plain(q):
-        randoms, best = 2 * sum(b >= 50 for b in bins(q)), None
+        randoms, best = sorted(sum(b >= cut for b in bins(q)) / (1 - cut / 100) for cut in range(50, 91, 5))[4], None
         for i in range(100):
             above = sum(b >= i for b in bins(q))
             if above and max(0.0, above - randoms * (1 - i / 100)) / above <= 0.1:
@@ -66,14 +66,14 @@ def test_statistics_and_thresholds_against_the_definitions(spark):
     assert got == {("hex", 1): plain(p), ("base62", 2): plain([*p, 0.9])}  # a stratum of one token is judged by all
 
 
-def test_planted_keys_among_ordinary_tokens(spark):
-    """Recall and share of false discoveries per stratum, over keys planted among identifiers, paths and stamps."""
-    rng = random.Random(20)
-    alphabets = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "base62": string.ascii_letters + string.digits, "base64url": string.ascii_letters + string.digits + "-_"}
-    parts = "user account update get list name value config module version build report final draft page item order total count index table column".split()
+KEYS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "base62": string.ascii_letters + string.digits, "base64url": string.ascii_letters + string.digits + "-_"}
+PARTS = "user account update get list name value config module version build report final draft page item order total count index table column".split()
+
 
+def planted_corpus(rng):
+    """4000 identifiers, paths and stamps and 800 keys: (text, None or the key's encoding and length)."""
     def ordinary():
-        w = [rng.choice(parts) for _ in range(rng.randint(3, 8))]
+        w = [rng.choice(PARTS) for _ in range(rng.randint(3, 8))]
         kind = rng.randrange(4)
         if kind == 0:
             return "_".join(w) + str(rng.randint(1, 99))
@@ -83,24 +83,46 @@ def test_planted_keys_among_ordinary_tokens(spark):
             return f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}-" + "-".join(w)
         return "/".join(w) + f"/v{rng.randint(1, 9)}"
 
-    rows, planted = [], {}
-    for i in range(4000):
-        rows.append((i, f"see {ordinary()} here", 0))
-    for name, chars in alphabets.items():
-        for n in (16, 24, 32, 48):
-            for k in range(40):
-                planted[len(rows)] = (name, n)
-                rows.append((len(rows), f"see {''.join(rng.choice(chars) for _ in range(n))} here", 0))
-    out = secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string, base int"))
-    found = {r["doc_id"] for r in out.filter("size(spans) > 0").collect()}
+    rows = [(f"see {ordinary()} here", None) for _ in range(4000)]
+    return rows + [(f"see {''.join(rng.choice(chars) for _ in range(n))} here", (name, n)) for name, chars in KEYS.items() for n in (16, 24, 32, 48) for _ in range(40)]
+
+
+def test_planted_keys_among_ordinary_tokens(spark):
+    """Recall per stratum, and the share of false ones among the documents with an added span."""
+    rows = planted_corpus(random.Random(20))
+    planted = {i: key for i, (_, key) in enumerate(rows) if key}
+    out = secret_scan.secrets(spark.createDataFrame([(i, text, 0) for i, (text, _) in enumerate(rows)], "doc_id long, text string, base int")).collect()
+    found = {r["doc_id"] for r in out if r["spans"]}
+    added = {r["doc_id"] for r in out if len(r["spans"]) > len(r["base"])}
     recall = {key: sum(1 for i, x in planted.items() if x == key and i in found) / 40 for key in set(planted.values())}
-    false = len(found - set(planted)) / len(found)
-    print({"false discoveries": false, **{f"{e} {n}": r for (e, n), r in sorted(recall.items())}})
-    assert false <= 0.15
+    false = len(added - set(planted)) / len(added)
+    print({"false among added": false, **{f"{e} {n}": r for (e, n), r in sorted(recall.items())}})
+    assert false <= secret_scan.RATE
     assert all(recall["hex", n] == 1 for n in (16, 24, 32, 48))  # base spans
     assert np.mean([r for (e, n), r in recall.items()]) >= 0.8 and np.mean([r for (e, n), r in recall.items() if n >= 24]) >= 0.85
 
 
+def test_false_discoveries_over_many_corpora():
+    """The rate holds on average over corpora, counted among added spans alone, and so does the recall of keys that no base pattern finds."""
+    false, recall = [], []
+    for seed in range(100, 112):
+        tokens = []
+        for text, key in planted_corpus(random.Random(seed)):
+            base = secret_scan.base_spans(text)
+            for m in secret_scan.TOKEN.finditer(text):
+                if j := secret_scan.judged(m[0]):
+                    tokens.append((j, key, not any(a < m.end() and m.start() < e for a, _, e in base)))
+        strata = {}
+        for (encoding, length, p), _, _ in tokens:
+            strata.setdefault((encoding, length), [0] * secret_scan.BINS)[min(secret_scan.BINS - 1, int(p * secret_scan.BINS))] += 1
+        limits = secret_scan.limits(strata)
+        added = [key for (encoding, length, p), key, free in tokens if free and p >= limits.get((encoding, length), 2)]
+        false.append(added.count(None) / len(added))
+        recall.append((len(added) - added.count(None)) / 640)
+    print({"false": np.mean(false), "largest": max(false), "recall": np.mean(recall), "least": min(recall)})
+    assert np.mean(false) <= secret_scan.RATE and np.mean(recall) >= 0.7
+
+
 def page(i, host_note="Share this story now"):
     body = "".join(f"<p>Story {i} part {k} &amp; more\n text {i * k}</p>" for k in range(4))
     return f"<html><head><title>t{i}</title><script>var a='<p>';</script></head><body><nav><ul><li><a>m{i}</a></ul></nav><div class='ad'>buy {i}</div><article><h1>Title {i}</h1><p><b>lead {i}<br>x{body}<p>{host_note}</p><div id=comments><p>rant {i}</p></div></article><aside>s{i}</aside><footer>f{i}</footer>"

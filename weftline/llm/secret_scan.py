@@ -9,11 +9,12 @@ limiting distribution), and so is Fisher's sum of the three: the result is the p
 being as uneven as this if random, uniform for keys, near 0 for words, paths and identifiers.
 
 How much a low value says depends on length, so false discoveries are controlled per stratum
-of encoding and length over the whole corpus: tokens above ``LAMBDA`` estimate how many are
-random (Storey), and the threshold is the smallest at which the estimated share of ordinary
-tokens among those accepted stays within ``RATE``. With k tokens above ``LAMBDA`` that estimate has a
-standard error of 2 sqrt(k), so strata of fewer than ``LEAST`` tokens are judged by the counts of all
-lengths of their encoding, and where these are few too, of all encodings.
+of encoding and length over the whole corpus: tokens above a cut estimate how many are random
+(Storey), and the threshold is the smallest at which the estimated share of ordinary tokens among
+those accepted stays within ``RATE``. A low cut counts ordinary tokens whose probability is high by
+chance as random, a high one leaves few tokens to count, so the median over ``CUTS`` is taken. Strata
+of fewer than ``LEAST`` tokens are judged by the counts of all lengths of their encoding, and where
+these are few too, of all encodings.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from functools import lru_cache
+from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,9 @@ ENCODINGS = [(name, {c: i for i, c in enumerate(chars)}, re.compile(f"[{re.escap
     ("hex", _DIG + "abcdef"), ("HEX", _DIG + "ABCDEF"), ("base32", _UP + "234567"), ("lower36", _LOW + _DIG), ("upper36", _UP + _DIG), ("alpha52", _UP + _LOW),
     ("base62", _UP + _LOW + _DIG), ("base64", _UP + _LOW + _DIG + "+/"), ("base64url", _UP + _LOW + _DIG + "-_"), ("mixed66", _UP + _LOW + _DIG + "+/-_")]]
 LENGTHS = (16, 20, 24, 32, 48, 64)
-BINS, LAMBDA, RATE, FLOOR = 100, 0.5, 0.1, 0.01
+BINS, RATE, FLOOR = 100, 0.1, 0.01
+#: Bins from which on tokens are counted to estimate the random ones.
+CUTS = range(50, 91, 5)
 LEAST = 30
 #: Random strings drawn for each length and alphabet up to ``EXACT`` characters, from a fixed seed.
 DRAWS, EXACT = 2000, 128
@@ -151,16 +155,8 @@ def tested(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.select(id_col, "text").mapInArrow(small_batches(batch), schema)
 
 
-def thresholds(found: DataFrame) -> dict[tuple[str, int], float]:
-    """Per stratum the smallest p that a token must reach; strata without one accept nothing.
-
-    Only histograms reach the driver: encodings x length classes x ``BINS`` rows at most.
-    """
-    flat = found.select(F.explode_outer("tokens").alias("t")).filter("t is not null")
-    bins = flat.groupBy("t.encoding", "t.length", F.least(F.lit(BINS - 1), F.floor(F.col("t.p") * BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    strata: dict[tuple[str, int], list[int]] = {}
-    for r in bins.collect():
-        strata.setdefault((r["encoding"], r["length"]), [0] * BINS)[r["bin"]] = r["n"]
+def limits(strata: dict[tuple[str, int], list[int]]) -> dict[tuple[str, int], float]:
+    """The threshold of each stratum from all strata's histograms."""
     out = {}
     for (encoding, length), own in strata.items():
         n = own
@@ -168,7 +164,7 @@ def thresholds(found: DataFrame) -> dict[tuple[str, int], float]:
             n = [sum(x) for x in zip(*(v for (e, _), v in strata.items() if e == encoding))]
         if sum(n) < LEAST:
             n = [sum(x) for x in zip(*strata.values())]
-        random = sum(n[int(LAMBDA * BINS) :]) / (1 - LAMBDA)
+        random = median(sum(n[cut:]) / (1 - cut / BINS) for cut in CUTS)
         above = 0
         for i in range(BINS - 1, -1, -1):
             above += n[i]
@@ -178,6 +174,19 @@ def thresholds(found: DataFrame) -> dict[tuple[str, int], float]:
     return out
 
 
+def thresholds(found: DataFrame) -> dict[tuple[str, int], float]:
+    """Per stratum the smallest p that a token must reach; strata without one accept nothing.
+
+    Only histograms reach the driver: encodings x length classes x ``BINS`` rows at most.
+    """
+    flat = found.select(F.explode_outer("tokens").alias("t")).filter("t is not null")
+    bins = flat.groupBy("t.encoding", "t.length", F.least(F.lit(BINS - 1), F.floor(F.col("t.p") * BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    strata: dict[tuple[str, int], list[int]] = {}
+    for r in bins.collect():
+        strata.setdefault((r["encoding"], r["length"]), [0] * BINS)[r["bin"]] = r["n"]
+    return limits(strata)
+
+
 def secrets(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, ``base`` and ``spans`` (start, kind number, end), by start, then kind.
 
