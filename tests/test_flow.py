@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from weftline import engine
-from weftline.errors import IdentityError
-from weftline.operators import buckets, generic
+from weftline.errors import IdentityError, MergeConflictError
+from weftline.operators import buckets, canonical, generic
 from weftline.operators.order import numbered
 from weftline.sources import extract, files
 
@@ -226,3 +226,25 @@ def test_hooks_take_part_in_every_stage(spark, tmp_path):
     broken = engine.transform(spark, str(folder), hooks=Hooks({s: answers(s, "{oops") for s in calls}, "assist"))
     b = broken.canonical.first()
     assert (b["summary"], b["headline"], b["confidence"]) == (plain["summary"], plain["headline"], plain["confidence"]) and broken.warnings.count() == 0
+
+
+def test_descriptors_name_sources_and_choose_extractors(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Name: Ann Lee\nEmail: ann@x.org\nSkills: js, go\n")
+    (tmp_path / "b.csv").write_text("name,email\nAnn Lee,ann@x.org\nBo,bo@x.org\n")
+    (tmp_path / "c.exe").write_bytes(b"MZ")
+    (tmp_path / "d.json").write_text('{"fullName": "Cy"}')
+    said = spark.createDataFrame([(0, None, "Called on Monday", None), (3, None, None, "manual"), (9, "b.csv", "Sheet", "csv")], "ord int, file_name string, source_name string, source_type string")
+    out = engine.transform(spark, str(tmp_path), {"fields": ["full_name"], "includeSourceRecords": True}, descriptors=said)
+    got = {r["full_name"]: {x["name"] for x in r["source_records"]} for r in out.profiles.collect()}
+    assert got == {"Ann Lee": {"Called on Monday", "Sheet"}, "Bo": {"Sheet"}}
+    assert {r["path"].rsplit("/", 1)[1]: r["reason"] for r in out.rejects.collect()}["d.json"] == "no extractor"  # its place makes it notes, which no reader of JSON takes
+    answer = json.loads(engine.response(out, "r-1", 12).first()["response"])
+    assert answer == {"success": True, "requestId": "r-1", "duration": 12, "data": {"summary": {"sourceCount": 4, "partialCandidateCount": 3, "normalizedCandidateCount": 3, "canonicalCandidateCount": 2, "projectedCandidateCount": 2}}}
+
+
+def test_a_conflict_without_a_winner_is_found(spark):
+    rows = [("g", [("headline", [], ["x"])]), ("h", [("headline", ["s1"], ["x"]), ("summary", [], [])]), ("i", [("summary", [None], ["y"])])]
+    merged = spark.createDataFrame(rows, "group_id string, provenance array<struct<field:string,winners:array<string>,discarded:array<string>>>")
+    assert sorted(tuple(r) for r in canonical.undecided(merged).collect()) == [("g", "headline"), ("i", "summary")]
+    error = MergeConflictError("no winner", group_id="g")
+    assert engine.failure(error, "r-2") == {"success": False, "requestId": "r-2", "error": {"code": "MERGE_CONFLICT", "status": 409, "message": "no winner", "details": {"group_id": "g"}}}

@@ -43,3 +43,19 @@ def test_virtual_fields_and_formats(spark):
     assert r["ats_provenance"] == [{"field": "full_name", "source": "N", "method": "scalar"}]
     assert (r["where"], r["d1"], r["d2"], r["month"], r["at"]) == ("Pune, IN", "2024", "Spring 2024", "05/2024", "2024-05-01T00:00:00.000Z")
     assert project(df, Config(fields=({"path": "c", "from": "location"},), formats={"c": {"location": "iso-country"}})).first()["c"] == "IN"
+
+
+def test_formats_by_type(spark):
+    df = spark.sql("""SELECT array('js', 'machine  LEARNING', 'java script', null) AS names, array(named_struct('name', '', 'title', 'T', 'n', 1), named_struct('name', 'N', 'title', 'T', 'n', 2), named_struct('name', null, 'title', null, 'n', 3), null) AS things,
+      array(1.0D, 2.5D) AS numbers, array(true, false) AS flags, '+1 (555) 11' AS phone, array('+1 (5)', 'x') AS lines, 7 AS n, named_struct('city', 'Pune', 'country', 'IN') AS place, '2024-05' AS d, cast(null as string) AS none, cast(null as array<string>) AS nothing""")
+    joined = {"array": "comma-separated"}
+    cases = {
+        "names": ({"normalize": "canonical", **joined}, ["JavaScript", "Machine Learning", "Java Script", None]),  # the first that applies is the only one
+        "things": (joined, 'T, N, {"n":3}, null'), "numbers": ({**joined, "joinWith": "; "}, "1; 2.5"), "flags": (joined, "true, false"),
+        "phone": ({"phone": "e164", "date": "yyyy"}, "+155511"), "lines": ({"normalize": "e164"}, ["+15", ""]), "n": ({"normalize": "canonical", "date": "yyyy"}, 7),
+        "place": ({"normalize": "canonical", "location": "readable"}, "Pune, IN"), "d": ({"phone": "display", "date": "yyyy"}, "2024-05"), "none": ({"normalize": "canonical"}, None), "nothing": (joined, None),
+    }
+    out = project(df, Config(fields=tuple(cases), formats={f: how for f, (how, _) in cases.items()})).first().asDict(recursive=True)
+    assert out == {f: wanted for f, (_, wanted) in cases.items()}
+    listed = project(df, Config(fields=("lines",), formats={"lines": {"phone": "e164"}})).first()["lines"]
+    assert listed == ["+1 (5)", "x"]  # a phone's form is for text alone

@@ -55,6 +55,12 @@ def united(rows: DataFrame, group: str, entries: str, key, flags: tuple[str, ...
     return g.select(group, F.transform("all", lambda e: e["x"]).alias(entries), *([sources.alias(f"{entries}_sources")] if source else []))
 
 
+def undecided(merged: DataFrame) -> DataFrame:
+    """(group_id, field) of decisions that put values aside though no source won."""
+    lost = (F.col("x.discarded").isNotNull() & (F.size("x.discarded") > 0)) & ~F.coalesce(F.exists("x.winners", lambda w: w.isNotNull()), F.lit(False))
+    return merged.select("group_id", F.explode("provenance").alias("x")).filter(lost).select("group_id", "x.field")
+
+
 def canonical(rows: DataFrame, group: str = "group_ix", ids: DataFrame | None = None) -> DataFrame:
     """One row per group: id, its scalars by preference, united contacts, links, skills, jobs and schools, sources, decisions, created_at and updated_at.
 

@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
 
-from ..config import DEGREE_RANKS
+from ..config import DEGREE_RANKS, SKILLS
 from ..functions import normalize
 
 # The fields of a projection that names none; such a projection shows missing values as null.
@@ -209,28 +210,56 @@ def _dated(c: Column, form: str) -> Column:
     return F.coalesce(F.date_format(at, wanted), c)
 
 
-def formatted(c: Column, how: dict) -> Column:
-    """The first of the formats that applies; objects have no canonical form and stay as they are."""
-    if how.get("normalize") == "canonical" and how.get("objects"):
-        return c
-    if how.get("normalize") == "canonical":
-        return F.transform(c, normalize.skill) if how.get("array") else normalize.skill(c)
-    if how.get("normalize") == "E164" or how.get("phone") == "e164":
-        digits = lambda x: F.regexp_replace(x, r"[^0-9+]", "")
-        return F.transform(c, digits) if how.get("array") else digits(c)
-    if how.get("location") == "iso-country":
-        return c["country"]
-    if "location" in how:
-        return F.concat_ws(", ", *[F.nullif(c[part], F.lit("")) for part in ("city", "region", "country")])
-    if "date" in how:
+def canonical_name(c: Column) -> Column:
+    """A skill's name by its alias, else with capitals; spelled-out aliases of the normalization stage are not among these."""
+    spelled = ("java script", "ecmascript")
+    names = F.create_map(*[F.lit(x) for p in SKILLS.items() if p[0] not in spelled for x in p])
+    return F.coalesce(F.try_element_at(names, F.lower(normalize.collapsed(c))), normalize.title_case(c))
+
+
+# Members of an object that stand for it in joined text, first come first.
+SHOWN_AS = ("name", "value", "label", "title", "employer")
+
+
+def shown(x: Column, kind: DataType) -> Column:
+    """A list's entry as text: text itself, numbers without a vanishing fraction, objects by their first filled member of ``SHOWN_AS``, else as JSON; null is ``null``."""
+    text = lambda k: isinstance(k, StringType)
+    if isinstance(kind, StructType):
+        named = [F.nullif(x[f], F.lit("")) for f in SHOWN_AS if f in kind.names and text(kind[f].dataType)]
+        return F.coalesce(*named, F.to_json(x), F.lit("null"))
+    if isinstance(kind, (ArrayType, MapType)):
+        return F.coalesce(F.to_json(x), F.lit("null"))
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.coalesce(F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("string")), x.cast("string"), F.lit("null"))
+    return F.coalesce(x.cast("string"), F.lit("null"))
+
+
+def formatted(c: Column, how: dict, kind: DataType) -> Column:
+    """The first format that applies to a value of that type: canonical names, E.164, a place, a phone, a date, a joined list. Null stays null.
+
+    Canonical names and E.164 apply to text and to lists, in which what is no text stays; places to objects; phones and dates to text; joining to lists.
+    """
+    is_text, is_list = isinstance(kind, StringType), isinstance(kind, ArrayType)
+    texts = is_list and isinstance(kind.elementType, StringType)
+    digits = lambda x: F.regexp_replace(x, r"[^0-9+]", "")
+    for wanted, change in (("canonical", canonical_name), ("e164", digits)):
+        if str(how.get("normalize", "")).replace("E164", "e164") == wanted and (is_text or is_list):
+            return F.transform(c, change) if texts else c if is_list else change(c)
+    if how.get("location") and isinstance(kind, StructType):
+        parts = {p: c[p] if p in kind.names else F.lit(None).cast("string") for p in ("city", "region", "country")}
+        place = F.concat_ws(", ", *[F.nullif(x, F.lit("")) for x in parts.values()])
+        return parts["country"] if how["location"] == "iso-country" else F.when(c.isNotNull(), place)
+    if how.get("phone") and is_text:
+        return digits(c) if how["phone"] == "e164" else c
+    if how.get("date") and is_text:
         return _dated(c, how["date"])
-    if "join" in how:
-        return F.array_join(c, how["join"])
+    if is_list and ("join" in how or how.get("array") == "comma-separated"):
+        return F.array_join(F.transform(c, lambda x: shown(x, kind.elementType)), how.get("join", how.get("joinWith", ", ")))
     return c
 
 
-def compile_plan(config: Config) -> list[tuple[str, Column]]:
-    """(output path, column) in order; duplicates and excluded paths dropped."""
+def compile_plan(config: Config, df: DataFrame | None = None) -> list[tuple[str, Column]]:
+    """(output path, column) in order; duplicates and excluded paths dropped. Formats go by the types that the columns have in ``df``; without it none is applied."""
     if config.missing not in ("omit", "null", "error"):
         raise ProjectionError(f"unknown missing-value policy {config.missing!r}")
     by_default = not config.fields and not config.computed
@@ -248,9 +277,8 @@ def compile_plan(config: Config) -> list[tuple[str, Column]]:
             raise ProjectionError(f"unknown computed field {w!r}")
         c = COMPUTED[source]() if source in COMPUTED else resolve(source, config.as_of_year)
         how = {**config.formats.get(source, {}), **config.formats.get(path, {})} | ({"normalize": spec["normalize"]} if "normalize" in spec else {})
-        kind = spec.get("type", "")
-        how = {**how, "array": how.get("array", kind.endswith("[]")), "objects": kind.startswith("object")} if how else how
-        c = formatted(c, how)
+        if how and df is not None:
+            c = formatted(c, how, df.select(c.alias("x")).schema["x"].dataType)
         if config.missing == "error" and not by_default:
             c = F.when(c.isNull(), F.raise_error(F.lit(f"missing field {path}"))).otherwise(c)
         out.append((path, c))
@@ -270,7 +298,7 @@ def project(df: DataFrame, config: Config) -> DataFrame:
         if name not in df.columns and other in df.columns:
             df = df.withColumn(name, F.col(other))
     tree: dict = {}
-    for path, c in compile_plan(config):
+    for path, c in compile_plan(config, df):
         *above, last = path.split(".")
         at = tree
         for name in above:
