@@ -59,3 +59,12 @@ def test_job_headers_in_all_forms(spark):
     assert got == {
         0: ("Acme Labs", "1850", "1860", False), 1: ("Beta,", "Jan 2019", None, True), 2: ("Gamma Inc", "December 2001", "Sept 2004", False), 3: ("Delta Works", "3021", "3021", False), 7: ("Eps", "Feb 2020", "Feb 2020", False),
     }
+
+
+def test_numbers_of_schools_are_no_years_of_graduation(spark):
+    lines = ["BS, College 1999 2011", "BS, College 20112 2011", "BS, College 12011 2011", "BS, College 2011 2011", "BS, State College 2007 - 2011", "BS, College 1999", "BS, College"]
+    docs = spark.createDataFrame([(i, f"EDUCATION\n{x}\n") for i, x in enumerate(lines)], "id int, text string")
+    got = {r["id"]: [(s["institution"], s["end"]) for s in r["schools"]] for r in resume.fields(docs).collect()}
+    assert got == {
+        0: [("College 1999", "2011-01")], 1: [("College 20112", "2011-01")], 2: [("College 12011", "2011-01")], 3: [("College  2011", "2011-01")], 4: [("State College 2007", "2011-01")], 5: [("College", "1999-01")], 6: [("College", None)],
+    }

@@ -82,15 +82,20 @@ def location(ls: Column) -> Column:
 
 
 def schools(part: Column) -> Column:
-    """array<struct<institution, degree, field, end>>, one per line with a school or a degree; the year becomes its January."""
+    """array<struct<institution, degree, field, end>>, one per line with a school or a degree; the line's last year becomes its January.
+
+    A number in a school's name may look like a year, and a longer one may hold it: years are whole words, and the first that equals the year goes from the name.
+    """
 
     def one(line: Column) -> Column:
-        year = F.regexp_extract(line, r"\b(?:19|20)\d{2}\b", 0)
+        year = F.regexp_extract(line, r"(?s)^.*\b((?:19|20)\d{2})\b", 1)
         parts = F.transform(F.split(line, ","), lambda x: F.trim(x))
         first, second = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
         degree = F.regexp_extract(first, DEGREE, 0)
         cut = lambda c, what: F.when(F.instr(c, what) > 0, F.concat(F.substring(c, F.lit(1), F.instr(c, what) - 1), F.substring(c, F.instr(c, what) + F.length(what), F.length(c)))).otherwise(c)
-        at_school = F.trim(F.regexp_replace(cut(F.regexp_replace(second, r"(?i)\bExpected\b", ""), year), r"[|-]+", " "))
+        unexpected = F.regexp_replace(second, r"(?i)\bExpected\b", "")
+        undated = F.when(year != "", F.regexp_replace(unexpected, F.concat(F.lit(r"(?s)^(.*?)\b"), year, F.lit(r"\b")), F.lit("$1"))).otherwise(unexpected)
+        at_school = F.trim(F.regexp_replace(undated, r"[|-]+", " "))
         return F.struct(
             F.coalesce(blank_to_null(at_school), blank_to_null(degree)).alias("institution"), blank_to_null(degree).alias("degree"),
             F.trim(F.regexp_replace(cut(first, degree), r"(?i)^\s+in\s+", "")).alias("field"), F.when(year != "", F.concat(year, F.lit("-01"))).alias("end"),
