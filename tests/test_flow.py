@@ -248,3 +248,22 @@ def test_a_conflict_without_a_winner_is_found(spark):
     assert sorted(tuple(r) for r in canonical.undecided(merged).collect()) == [("g", "headline"), ("i", "summary")]
     error = MergeConflictError("no winner", group_id="g")
     assert engine.failure(error, "r-2") == {"success": False, "requestId": "r-2", "error": {"code": "MERGE_CONFLICT", "status": 409, "message": "no winner", "details": {"group_id": "g"}}}
+
+
+def test_an_entry_is_held_against_its_keys_buckets_alone():
+    """The fold's state is a key's representatives: an entry costs no more where thousands came before it."""
+    import pyarrow as pa
+
+    calls = []
+
+    def rule(r, x):
+        calls.append(1)
+        return r[0] == x[0]
+
+    n = 6000
+    told = [{"rank": 1, "weight": i % 3, "full": True, "said": f"t{i}", "leaves": ["a"], "parts": [str(i % 2)]} for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"at": [{"group": i // (n // 2), "key": "k"} for i in range(n)], "told": told})
+    out = pa.Table.from_batches(list(buckets._fold(rule, 1000)([batch.slice(0, 2500), batch.slice(2500)])))
+    assert out["bucket"].to_pylist() == [i % 2 for i in range(n)] and len(calls) < 2 * n
+    took = sum(out["took"].to_pylist())
+    assert out["lost"].null_count == n - (took - 4)  # all that take over put one aside, but the first of each bucket

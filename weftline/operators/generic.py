@@ -64,6 +64,11 @@ def _leaves(c: Column, kind: DataType, path: str = "") -> list[tuple[str, Column
     return [(path, serialized(c, kind) if isinstance(kind, ArrayType) else c.cast("string"))]
 
 
+def leaves(c: Column, kind: DataType) -> list[Column]:
+    """The texts of a value's leaves; lists are leaves, as JSON."""
+    return [x for _, x in _leaves(c, kind)]
+
+
 def more_complete(loser: Column, winner: Column, kind: DataType) -> Column:
     """Whether ``loser`` is substantially more complete: text that is longer and contains the other; a record that repeats
     every field of the other and has more; else by completeness. What says nothing yields to what says something."""
