@@ -57,7 +57,11 @@ def profiles(scored: DataFrame, history: DataFrame) -> DataFrame:
     entry = F.struct("field", "source_record_id", none.alias("source_name"), "normalizer", "strategy", none.alias("extractor"), "id", "extracted", "original", "normalized", "selected")
     # decisions, then fields, then sources, each by their names
     place = F.struct(F.col("original").isNotNull().cast("int").alias("a"), F.startswith("field", F.lit("sourceRecords.")).cast("int").alias("b"), "field", "source_record_id", "normalizer", "id")
-    told = history.groupBy(F.col("group_ix").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), entry.alias("x")))), lambda p: p["x"]).alias("provenance"))
+    # names meet the entries in a join: looked up inside a record, each entry would pass all of its sources
+    names = scored.select("id", F.explode("source_records").alias("s")).select(F.col("id").alias("group_ix"), F.col("s.id").alias("source_record_id"), F.col("s.name").alias("_name"))
+    named = history.join(names, ["group_ix", "source_record_id"], "left")
+    listed = named.groupBy(F.col("group_ix").alias("id")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), entry.alias("x"), "_name"))).alias("_all"))
+    told = listed.select("id", F.transform("_all", lambda p: p["x"]).alias("provenance"), F.transform("_all", lambda p: p["_name"]).alias("provenance_names"))
     out = scored.drop("provenance").join(told, "id", "left")
     about = lambda field: F.filter("entry_scores", lambda s: s["field"] == field)
     detail = lambda s, i: F.struct(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import MERGE_STRATEGIES, SOURCE_WEIGHTS
 from ..functions.ids import det_id
+from .confidence import narrowed
 from .generic import serialized
 from .records import contact_value
 
@@ -61,18 +62,20 @@ def attached(entities: DataFrame, histories: DataFrame, path: str = "path") -> D
 
 def of_records(merged: DataFrame, rows: DataFrame, fields: dict[str, str], group: str = "group_ix") -> DataFrame:
     """The whole lineage of canonical records, one long table with ``COLUMNS`` (group_ix is the record's id): the decisions behind them, the
-    history of each field in each record they were merged from, and their sources.
+    history of each field in each record they were merged from, and their sources. A selected value is told with the fields that records have: those that
+    only canonical records have list a group's sources, and each of these has a history with the selected value.
 
     ``rows``: group, candidate_ix, source_id, source_type, ``operations`` and the columns of ``fields`` (column: field). An operation on an e-mail or phone speaks of the
     first contact of its kind.
     """
-    text = lambda df, c: F.col(c) if df.schema[c].dataType.typeName() == "string" else F.when(F.col(c).isNotNull(), serialized(F.col(c), df.schema[c].dataType))
+    kinds = {c: rows.schema[c].dataType for c in fields}
+    text = lambda c: F.col(c) if kinds[c].typeName() == "string" else F.when(F.col(c).isNotNull(), serialized(narrowed(F.col(c), kinds[c]), kinds[c]))
     own = merged.select(F.col(group).alias("_g"), F.col("id").alias("group_ix"))
     r = rows.withColumnRenamed(group, "_g").join(own, "_g")
-    entries = F.array(*[F.struct(F.lit(f).alias("field"), text(r, c).alias("value")) for c, f in fields.items()])
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), text(c).alias("value")) for c, f in fields.items()])
     values = r.select("group_ix", "candidate_ix", F.col("source_id").alias("source_record_id"), "source_type", F.inline(entries))
     made = r.select("candidate_ix", F.inline("operations")).withColumnRenamed("field", "op_field")
-    selected = merged.select(F.col("id").alias("group_ix"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), text(merged, c).alias("selected"), F.lit(MERGE_STRATEGIES[f]).alias("strategy")) for c, f in fields.items()])))
+    selected = merged.select(F.col("id").alias("group_ix"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), text(c).alias("selected"), F.lit(MERGE_STRATEGIES[f]).alias("strategy")) for c, f in fields.items()])))
     history = field_history(values, made, selected)
     if "contacts" in fields:  # what an operation on a contact was extracted from is that contact, not the list
         first = r.select("group_ix", F.col("source_id").alias("source_record_id"), "candidate_ix", contact_value(F.lit("contactInfo.email"), F.col("contacts"), F.lit(None)).alias("_email"), contact_value(F.lit("contactInfo.phone"), F.col("contacts"), F.lit(None)).alias("_phone"))

@@ -61,8 +61,8 @@ def _source_name(entry: Column) -> Column:
     return F.coalesce(entry["source_name"], _first_of(F.col("source_records"), lambda r: r["id"] == entry["source_record_id"])["name"])
 
 
-def _names(entries: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(entries, _source_name), lambda n: n.isNotNull() & (n != "")))
+def _named(names: Column) -> Column:
+    return F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != "")))
 
 
 def _links() -> Column:
@@ -83,7 +83,8 @@ def _years(as_of_year: int | None) -> Column:
 
 
 def _ats_skill(s: Column) -> Column:
-    own, of_field = _names(s["provenance"]), _names(F.filter("provenance", lambda p: p["field"] == "skills"))
+    own = _named(F.transform(s["provenance"], _source_name))
+    of_field = _named(F.transform(F.filter(F.transform("provenance", lambda p, i: F.struct(p["field"].alias("field"), F.get("provenance_names", i).alias("name"))), lambda p: p["field"] == "skills"), lambda p: p["name"]))
     every = F.transform("source_records", lambda r: r["name"])
     return F.struct(s["name"].alias("name"), F.get(s["confidence"], F.lit(0)).alias("confidence"), F.when(F.size(own) > 0, own).when(F.size(of_field) > 0, of_field).otherwise(every).alias("sources"))
 
@@ -96,10 +97,10 @@ def _ats_school(x: Column) -> Column:
     return F.struct(x["institution"].alias("institution"), x["degree"].alias("degree"), x["field"].alias("field"), F.substring(x["end"], 1, 4).alias("end_year"))
 
 
-def _ats_provenance(p: Column) -> Column:
+def _ats_provenance(p: Column, i: Column) -> Column:
     outer = F.create_map(*[F.lit(x) for pair in OUTPUT_FIELDS.items() for x in pair])
     method = F.coalesce(p["normalizer"], p["strategy"], p["extractor"], F.lit("deterministic"))
-    return F.struct(F.coalesce(F.try_element_at(outer, p["field"]), p["field"]).alias("field"), _source_name(p).alias("source"), method.alias("method"))
+    return F.struct(F.coalesce(F.try_element_at(outer, p["field"]), p["field"]).alias("field"), F.get("provenance_names", i).alias("source"), method.alias("method"))
 
 
 def _overall() -> Column:
@@ -293,10 +294,15 @@ def compile_plan(config: Config, df: DataFrame | None = None) -> list[tuple[str,
 
 
 def project(df: DataFrame, config: Config) -> DataFrame:
-    """Select the plan's columns, dotted output paths as nested structs. A record's id and name also go by ``candidate_id`` and ``full_name``."""
+    """Select the plan's columns, dotted output paths as nested structs. A record's id and name also go by ``candidate_id`` and ``full_name``.
+
+    ``provenance_names``: the names of the sources of ``provenance``, entry by entry; where it is missing they are looked up in each record's own sources.
+    """
     for name, other in (("candidate_id", "id"), ("full_name", "fullName")):
         if name not in df.columns and other in df.columns:
             df = df.withColumn(name, F.col(other))
+    if "provenance_names" not in df.columns and {"provenance", "source_records"} <= set(df.columns):
+        df = df.withColumn("provenance_names", F.transform("provenance", _source_name))
     tree: dict = {}
     for path, c in compile_plan(config, df):
         *above, last = path.split(".")
