@@ -79,8 +79,9 @@ def scored(merged: DataFrame, rows: DataFrame, group: str = "group_ix") -> DataF
     kinds = {c: rows.schema[c].dataType for c in columns}
     shares = agreement(merged, rows, columns, group)
     out = merged.join(shares.select(group, *[F.col(c).alias(f"_agree_{c}") for c in columns]), group).join(source_records(rows, group), group)
-    ids = F.transform("source_records", lambda s: s["id"])
-    kind_of = lambda source: F.get(F.filter("source_records", lambda s: s["id"] == source), F.lit(0))["type"]
+    # a field's source is found once, then looked up: inside the search it would be found anew for each of the group's sources
+    kind_of = lambda source: F.get(F.transform(F.array(source), lambda known: F.get(F.filter("source_records", lambda s: s["id"] == known), F.lit(0))["type"]), F.lit(0))
+    sources = F.array(F.get("source_records", F.lit(0))["id"])  # the first stands in where no decision names one
     first = score.source_weight(F.get("source_records", F.lit(0))["type"])
     parts = {}
     for column, field in FIELDS.items():
@@ -90,7 +91,7 @@ def scored(merged: DataFrame, rows: DataFrame, group: str = "group_ix") -> DataF
         value = narrowed(F.col(column), kinds[column])
         own = F.filter("provenance", lambda p: (p["field"] == field) | F.startswith(p["field"], F.lit(f"{field}.")))  # noqa: B023
         complete = F.least(F.lit(1.0), generic.completeness(value, kinds[column]) / 100)
-        parts[field] = score.score_record(F.lit(field), F.col("id"), score.source_weight(kind_of(primary_source(own, ids))), F.col(f"_agree_{column}"), complete, validity(value, kinds[column], field))
+        parts[field] = score.score_record(F.lit(field), F.col("id"), score.source_weight(kind_of(primary_source(own, sources))), F.col(f"_agree_{column}"), complete, validity(value, kinds[column], field))
     out = out.withColumns({f"_score_{f}": c for f, c in parts.items()})
     overall = score.overall({f: F.col(f"_score_{f}.value") for f in parts})
     whole = F.struct(
