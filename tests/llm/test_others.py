@@ -333,3 +333,26 @@ def test_a_page_that_is_all_template_keeps_its_article(spark):
     rows += [(20 + i, "http://h.example/z", f"<html><body><article><p>Hello world</p><p>other {i}</p></article></body></html>") for i in range(2)]
     got = {r["page_id"]: r["text"] for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[9] == "Hello world" and all(got[20 + i] == f"Hello world\n\nother {i}" for i in range(2)) and all(got[i].endswith(f"story {i}") for i in range(4))
+
+
+def test_very_many_inner_blocks_are_aligned_like_few(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        t = wrapper.Tree(rng.choice("ab"), rng.choice(["", "", "x", "y", str(rng.random())]))
+        t.children = [tree(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+        return t
+
+    for _ in range(150):
+        a, b = tree(3), tree(3)
+        b.label = a.label
+        plain, pairs = wrapper.Matching().weight(a, b), wrapper.Matching().pairs(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(wrapper, "FEW_PAIRS", -1)
+            m.setattr(wrapper, "OFTEN", rng.randint(0, 3))
+            assert wrapper.Matching().weight(a, b) == plain and wrapper.Matching().pairs(a, b) == pairs
+    # a list of 600 inner entries with a new one before it and without its last
+    own = [("#>ul>li", "head") if part == 0 else ("#>ul>li>p", f"t{i}" if part == 1 else "reply") for i in range(600) for part in (0, 1, 2)]
+    assert wrapper.repeated(own, [("#>ul>li", "head"), ("#>ul>li>p", "newer"), ("#>ul>li>p", "reply"), *own[:-3]]) == list(range(len(own) - 3))

@@ -296,8 +296,19 @@ def slots(own: list[tuple[str, str]]) -> tuple[Tree, list[Tree]]:
     return root, leaves
 
 
-#: Pairs of inner nodes under one pair of parents whose own alignments are weighed; beyond, they weigh as leaves do.
-MOST_PAIRS = 250_000
+#: Pairs of inner nodes under one pair of parents that are weighed one by one; more are weighed by what they have in common, with the same weights.
+FEW_PAIRS = 10_000
+#: Children that hold a text from which on it is frequent among them; the weights do not depend on it.
+OFTEN = 32
+
+
+def _nodes(root: Tree):
+    """A tree's nodes, parents first."""
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += x.children
 
 
 class Matching:
@@ -305,10 +316,68 @@ class Matching:
 
     Equal texts weigh more, so that what repeats is aligned with itself. Weights are computed row by row, and only
     the steps of the alignment in hand are kept, two bits for each pair of children.
+
+    The weight of two nodes depends on their labels, on which texts are empty and on the texts they share. Under parents with very many inner
+    children each such combination is computed once, however many pairs have it.
     """
 
     def __init__(self) -> None:
         self.known: dict[tuple[int, int], float] = {}
+        self.alike: dict[tuple[int, int], float] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.masked: dict[tuple[int, frozenset[str]], int] = {}
+        self.held: dict[int, frozenset[str]] = {}
+
+    def _texts(self, x: Tree) -> frozenset[str]:
+        if id(x) not in self.held:
+            self.held[id(x)] = frozenset(n.text for n in _nodes(x) if n.text)
+        return self.held[id(x)]
+
+    def _kind(self, x: Tree, shared: frozenset[str]) -> int:
+        """A number for what the node is to one with which it shares these texts alone."""
+        key = (id(x), shared)
+        if key not in self.masked:
+            own: dict[int, int] = {}
+            for n in reversed(list(_nodes(x))):
+                text = n.text if n.text in shared else not n.text
+                own[id(n)] = self.kinds.setdefault((n.label, text, *(own[id(c)] for c in n.children)), len(self.kinds))
+            self.masked[key] = own[id(x)]
+        return self.masked[key]
+
+    def _combined(self, x: Tree, y: Tree) -> float:
+        """The weight of two nodes, computed once for all that are alike to each other as these are."""
+        shared = self._texts(x) & self._texts(y)
+        key = (self._kind(x, shared), self._kind(y, shared))
+        if key not in self.alike:
+            self.alike[key] = self.weight(x, y)
+        return self.alike[key]
+
+    def _by_kind(self, b: Tree):
+        """A function that puts the weights of an inner node with the inner children of b into its row."""
+        inner = [j for j, y in enumerate(b.children) if y.children]
+        holders: dict[str, list[int]] = {}
+        for j in inner:
+            for t in self._texts(b.children[j]):
+                holders.setdefault(t, []).append(j)
+        often = frozenset(t for t, own in holders.items() if len(own) > OFTEN)
+        # children of one group hold the same frequent texts in the same places; those that share a rare one with x are few and met one by one
+        grouped: dict[tuple, list[int]] = {}
+        for j in inner:
+            frequent = self._texts(b.children[j]) & often
+            grouped.setdefault((b.children[j].label, frequent, self._kind(b.children[j], frequent)), []).append(j)
+        groups = [(label, places, np.array(places)) for (label, _, _), places in grouped.items()]
+
+        def put(x: Tree, w: np.ndarray) -> None:
+            sharing = {j for t in self._texts(x) - often for j in holders.get(t, ()) if b.children[j].label == x.label}
+            for label, places, at in groups:
+                if label == x.label:
+                    j = next((j for j in places if j not in sharing), None)
+                    if j is not None:
+                        w[at] = self._combined(x, b.children[j])
+            for j in sharing:
+                w[j] = self._combined(x, b.children[j])
+
+        return put
 
     def weight(self, a: Tree, b: Tree) -> float:
         if a.label != b.label:
@@ -332,12 +401,15 @@ class Matching:
         at = {k: np.array(v) for k, v in labels.items()}
         texts = np.array([hash(y.text) for y in b.children])
         inner = sum(1 for x in a.children if x.children) * sum(1 for y in b.children if y.children)
+        put = self._by_kind(b) if inner > FEW_PAIRS else None
         for x in a.children:
             w = np.zeros(len(b.children))
             same = at.get(x.label)
             if same is not None:
                 w[same] = 1 + 0.5 * (texts[same] == hash(x.text))
-                if x.children and inner <= MOST_PAIRS:
+                if x.children and put:
+                    put(x, w)
+                elif x.children:
                     for j in same.tolist():
                         if b.children[j].children:
                             w[j] = self.weight(x, b.children[j])
