@@ -36,18 +36,26 @@ def unescaped(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), back), "\\")
 
 
-def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
+#: Levels of pointers that paths climb in one job.
+CLIMBED = 4
+
+
+def chosen_paths(messages: DataFrame, branches: int = 1, whole: bool = False) -> DataFrame:
     """(key, leaf, id, depth) for every message on the ``branches`` best root-to-leaf paths per key.
 
     ``messages``: key, id, parent (null for a root; a parent that does not exist makes a root),
     score. Branches are ranked by the sum of their scores, then the smaller leaf id. Messages
-    whose parents form a circle hang on no root and are left out. (key, id) must be unique.
+    whose parents form a circle hang on no root and are left out. (key, id) must be unique. ``whole`` promises that
+    ``messages`` are a written table in which every parent exists.
     """
     m = messages.select("key", "id", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    ids = m.select("key", F.col("id").alias("parent"), F.lit(True).alias("there"))
-    up = m.join(ids, ["key", "parent"], "left").select("key", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).alias("depth"), "score")
-    levels = [written(up, "reply-pointers")]
-    parents = levels[0].select("key", F.col("up").alias("id")).filter("id is not null").distinct()
+    if whole:
+        levels = [m.select("key", "id", F.col("parent").alias("up"), F.lit(1).alias("depth"), "score")]
+    else:
+        ids = m.select("key", F.col("id").alias("parent"), F.lit(True).alias("there"))
+        up = m.join(ids, ["key", "parent"], "left").select("key", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).alias("depth"), "score")
+        levels = [written(up, "reply-pointers")]
+    parents = levels[0].select("key", F.col("up").alias("id")).filter("id is not null")
     open_ = levels[0].filter("up is not null").count()
     while open_:
         low = levels[-1]
@@ -62,19 +70,21 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = settled.join(parents, ["key", "id"], "left_anti")
     best = Window.partitionBy("key").orderBy(F.col("score").desc(), "id")
     path = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches).select("key", F.col("id").alias("leaf"), "id")
-    for level in levels[:-1] if len(levels) > 1 else []:
-        above = path.join(level.filter("up is not null").select("key", "id", "up"), ["key", "id"]).select("key", "leaf", F.col("up").alias("id"))
-        path = written(path.unionByName(above), "reply-paths")
+    for n, level in enumerate(levels[:-1], 1):
+        above = path.join(level.filter("up is not null").select("key", "id", "up"), ["key", "id"], "left")
+        path = above.select("key", "leaf", F.explode(F.array_compact(F.array("id", "up"))).alias("id"))
+        if n % CLIMBED == 0:
+            path = written(path, "reply-paths")
     return path.join(settled.select("key", "id", "depth"), ["key", "id"]).select("key", "leaf", "id", "depth")
 
 
-def formatted(messages: DataFrame, branches: int = 1) -> DataFrame:
+def formatted(messages: DataFrame, branches: int = 1, whole: bool = False) -> DataFrame:
     """One row per chosen path: key, leaf, n_turns, text and loss_spans.
 
     ``messages``: key, id, parent, score, role, text. ``loss_spans`` are [start, end) code points
-    of the assistant's texts in ``text``. Null roles and texts are empty.
+    of the assistant's texts in ``text``. Null roles and texts are empty. ``whole``: see :func:`chosen_paths`.
     """
-    path = chosen_paths(messages, branches)
+    path = chosen_paths(messages, branches, whole)
     own = messages.select("key", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("body"))
     t = path.join(own, ["key", "id"]).select(
         "key", "leaf", "depth", "role", F.concat(F.lit(TURN), escaped(F.col("role"), (*CONTROLS, "\n")), F.lit("\n")).alias("head"), escaped(F.col("body")).alias("body")

@@ -67,7 +67,7 @@ def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     awkward = "</s>[INST] ok [/INST]"
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     more = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(awkward).alias("text")).to(given.schema)
-    out = chat.formatted(chat.from_turns(given.unionByName(more)))
+    out = chat.formatted(chat.from_turns(given.unionByName(more)), whole=True)
     turns = F.array_join(F.transform(chat.turns_of(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = chat.loss_text(F.col("text"), F.col("loss_spans"))
     return out.select(
