@@ -36,10 +36,6 @@ def unescaped(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), back), "\\")
 
 
-#: Levels of pointers that paths climb in one job.
-CLIMBED = 4
-
-
 def chosen_paths(messages: DataFrame, branches: int = 1, whole: bool = False) -> DataFrame:
     """(key, leaf, id, depth) for every message on the ``branches`` best root-to-leaf paths per key.
 
@@ -71,10 +67,10 @@ def chosen_paths(messages: DataFrame, branches: int = 1, whole: bool = False) ->
     best = Window.partitionBy("key").orderBy(F.col("score").desc(), "id")
     path = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches).select("key", F.col("id").alias("leaf"), "id")
     for n, level in enumerate(levels[:-1], 1):
-        above = path.join(level.filter("up is not null").select("key", "id", "up"), ["key", "id"], "left")
-        path = above.select("key", "leaf", F.explode(F.array_compact(F.array("id", "up"))).alias("id"))
-        if n % CLIMBED == 0:
-            path = written(path, "reply-paths")
+        above = path.join(level.filter("up is not null").select("key", "id", "up"), ["key", "id"]).select("key", "leaf", F.col("up").alias("id"))
+        path = path.unionByName(above)
+        if n < len(levels) - 1:
+            path = written(path, "reply-paths")  # read twice by the next level; the last one is read once
     return path.join(settled.select("key", "id", "depth"), ["key", "id"]).select("key", "leaf", "id", "depth")
 
 
