@@ -17,3 +17,12 @@ def test_each_beginning_finds_the_longest_code():
     for n in range(100, 1000):
         of = [c for c in phones.LENGTHS if f"{n:03d}".startswith(str(c))]
         assert len(of) <= 1 and (not of or table[n] == 10000 * len(str(of[0])) + 100 * phones.LENGTHS[of[0]][0] + phones.LENGTHS[of[0]][1])
+
+
+def test_values_are_cleaned_once(spark):
+    """Lambda functions compute an expression as often as it is written."""
+    from pyspark.sql import functions as F
+    from weftline.functions import normalize
+
+    written = {f.__name__: str(f(F.col("x"))).count("regexp_replace(x,") for f in (normalize.date_ym, normalize.phone_e164, normalize.url)}
+    assert written == {"date_ym": 1, "phone_e164": 1, "url": 1}

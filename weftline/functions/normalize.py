@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from ..config import CITIES, COUNTRIES, DEGREES, MONTH_SHORT, MONTHS, SKILLS
@@ -36,24 +38,33 @@ def email(c: Column) -> Column:
 
 def phone_e164(c: Column) -> Column:
     """``+`` and 8 to 15 digits after separators go, with a calling code and as many digits as its numbers have; a leading 00 counts as ``+``."""
-    p = F.regexp_replace(F.regexp_replace(clean(c), r"^00", "+"), r"[\s().-]", "")
-    return F.when(F.rlike(p, F.lit(r"^\+[0-9]{8,15}\z")) & in_plan(p), p)
+    digits = F.regexp_replace(F.regexp_replace(clean(c), r"^00", "+"), r"[\s().-]", "")
+    return once(digits, lambda p: F.when(F.rlike(p, F.lit(r"^\+[0-9]{8,15}\z")) & in_plan(p), p))
+
+
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; inside lambda functions Spark computes an expression as often as it is written."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+# The number of each month's whole and short names.
+MONTH_NUMBERS = {n: f"{i:02d}" for i, name in enumerate(MONTHS, 1) for n in (name, *MONTH_SHORT.get(name, (name[:3],)))}
 
 
 def date_ym(c: Column) -> Column:
     """YYYY-MM from YYYY-MM, YYYY, M/YYYY or a month name (whole or short, without a dot) and year."""
-    d = F.lower(collapsed(clean(c)))
-    month = F.regexp_extract(d, r"^([a-z]+) ([0-9]{4})$", 1)
-    number = F.lit(None).cast("string")
-    for i, name in enumerate(MONTHS, 1):
-        number = F.when(month.isin(name, *MONTH_SHORT.get(name, (name[:3],))), F.lit(f"{i:02d}")).otherwise(number)
-    slash = F.regexp_extract(d, r"^([0-9]{1,2})/[0-9]{4}$", 1)
-    return (
-        F.when(F.rlike(d, F.lit(r"^[0-9]{4}-[0-9]{2}$")), d)
-        .when(F.rlike(d, F.lit(r"^[0-9]{4}$")), F.concat(d, F.lit("-01")))
-        .when(slash != "", F.concat(F.substring(d, -4, 4), F.lit("-"), F.lpad(slash, 2, "0")))
-        .when(number.isNotNull(), F.concat(F.substring(d, -4, 4), F.lit("-"), number))
-    )
+
+    def read(d: Column) -> Column:
+        slash = F.regexp_extract(d, r"^([0-9]{1,2})/[0-9]{4}$", 1)
+        number = F.try_element_at(_map(MONTH_NUMBERS), F.regexp_extract(d, r"^([a-z]+) ([0-9]{4})$", 1))
+        return (
+            F.when(F.rlike(d, F.lit(r"^[0-9]{4}-[0-9]{2}$")), d)
+            .when(F.rlike(d, F.lit(r"^[0-9]{4}$")), F.concat(d, F.lit("-01")))
+            .when(slash != "", F.concat(F.substring(d, -4, 4), F.lit("-"), F.lpad(slash, 2, "0")))
+            .otherwise(F.concat(F.substring(d, -4, 4), F.lit("-"), number))
+        )
+
+    return once(F.lower(collapsed(clean(c))), read)
 
 
 def _aliased(c: Column, aliases: dict[str, str], otherwise: Column) -> Column:
@@ -87,16 +98,18 @@ def free_text(c: Column) -> Column:
 
 def url(c: Column) -> Column:
     """Scheme added, scheme and host in lower case, default port and one trailing slash dropped."""
-    u = clean(c)
-    u = F.when(F.rlike(u, F.lit(r"(?i)^https?://")), u).otherwise(F.concat(F.lit("https://"), u))
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z]+)://", 1))
-    host = F.lower(F.regexp_extract(u, r"^[A-Za-z]+://([^/?#]*)", 1))
-    port = F.when(scheme == "http", r":80").otherwise(":443")
-    host = F.when(F.endswith(host, port), F.substring(host, F.lit(1), F.length(host) - F.length(port))).otherwise(host)
-    rest = F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*(.*)$", 1)
-    rest = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
-    whole = F.concat(scheme, F.lit("://"), host, rest)
-    return F.when(F.rlike(host, F.lit(r"^[^\s]+$")), F.regexp_replace(whole, "/$", ""))
+
+    def read(u: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z]+)://", 1))
+        host = F.lower(F.regexp_extract(u, r"^[A-Za-z]+://([^/?#]*)", 1))
+        port = F.when(scheme == "http", r":80").otherwise(":443")
+        host = F.when(F.endswith(host, port), F.substring(host, F.lit(1), F.length(host) - F.length(port))).otherwise(host)
+        rest = F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*(.*)$", 1)
+        rest = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
+        whole = F.concat(scheme, F.lit("://"), host, rest)
+        return F.when(F.rlike(host, F.lit(r"^[^\s]+$")), F.regexp_replace(whole, "/$", ""))
+
+    return once(once(clean(c), lambda u: F.when(F.rlike(u, F.lit(r"(?i)^https?://")), u).otherwise(F.concat(F.lit("https://"), u))), read)
 
 
 def safely(normalizer, c: Column) -> Column:
