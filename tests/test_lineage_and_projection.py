@@ -81,3 +81,34 @@ def test_scores_of_a_group_of_very_many_sources(spark):
     began = time.time()
     scores = {s["field"]: s["value"] for s in confidence.scored(merged, rows).select("confidence").first()["confidence"]}
     assert scores["skills"] == round(0.95 * 0.17, 4) and time.time() - began < 45
+
+
+def test_provenance_apart_is_the_list_of_a_record(spark, tmp_path):
+    """Entries as rows of their own are those of the whole lineage and of the list in a record's row; the record keeps one entry per field and name for its skills, however many its sources."""
+    import json
+
+    from weftline import engine
+    from weftline.operators import confidence
+    from weftline.plans.projection import listed
+
+    person = {"fullName": "jane doe", "email": "jane@x.example", "skills": ["js"]}
+    (tmp_path / "a.csv").write_text("name,email,city\nJane Doe,JANE@x.example,bangalore\nJane,jane@x.example,Pune\nBob,bob@x.example,\n")  # two records of one source, one of them with operations
+    for i in range(12):
+        (tmp_path / f"b{i}.json").write_text(json.dumps([person, {**person, "email": "JANE@x.example", "phone": "+1 (555) 0001111"}]))
+    out = engine.transform(spark, str(tmp_path))
+    rows, merged = out.records, out.canonical
+    fields = {c: f for c, f in confidence.FIELDS.items() if c in rows.columns and c in merged.columns}
+    history = lineage.entries(merged, rows, fields)
+    shown = ("group_ix", "id", "field", "source_record_id", "normalizer", "strategy")
+    told = lambda df: sorted(df.select(*shown).collect(), key=str)
+    assert told(history) == told(out.lineage) and {r["normalizer"] for r in told(history)} >= {None, "EmailNormalizer", "PhoneNormalizer"}
+    apart = {}
+    for r in listed(engine.entries(merged, history)).orderBy("id", "place").collect():
+        apart.setdefault(r["id"], []).append((r["field"], r["source"], r["method"]))
+    inside = {r["candidate_id"]: [tuple(p) for p in r["provenance"]] for r in out.profiles.collect()}
+    assert apart == inside and max(map(len, inside.values())) > 150 and {s for p in inside.values() for _, s, _ in p} == {"a", *[f"b{i}" for i in range(12)]}
+    light = engine.profiles(merged, history, apart=True)
+    assert sorted(project(light, Config(exclude=("provenance",))).collect(), key=str) == sorted(out.profiles.drop("provenance").collect(), key=str)
+    for r in light.collect():
+        kept = [(p["field"], name) for p, name in zip(r["provenance"], r["provenance_names"])]
+        assert len(kept) == len(set(kept)) and {f for f, _ in kept} == {"skills"}

@@ -51,18 +51,33 @@ def resolved(found: DataFrame, hooks: Hooks | None = None) -> DataFrame:
     return r.join(ids, "group_ix").drop("display_name", "fingerprint")
 
 
-def profiles(scored: DataFrame, history: DataFrame) -> DataFrame:
-    """Scored canonical records with the columns that projections read. ``history``: their lineage (:func:`weftline.operators.lineage.of_records`)."""
+def entries(scored: DataFrame, history: DataFrame) -> DataFrame:
+    """(id, place, x, name): the entries of the records' provenance, one a row, with their order and their sources' names. ``history``: the records' lineage
+    (:func:`weftline.operators.lineage.of_records`, or :func:`weftline.operators.lineage.entries`, which knows the names)."""
     none = F.lit(None).cast("string")
-    entry = F.struct("field", "source_record_id", none.alias("source_name"), "normalizer", "strategy", none.alias("extractor"), "id", "extracted", "original", "normalized", "selected")
-    # decisions, then fields, then sources, each by their names
-    place = F.struct(F.col("original").isNotNull().cast("int").alias("a"), F.startswith("field", F.lit("sourceRecords.")).cast("int").alias("b"), "field", "source_record_id", "normalizer", "id")
-    # names meet the entries in a join: looked up inside a record, each entry would pass all of its sources
-    names = scored.select("id", F.explode("source_records").alias("s")).select(F.col("id").alias("group_ix"), F.col("s.id").alias("source_record_id"), F.col("s.name").alias("_name"))
-    named = history.join(names, ["group_ix", "source_record_id"], "left")
-    listed = named.groupBy(F.col("group_ix").alias("id")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), entry.alias("x"), "_name"))).alias("_all"))
-    told = listed.select("id", F.transform("_all", lambda p: p["x"]).alias("provenance"), F.transform("_all", lambda p: p["_name"]).alias("provenance_names"))
-    out = scored.drop("provenance").join(told, "id", "left")
+    x = F.struct("field", "source_record_id", none.alias("source_name"), "normalizer", "strategy", none.alias("extractor"), "id", "extracted", "original", "normalized", "selected")
+    # decisions and fields by their names, then sources, then what was normalized
+    place = F.struct(F.col("normalizer").isNotNull().cast("int").alias("a"), F.startswith("field", F.lit("sourceRecords.")).cast("int").alias("b"), "field", "source_record_id", "normalizer", "id")
+    if "source_name" not in history.columns:
+        # names meet the entries in a join: looked up inside a record, each entry would pass all of its sources
+        names = scored.select("id", F.explode("source_records").alias("s")).select(F.col("id").alias("group_ix"), F.col("s.id").alias("source_record_id"), F.col("s.name").alias("source_name"))
+        history = history.join(names, ["group_ix", "source_record_id"], "left")
+    return history.select(F.col("group_ix").alias("id"), place.alias("place"), x.alias("x"), F.col("source_name").alias("name"))
+
+
+def profiles(scored: DataFrame, history: DataFrame, apart: bool = False) -> DataFrame:
+    """Scored canonical records with the columns that projections read. ``history``: their lineage, as :func:`entries` takes it.
+
+    A record's whole provenance is one list in its row. ``apart``: it is left to rows of their own (:func:`weftline.plans.projection.listed`); the record keeps
+    the entries about its skills alone, which tell the names of their sources, one per field and name.
+    """
+    told = entries(scored, history)
+    if apart:
+        field = F.col("x.field")
+        told = told.filter((field == "skills") | F.startswith(field, F.lit("skills."))).groupBy("id", field, "name").agg(F.min(F.struct("place", "x")).alias("first")).select("id", "first.place", "first.x", "name")
+    gathered = told.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "x", "name"))).alias("_all"))
+    gathered = gathered.select("id", F.transform("_all", lambda p: p["x"]).alias("provenance"), F.transform("_all", lambda p: p["name"]).alias("provenance_names"))
+    out = scored.drop("provenance").join(gathered, "id", "left")
     about = lambda field: F.filter("entry_scores", lambda s: s["field"] == field)
     detail = lambda s, i: F.struct(
         s.alias("name"), F.transform(about(F.concat(F.lit("skills."), i.cast("string"))), lambda x: x["value"]).alias("confidence"), F.filter("provenance", lambda p: p["field"] == F.concat(F.lit("skills."), F.lower(s))).alias("provenance"),

@@ -8,6 +8,7 @@ from ..config import MERGE_STRATEGIES, SOURCE_WEIGHTS
 from ..functions.ids import det_id
 from .confidence import narrowed
 from .generic import serialized
+from .operations import OPERATION
 from .records import contact_value
 
 COLUMNS = ("group_ix", "id", "field", "source_record_id", "source_priority", "normalizer", "extracted", "original", "normalized", "selected", "strategy")
@@ -87,3 +88,35 @@ def of_records(merged: DataFrame, rows: DataFrame, fields: dict[str, str], group
     decided = decided.select(F.col("_owner").alias("group_ix"), "id", "field", F.col("source").alias("source_record_id"), F.lit(None).cast("int").alias("source_priority"), none.alias("normalizer"), F.col("value").alias("extracted"), none.alias("original"), none.alias("normalized"), F.col("value").alias("selected"), "strategy")
     sources = r.select("group_ix", F.col("source_id").alias("source_record_id"), "source_type").distinct()
     return provenance(decided, history, source_history(sources))
+
+
+def entries(merged: DataFrame, rows: DataFrame, fields: dict[str, str], group: str = "group_ix") -> DataFrame:
+    """The rows of :func:`of_records` without their texts and priorities, which are null, and with ``source_name``, that of the source's first record.
+
+    ``rows`` has source_name besides. A source's records meet by group and source, in one row that holds no more than its pairs of field and normalizer; its entries are spread from there
+    without another shuffle. Nothing is gathered by group, so no group's sources are one row or one task.
+    """
+    none = F.lit(None).cast("string")
+
+    def pairs(ops: Column) -> Column:
+        """The histories of a record: a field's normalizers, or none for a field without operations."""
+        out = []
+        for f in fields.values():
+            about = F.filter(ops, lambda o: (o["field"] == f) | F.startswith(o["field"], F.lit(f"{f}.")))  # noqa: B023
+            pair = lambda normalizer: F.struct(F.lit(f).alias("field"), normalizer.alias("normalizer"), F.lit(MERGE_STRATEGIES[f]).alias("strategy"))  # noqa: B023, E731
+            out.append(F.when(F.size(about) > 0, F.transform(about, lambda o: pair(o["normalizer"]))).otherwise(F.array(pair(none))))  # noqa: B023
+        return F.concat(*out)
+
+    applied = F.array_distinct(F.transform(F.coalesce("operations", F.array().cast(OPERATION)), lambda o: F.struct(o["field"].alias("field"), o["normalizer"].alias("normalizer"))))
+    own = merged.select(F.col(group).alias("_g"), F.col("id").alias("group_ix"))
+    sources = rows.groupBy(F.col(group).alias("_g"), F.col("source_id").alias("source_record_id")).agg(F.collect_set(applied).alias("_applied"), F.min_by("source_name", "candidate_ix").alias("source_name")).join(own, "_g")
+    record = F.struct(F.concat(F.lit("sourceRecords."), "source_record_id").alias("field"), none.alias("normalizer"), none.alias("strategy"))
+    spread = sources.select("group_ix", "source_record_id", "source_name", F.inline(F.concat(F.array_distinct(F.flatten(F.transform("_applied", pairs))), F.array(record))))
+    of_source = F.col("strategy").isNull()
+    of_field = det_id("field-history", F.col("group_ix"), F.col("field"), F.col("source_record_id"), F.col("normalizer"))
+    spread = spread.withColumn("id", F.when(of_source, det_id("source-history", F.col("group_ix"), F.col("source_record_id"))).otherwise(of_field))
+    decided = merged.select(F.col("id").alias("group_ix"), F.inline("provenance")).withColumnRenamed("source", "source_record_id")
+    decided = decided.join(sources.select("group_ix", "source_record_id", "source_name"), ["group_ix", "source_record_id"], "left").withColumn("normalizer", none)
+    given = ("group_ix", "id", "field", "source_record_id", "source_name", "normalizer", "strategy")
+    every = decided.select(*given).unionByName(spread.select(*given))
+    return every.select(*[F.col(c) if c in given else F.lit(None).cast("int" if c == "source_priority" else "string").alias(c) for c in COLUMNS], "source_name")

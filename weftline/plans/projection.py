@@ -97,10 +97,14 @@ def _ats_school(x: Column) -> Column:
     return F.struct(x["institution"].alias("institution"), x["degree"].alias("degree"), x["field"].alias("field"), F.substring(x["end"], 1, 4).alias("end_year"))
 
 
-def _ats_provenance(p: Column, i: Column) -> Column:
+def _ats_entry(p: Column, name: Column) -> Column:
     outer = F.create_map(*[F.lit(x) for pair in OUTPUT_FIELDS.items() for x in pair])
     method = F.coalesce(p["normalizer"], p["strategy"], p["extractor"], F.lit("deterministic"))
-    return F.struct(F.coalesce(F.try_element_at(outer, p["field"]), p["field"]).alias("field"), F.get("provenance_names", i).alias("source"), method.alias("method"))
+    return F.struct(F.coalesce(F.try_element_at(outer, p["field"]), p["field"]).alias("field"), name.alias("source"), method.alias("method"))
+
+
+def _ats_provenance(p: Column, i: Column) -> Column:
+    return _ats_entry(p, F.get("provenance_names", i))
 
 
 def _overall() -> Column:
@@ -319,6 +323,12 @@ def project(df: DataFrame, config: Config) -> DataFrame:
     return df.select(*build(tree))
 
 
+def listed(entries: DataFrame) -> DataFrame:
+    """(id, place, field, source, method): the entries that ``ats_provenance`` lists in a record's row, as rows of their own, so that no record's list has to fit into one.
+    A record's rows ordered by ``place`` are its list; entries of one place are equal. ``entries``: (id, place, x, name) of :func:`weftline.engine.entries`."""
+    return entries.select("id", F.col("place").dropFields("id").alias("place"), _ats_entry(F.col("x"), F.col("name")).alias("p")).select("id", "place", "p.*")
+
+
 def as_json(df: DataFrame, config: Config, name: str = "record") -> DataFrame:
     """One column of JSON records. Under ``omit`` missing fields are left out of each record, under ``null`` they are written as
     null; a projection that names no fields shows them as null."""
